@@ -1,0 +1,51 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
+back, so a lost executor costs a re-read and never a re-computation of earlier
+rounds.  Only where that setting is absent (tests, local mode) a folder of this
+process is used and removed when the process ends.
+"""
+
+from __future__ import annotations
+
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_root: str | None = None
+
+
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, or this process's own folder."""
+    global _own_root
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if _own_root is None:
+        _own_root = tempfile.mkdtemp(prefix="ledgergraph-")
+        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
+    return f"file://{os.path.abspath(_own_root)}"
+
+
+class Workspace:
+    """A folder of its own for one run of an operator."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_root(spark)}/ledgergraph/{name}-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the written table."""
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
