@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .decontaminate import contamination, digest
+from .language import identify
 from .near_dedup import near_duplicates
+from .token_output import token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer of the token output lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return digest(found)
+
+
+def op9_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_language_bitmask_filters": op4_language_bitmask_filters,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_prefix_filtered_decontamination": op6_prefix_filtered_decontamination,
+    "op9_bit_packed_tokens": op9_bit_packed_tokens,
+    "op10_curriculum_mix": op10_curriculum_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_curriculum_mix": mixing.SQL,
+}
