@@ -229,7 +229,9 @@ def near_duplicates(
         )
     )
     links = (
-        dealt.join(source, F.col("rep") == F.col("doc_id"))
+        # the dealt ids grow with the corpus, so they are shuffled at every size
+        dealt.hint("shuffle_hash")
+        .join(source, F.col("rep") == F.col("doc_id"))
         .select("clump", "i", "j", "rep", "block", "text")
         .repartition("clump", "i", "j")
         .sortWithinPartitions("clump", "i", "j")
@@ -256,4 +258,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """``docs`` without the rows that are not the kept one of their component."""
     found = near_duplicates(spark, docs, id_col, text_col, **options)
     gone = found.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
