@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .work import Workspace
+from .work import Workspace, small_batches
 
 #: Bound on training documents of a language, on n-grams of its filter, and slots.
 SAMPLE_DOCS = 2000
@@ -192,6 +192,7 @@ def predict(
     filters are broadcast: ``SLOTS`` masks for each 64 languages.
     """
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType)]).add("lang_pred", "string").add("score", "double")
+    small_batches(spark)
     model = spark.sparkContext.broadcast(filters)
     return (
         docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))

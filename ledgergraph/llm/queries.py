@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import chat, line_dedup, mixing, quality_rules
 from .decontaminate import contamination, digest
 from .language import identify
 from .near_dedup import near_duplicates
+from .pii import personal_data
 from .token_output import token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+
+
+def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,14 @@ def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
     return digest(found)
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,13 +65,20 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_snapshot_collapse": op1_chat_snapshot_collapse,
+    "op3_site_relative_lines": op3_site_relative_lines,
     "op4_language_bitmask_filters": op4_language_bitmask_filters,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_prefix_filtered_decontamination": op6_prefix_filtered_decontamination,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
+    "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_bit_packed_tokens": op9_bit_packed_tokens,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_snapshot_collapse": chat.SQL,
+    "op3_site_relative_lines": line_dedup.SQL,
+    "op8_risk_controlled_rules": quality_rules.SQL,
     "op10_curriculum_mix": mixing.SQL,
 }

@@ -31,10 +31,25 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(_own_root)}"
 
 
+#: Rows and bytes of an Arrow batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits where they exceed ours: whole texts are
+    large rows, and a worker holds several arrays of a batch's size at a time."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name, "0").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 class Workspace:
     """A folder of its own for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/ledgergraph/{name}-{uuid.uuid4().hex}"
 
