@@ -40,7 +40,7 @@ def small_batches(spark: SparkSession) -> None:
     large rows, and a worker holds several arrays of a batch's size at a time."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name, "0").rstrip("b"))
+        now = int(spark.conf.get(name).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(name, str(most))
 
