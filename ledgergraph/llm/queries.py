@@ -11,6 +11,7 @@ from .decontaminate import contamination, digest
 from .language import identify
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .quality_model import classify_quality
 from .token_output import token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,10 @@ def op1_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
 
 
+def op2_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(spark, table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_snapshot_collapse": op1_chat_snapshot_collapse,
+    "op2_co_trained_quality": op2_co_trained_quality,
     "op3_site_relative_lines": op3_site_relative_lines,
     "op4_language_bitmask_filters": op4_language_bitmask_filters,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,

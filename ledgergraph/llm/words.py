@@ -13,6 +13,7 @@ only a single text longer than a piece makes a larger one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -174,3 +175,8 @@ def shingle_sets(piece: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
         out.append(found)
         bounds.append(bounds[-1] + len(found))
     return (np.concatenate(out) if out else hashes[:0]), np.array(bounds)
+
+
+def name_slot(name: str, slots: int) -> int:
+    """A stable slot below ``slots`` for a name."""
+    return zlib.crc32(name.encode()) % slots
