@@ -11,8 +11,8 @@ from .catalog import OPERATORS
 
 #: Modules that register SQL plans, and modules with queries of their own
 #: (``QUERIES``: name to function; ``SQL``: name to oracle text; ``COVERS``).
-PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports")
-CODE_MODULES: tuple[str, ...] = ()
+PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint")
+CODE_MODULES = ("operators.iterative", "streaming.account_state")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
