@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .work import Workspace, small_batches
+from ..functions.workspace import Workspace, small_batches
 
 #: Bound on training documents of a language, on n-grams of its filter, and slots.
 SAMPLE_DOCS = 2000
@@ -137,9 +137,14 @@ def fit(
     and at most ``filter_grams`` per filter.
     """
     rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key"))
+    # of a uniform hash, four times the sample is left for the exact cut, however large the language
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    low = F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < F.lit(4.0 * sample_docs) / F.col("all")
     by_hash = Window.partitionBy("lang").orderBy("h")
     cuts = (
         rows.select("lang", "h")
+        .join(counted, "lang")
+        .where(low)
         .withColumn("i", F.row_number().over(by_hash))
         .where(F.col("i") <= sample_docs)
         .groupBy("lang")

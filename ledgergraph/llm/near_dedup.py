@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import connected_components
-from .work import Workspace
+from ..operators.components import connected_components
+from ..functions.workspace import Workspace
 
 #: Representatives and shingles that one side of a block pair holds on average.
 BLOCK_DOCS = 1024

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import small_batches
+from ..functions.workspace import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_CHARS = 64

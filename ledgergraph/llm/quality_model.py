@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .work import small_batches
+from ..functions.workspace import small_batches
 
 LABELLED = 4000
 POOL = 8000
