@@ -15,7 +15,7 @@ from ledgergraph.llm.language import keep_identified
 from ledgergraph.llm.near_dedup import keep_one
 from ledgergraph.llm.queries import table, tokenizer_path
 from ledgergraph.llm.token_output import token_output
-from ledgergraph.llm.work import Workspace
+from ledgergraph.functions.workspace import Workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
