@@ -233,6 +233,7 @@ def train(
     """Fit on the sample.  A document labelled more than once counts as good if any
     label says so; null labels and ids teach nothing."""
     small_batches(spark)
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(labelled)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
