@@ -12,7 +12,9 @@ from .catalog import OPERATORS
 #: Modules that register SQL plans, and modules with queries of their own
 #: (``QUERIES``: name to function; ``SQL``: name to oracle text; ``COVERS``).
 PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint")
-CODE_MODULES = ("operators.iterative", "streaming.account_state")
+CODE_MODULES = (
+    "operators.iterative", "operators.models", "operators.extraction", "sources.generate", "streaming.account_state", "streaming.node_memory",
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,3 +39,15 @@ def oracle_sql() -> dict[str, str]:
     for module in modules:
         found.update(module.SQL)
     return found
+
+
+def coverage() -> dict[str, list[str]]:
+    """Inventory id to the queries that cover it."""
+    modules = _load()
+    pairs = [(name, op.covers) for name, op in OPERATORS.items()]
+    pairs += [(name, ids) for module in modules for name, ids in module.COVERS.items()]
+    found: dict[str, list[str]] = {}
+    for name, ids in pairs:
+        for item in ids.split():
+            found.setdefault(item, []).append(name)
+    return found
