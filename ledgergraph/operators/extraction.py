@@ -19,7 +19,7 @@ _SEPARATORS = re.compile(r"[\s.\-,_]+")
 _BLOCK = re.compile(r"[0-9]{10,18}")
 #: Characters before a number in which its name is sought.
 REACH = 40
-WALLET_SHARE, LOOSE_WALLET_SHARE, UNNAMED_SHARE = 0.9, 0.8, 0.5
+WALLET_SHARE, LOOSE_WALLET_SHARE = 0.9, 0.8
 SCHEMA = "page_id bigint, rekening string, bank string, account_type string, confidence double"
 
 
@@ -60,7 +60,7 @@ def extract(text: str, source: float = 1.0) -> list[tuple[str, str | None, str,
         elif bank in wallets:
             share, kind, fits = LOOSE_WALLET_SHARE, "ewallet", 10 <= len(digits) <= 13
         else:
-            share, kind, fits = UNNAMED_SHARE, "bank", True
+            continue  # a number without a name nearby is no account
         if fits and (digits, bank) not in seen:
             seen.add((digits, bank))
             out.append((digits, bank, kind, round(source * share, 3)))
