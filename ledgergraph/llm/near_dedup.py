@@ -8,9 +8,12 @@
 3. Representatives that share a band key are tied to the smallest one there.
    Large-star/small-star components of these ties are *clumps*: every pair that
    shares any key lies in one clump.
-4. Inside a clump all pairs are confirmed on full shingle sets, with the set sizes
-   bounding the union, and a spanning set of links is kept.  A clump larger than a
-   block is dealt to block pairs, so no task holds more than two blocks.
+4. Inside a clump signatures are compared first: a pair whose share of equal minima
+   falls over six standard deviations below the threshold is dropped (a true link
+   does so with probability under 1e-8).  The others are confirmed on full shingle
+   sets unless links found so far join them already, so a spanning set of links is
+   left.  A clump larger than a block is dealt to block pairs, so no task holds more
+   than two blocks.
 5. Components of the confirmed links, again by alternating stars, give the result.
 
 A pair at the threshold similarity ``s`` is missed by all bands with probability
@@ -20,6 +23,8 @@ A pair at the threshold similarity ``s`` is missed by all bands with probability
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,44 +125,60 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, pa.Table.from_batches(held)
 
 
-def confirmed(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def confirmed(
+    sets: list[np.ndarray], signatures: np.ndarray, block: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
     """A spanning set of the links ``100 * intersection >= percent * union`` between
-    the sets: all pairs if ``block`` is constant, else pairs across the two blocks."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    the sets: of all pairs if ``block`` is constant, else of pairs across the two
+    blocks."""
+    n, width = signatures.shape
+    s = percent / 100
+    least = s - 6 * math.sqrt(s * (1 - s) / width)
+    size = [len(x) for x in sets]
+    starts = np.cumsum([0, *size])
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [ids[a:b] for a, b in itertools.pairwise(starts.tolist())]
     marked = np.zeros(len(vocabulary), bool)
     label, links = np.arange(n), []
     across = block[0] != block[-1]
-    rows = np.flatnonzero(block == block[0]) if across else np.arange(n)
-    for i in rows.tolist():
-        own = ids[starts[i] : starts[i] + size[i]]
-        marked[own] = True
-        common = np.add.reduceat(marked[ids], starts, dtype=np.int64)
-        marked[own] = False
-        linked = 100 * common >= percent * (size + size[i] - common)
-        linked &= (block != block[0]) if across else (np.arange(n) > i)
-        for j in np.flatnonzero(linked & (label != label[i])).tolist():
+    second = block != block[0]
+    for i in range(n):
+        if across and second[i]:
+            break
+        open_ = (label != label[i]) & (second if across else np.arange(n) > i)
+        near = np.flatnonzero(open_)
+        near = near[(signatures[near] == signatures[i]).mean(axis=1) >= least]
+        if not len(near):
+            continue
+        marked[own[i]] = True
+        for j in near.tolist():
             if label[j] != label[i]:
-                links.append((i, j))
-                label[label == label[j]] = label[i]
+                common = int(np.count_nonzero(marked[own[j]]))
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+        marked[own[i]] = False
     return links
 
 
-def _confirm(shingle: int, percent: int):
+def _confirm(shingle: int, percent: int, n_minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, 3):
             sets: list[np.ndarray] = []
+            signatures = []
             for piece in W.pieces(table.column("text").combine_chunks(), W.BLANK_SEPARATED):
                 found, bounds = W.shingle_sets(piece, shingle)
+                full = np.flatnonzero(np.diff(bounds))  # all, unless ids repeat with other texts
+                own = np.zeros((len(piece), n_minima), np.uint32)
+                own[full] = minima(found, bounds[:-1][full], n_minima)
                 sets += np.split(found, bounds[1:-1])
+                signatures.append(own)
             nodes, block = table.column("rep"), table.column("block").to_numpy()
             order = np.argsort(block, kind="stable")
             order = order[[len(sets[i]) > 0 for i in order]]
             if len(order) < 2:
                 continue
-            links = confirmed([sets[i] for i in order], block[order], percent)
+            links = confirmed([sets[i] for i in order], np.concatenate(signatures)[order], block[order], percent)
             ends = [nodes.take(pa.array(order[[p[k] for p in links]].astype(np.int64))) for k in (0, 1)] if links else []
             if links:
                 yield pa.RecordBatch.from_arrays([e.combine_chunks() for e in ends], ["a", "b"])
@@ -235,7 +256,7 @@ def near_duplicates(
         .select("clump", "i", "j", "rep", "block", "text")
         .repartition("clump", "i", "j")
         .sortWithinPartitions("clump", "i", "j")
-        .mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}")
+        .mapInArrow(_confirm(shingle, percent, rows * bands), f"a {kind}, b {kind}")
     )
     components = connected_components(links, work, "links")
     found = work.cut(

@@ -162,6 +162,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def thresholds(
     counted: DataFrame,
     labels: DataFrame,
+    work: Workspace,
     cutoffs: dict[str, tuple[float, ...]] = CUTOFFS,
     risk: float = RISK,
     delta: float = DELTA,
@@ -179,7 +180,7 @@ def thresholds(
         for rule, values in cutoffs.items()
         for i, c in enumerate(values)
     ]
-    per_stratum = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests)
+    per_stratum = work.cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests), "strata")
     rows = F.array(
         *[
             F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
@@ -188,12 +189,10 @@ def thresholds(
         ]
     )
     tested = per_stratum.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    n_tests = per_stratum.select(F.count(F.lit(1)).alias("strata"))
     share = risk / len(cutoffs)
-    per_test = F.lit(delta / sum(len(v) for v in cutoffs.values())) / F.col("strata")
+    per_test = delta / sum(len(v) for v in cutoffs.values()) / max(1, per_stratum.count())
     return (
-        tested.join(F.broadcast(n_tests))  # one row
-        .where(binomial_tail(F.col("k"), F.col("n"), share) <= per_test)
+        tested.where(binomial_tail(F.col("k"), F.col("n"), share) <= per_test)
         .groupBy("stratum", "rule")
         .agg(F.min("cutoff").alias("cutoff"))
     )
@@ -218,7 +217,7 @@ def quality_verdicts(
     """
     work = Workspace(spark, "quality-rules")
     counted = work.cut(counts(docs, id_col, text_col, stratum_col), "counts")
-    accepted = work.cut(thresholds(counted, labels, **options), "thresholds")
+    accepted = work.cut(thresholds(counted, labels, work, **options), "thresholds")
     # at most one row per stratum after the pivot; strata are few and this join may broadcast by measured size
     cut = accepted.groupBy("stratum").agg(
         *[F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in SIGNALS]
