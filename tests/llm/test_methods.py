@@ -17,7 +17,7 @@ from ledgergraph.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
-ALPHABET = list("abzA9 .é\n\t+@-(#") + ["don't ", "100 ", "\x01", "́", "ß", "İ", "<|endoftext|>", " ", "가", "🙂"]
+ALPHABET = list("abzA9 .é\n\t+@-(#") + ["don't ", "100 ", "\x01", "́", "ß", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "e.", ", ", "×,", " ", "가", "🙂"]
 TEXTS = st.text(st.sampled_from("abcXY09 .,\n\té'ßÉ\x01-"), max_size=60)
 
 
