@@ -132,7 +132,7 @@ select 'queue' as kind, case page_id % 3 when 0 then 'DONE' when 1 then 'PENDING
 union all select 'shared', case when n >= 3 then 'HIGH' when n = 2 then 'MED' else 'LOW' end, count(*) from a group by 2"""
 
 
-@operator("T15")
+@operator("T15", since=10)
 def osint_watchlist_sync(d: Spark, since: int = 100, limit: int = 40) -> str:
     """The next page of a cursor sync, with the cursor it advances to."""
     return f"""

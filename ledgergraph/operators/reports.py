@@ -101,7 +101,7 @@ select account_id, max(risk_score) as max_risk, count(*) as n, {d.join_distinct(
 from {{alerts}} group by account_id order by max_risk desc, n desc, account_id limit {limit}"""
 
 
-@operator("R9 R10 L3")
+@operator("R9 R10 L3", offset=1)
 def report_list_alerts(
     d: Spark, status: str = "NEW", min_risk: float = 0.1, typologies: tuple[str, ...] = ("judol", "qris"), limit: int = 50, offset: int = 10
 ) -> str:
