@@ -168,7 +168,7 @@ def feat_kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters(spark, fixture(spark, sf_dir, "tx").where("amount > 100000000"), min_size=2)
+    return clusters(spark, fixture(spark, sf_dir, "tx"), min_size=2)
 
 
 def graph_cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
