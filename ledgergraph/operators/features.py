@@ -43,11 +43,11 @@ from ({_side("from_account", "to_account", "out", _SHAPES)}) o"""
 
 
 @operator("F3 P3 J10 O1")
-def feat_incoming_of(d: Spark, modulo: int = 7) -> str:
-    """Incoming measures of a given set of accounts only (semi-join)."""
+def feat_incoming_of(d: Spark) -> str:
+    """Incoming measures of the accounts in the customer table only (semi-join)."""
     return f"""
 select to_account as account_id, count(*) as in_degree, cast(sum(amount) as double) as in_amount_sum
-from {{tx}} where to_account in (select c_custkey from {{customer}} where c_custkey % {modulo} = 0)
+from {{tx}} where to_account in (select c_custkey from {{customer}})
 group by to_account"""
 
 

@@ -221,13 +221,13 @@ from {{pairs}} p left join deg on p.from_account = deg.id group by p.to_account"
 
 
 @operator("E18")
-def ml_negative_samples(d: Spark, modulo: int = 20) -> str:
-    """A hashed other destination for a share of the transfers."""
+def ml_negative_samples(d: Spark) -> str:
+    """A hashed other destination for every transfer."""
     key = d.hash_order("tx_id")
     digits = " + ".join(f"(instr('0123456789abcdef', substr({key}, {i + 1}, 1)) - 1) * {16**i}" for i in range(5))
     return f"""
 with ids as (select id, row_number() over (order by id) - 1 as idx, count(*) over () as n from (select distinct to_account as id from {{tx}}) v),
-  pos as (select tx_id, from_account, to_account, ({digits}) % (select count(*) from ids) as pick from {{tx}} where from_account % {modulo} = 0)
+  pos as (select tx_id, from_account, to_account, ({digits}) % (select count(*) from ids) as pick from {{tx}})
 select tx_id, from_account, to_account, id as negative_account from pos join ids on idx = pick"""
 
 
