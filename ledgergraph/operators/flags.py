@@ -62,7 +62,7 @@ select account_id, 'CHANNEL_SWITCH' as flag_type, 'MEDIUM' as severity, count(di
 from incident group by account_id having count(*) >= 3 and count(distinct channel) >= 3"""
 
 
-@operator("B5", newest=2, seconds=86400 * 40)
+@operator("B5")
 def flag_channel_hop(d: Spark, newest: int = 500, seconds: int = 1800) -> str:
     """Exactly two channels, changed within half an hour."""
     return f"""
@@ -87,7 +87,7 @@ select account_id, 'FREQUENCY_ANOMALY' as flag_type, 'HIGH' as severity, max(n)
 from w group by account_id having max(n) >= {min_hits}"""
 
 
-@operator("B7 B8 R13", newest=20)
+@operator("B7 B8 R13")
 def flag_incident_amounts(d: Spark, newest: int = 500) -> str:
     """The sum of an account's newest transfers."""
     return f"""
