@@ -2,14 +2,16 @@
 
 The content view sees the text alone (shape statistics and hashed word counts), the
 metadata view sees source, language and length alone.  Starting from labelled
-documents, each round lets either view label the pool documents it is surest of for
-the other view's next training set.  Both are then calibrated on labelled documents
-kept apart, a small logistic model on the two calibrated logits combines them, and
-every document is scored.
-
-Training reads a bounded sample: at most ``LABELLED`` labelled and ``POOL``
-unlabelled documents, those of the smallest id hash.  Their features, some hundred
-numbers each, come to the driver; texts do not.
+documents, each round lets either view label all unlabelled documents of which it is
+sure for the other view's next training set.  Both are then calibrated on labelled
+documents kept apart, a small logistic model on the two calibrated logits combines
+them, and every document is scored.
+
+Only labelled documents are a bounded sample: at most ``LABELLED``, those of the
+smallest id hash, whose features come to the driver.  Unlabelled ones stay in Spark:
+the content view is fitted on gradients and curvatures that tasks add up, the
+metadata view on counts by its slots, of which there are at most 24 576.  Within a
+class, pseudo-labelled documents weigh together at most as much as labelled ones.
 """
 
 from __future__ import annotations
@@ -23,13 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from ..functions.workspace import small_batches
+from ..functions.workspace import Workspace
 
 LABELLED = 4000
-POOL = 8000
 ROUNDS = 4
-#: Pool documents of each class that a view hands over in a round, and how sure it must be.
-EXCHANGE = 200
+#: How sure a view must be of a document to label it for the other.
 CONFIDENCE = 0.9
 _HASHED = 192
 _SHAPES = 10
@@ -37,6 +37,10 @@ CONTENT_DIM = _SHAPES + _HASHED
 _SOURCES, _LANGS, _LENGTHS = 64, 16, 24
 META_DIM = _SOURCES + _LANGS + _LENGTHS
 
+#: Newton steps of a fit that reads the unlabelled documents, and the change that ends it;
+#: and the tasks that add up what all tasks found.
+_STEPS, _SETTLED, _ADDERS = 8, 1e-4, 4
+
 _LINES = np.ones(256, bool)
 _LINES[0x0A] = False
 
@@ -97,21 +101,30 @@ def content_features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(sources: pa.Array, langs: pa.Array, lengths: pa.Array) -> np.ndarray:
-    """One-hot hashed source and language (null is a value) and length class."""
-    n = len(sources)
-    out = np.zeros((n, META_DIM))
-    at = np.arange(n)
-    for values, first, size in ((sources, 0, _SOURCES), (langs, _SOURCES, _LANGS)):
+def meta_slots(sources: pa.Array, langs: pa.Array, lengths: pa.Array) -> np.ndarray:
+    """Columns of hashed source and language (null is a value) and length class."""
+    out = np.zeros((len(sources), 3), np.int64)
+    for j, (values, first, size) in enumerate(((sources, 0, _SOURCES), (langs, _SOURCES, _LANGS))):
         coded = values.dictionary_encode()
         slots = [W.name_slot(x, size) for x in coded.dictionary.to_pylist()]
         index = coded.indices.fill_null(len(slots)).to_numpy()
-        out[at, first + np.array([*slots, size - 1])[index]] = 1.0
+        out[:, j] = first + np.array([*slots, size - 1])[index]
     length = np.array([0 if x is None else max(0, int(x)) for x in lengths.to_pylist()])
-    out[at, _SOURCES + _LANGS + np.minimum(np.log2(length + 1).astype(int), _LENGTHS - 1)] = 1.0
+    out[:, 2] = _SOURCES + _LANGS + np.minimum(np.log2(length + 1).astype(int), _LENGTHS - 1)
+    return out
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(slots), META_DIM))
+    out[np.arange(len(slots))[:, None], slots] = 1.0
     return out
 
 
+def meta_features(sources: pa.Array, langs: pa.Array, lengths: pa.Array) -> np.ndarray:
+    """``meta_slots`` as ones among ``META_DIM`` numbers."""
+    return one_hot(meta_slots(sources, langs, lengths))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -159,35 +172,141 @@ class CoTrained:
         return raw * self.calibration[:, 0] + self.calibration[:, 1]
 
 
+class Sums:
+    """Per class (0, 1): rows, gradient and curvature of the logistic loss."""
+
+    def __init__(self, dim: int):
+        self.n, self.slope, self.curve = np.zeros(2), np.zeros((2, dim)), np.zeros((2, dim, dim))
+
+    def add(self, x: np.ndarray, label: int, w: np.ndarray, times: np.ndarray | float = 1.0) -> None:
+        """Rows ``x`` (without the constant), each counted ``times``."""
+        x = np.hstack([x, np.ones((len(x), 1))])
+        times = np.broadcast_to(times, len(x))
+        p = sigmoid(x @ w)
+        self.n[label] += times.sum()
+        self.slope[label] += x.T @ (times * (p - label))
+        self.curve[label] += (x * (times * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+    def to_bytes(self) -> bytes:
+        return b"".join(x.astype("<f8").tobytes() for x in (self.n, self.slope, self.curve))
+
+    def merge(self, data: bytes) -> None:
+        found, at = np.frombuffer(data, "<f8"), 0
+        for x in (self.n, self.slope, self.curve):
+            x += found[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+
+def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
+    """``fit_logistic`` from ``w`` on, with the rows whose :class:`Sums` at given weights
+    are ``free(weights)``; these count together at most as much as their class in ``y``."""
+    ridge = np.full(len(w), penalty)
+    ridge[-1] = 1e-9
+    for _ in range(_STEPS):
+        known, more = Sums(len(w)), free(w)
+        if not more.n.any():
+            return fit_logistic(x, y, penalty)
+        for label in (0, 1):
+            known.add(x[y == label], label, w)
+        slope, curve = ridge * w, np.diag(ridge) + 1e-9 * np.eye(len(w))
+        for label in (0, 1):
+            each = min(1.0, known.n[label] / max(more.n[label], 1.0))
+            share = 0.5 / (known.n[label] + each * more.n[label])
+            slope = slope + share * (known.slope[label] + each * more.slope[label])
+            curve = curve + share * (known.curve[label] + each * more.curve[label])
+        step = np.linalg.solve(curve, slope)
+        w = w - step
+        if np.abs(step).max() < _SETTLED:
+            break
+    return w
+
+
+def _sure(p: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(label, np.flatnonzero(at)) for label, at in ((0, 1 - p >= CONFIDENCE), (1, p >= CONFIDENCE))]
+
+
+def _content(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), CONTENT_DIM).astype(float)
+
+
+def _slots(code: pa.Array) -> np.ndarray:
+    code = code.to_numpy()
+    return np.column_stack([code // (META_DIM * META_DIM), code // META_DIM % META_DIM, code % META_DIM])
+
+
+class Unlabelled:
+    """Rows ``content, code`` (metadata slots) that stay in Spark."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def content_sums(self, meta: np.ndarray, w: np.ndarray) -> Sums:
+        """Of the content view at ``w``, over all rows that the metadata view is sure of."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = Sums(CONTENT_DIM + 1)
+            for batch in batches:
+                x = _content(batch.column(0))
+                for label, at in _sure(sigmoid(meta[_slots(batch.column(1))].sum(axis=1) + meta[-1])):
+                    if len(at):
+                        sums.add(x[at], label, w)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.to_bytes()], pa.binary())], ["sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = Sums(CONTENT_DIM + 1)
+            for batch in batches:
+                for data in batch.column(0):
+                    sums.merge(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([sums.to_bytes()], pa.binary())], ["sums"])
+
+        total = Sums(CONTENT_DIM + 1)
+        found = self.rows.select("content", "code").mapInArrow(part, "sums binary")
+        for row in found.repartition(_ADDERS).mapInArrow(add, "sums binary").collect():
+            total.merge(row["sums"])
+        return total
+
+    def meta_votes(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots, label and number of all rows that the content view is sure of."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                code = batch.column(1).to_numpy()
+                for label, at in _sure(sigmoid(logits(_content(batch.column(0)), content))):
+                    codes, counts = np.unique(code[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(codes), pa.array(np.full(len(codes), label)), pa.array(counts)], ["code", "label", "n"]
+                    )
+
+        votes = self.rows.select("content", "code").mapInArrow(part, "code bigint, label bigint, n bigint")
+        rows = votes.groupBy("code", "label").agg(F.sum("n").alias("n")).orderBy("code", "label").collect()
+        code, label, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        return _slots(pa.array(code)), label, n.astype(float)
+
+
 def co_train(
-    content: np.ndarray,
-    meta: np.ndarray,
-    y: np.ndarray,
-    apart: np.ndarray,
-    pool_content: np.ndarray,
-    pool_meta: np.ndarray,
-    rounds: int = ROUNDS,
+    content: np.ndarray, meta: np.ndarray, y: np.ndarray, apart: np.ndarray, free: Unlabelled, rounds: int = ROUNDS
 ) -> CoTrained | None:
     """``apart`` marks labelled rows kept for calibration.  ``None`` if the training
     labels are not of both classes."""
     train = ~apart
     if len(np.unique(y[train])) < 2:
         return None
-    views, pools = [content, meta], [pool_content, pool_meta]
-    given: list[dict[int, float]] = [{}, {}]
-    for turn in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            at = sorted(given[v])
-            x = np.vstack([views[v][train], pools[v][at]])
-            models.append(fit_logistic(x, np.concatenate([y[train], [given[v][i] for i in at]])))
-        if turn == rounds or not len(pool_content):
-            break
-        for v in (0, 1):
-            p = sigmoid(logits(pools[v], models[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                new = [i for i in np.argsort(-sure, kind="stable").tolist() if i not in given[1 - v]]
-                given[1 - v].update({i: label for i in new[:EXCHANGE] if sure[i] >= CONFIDENCE})
+    views = [content, meta]
+    models = [fit_logistic(x[train], y[train]) for x in views]
+    for _ in range(rounds):
+        slots, label, n = free.meta_votes(models[0])
+        voted = one_hot(slots)
+
+        def meta_sums(w: np.ndarray) -> Sums:
+            sums = Sums(META_DIM + 1)
+            for c in (0, 1):
+                sums.add(voted[label == c], c, w, n[label == c])
+            return sums
+
+        models = [
+            fit_both(content[train], y[train], lambda w, sure=models[1]: free.content_sums(sure, w), models[0]),
+            fit_both(meta[train], y[train], meta_sums, models[1]),
+        ]
     held = apart if len(np.unique(y[apart])) == 2 else train
     calibration = np.array(
         [fit_logistic(logits(views[v][held], models[v])[:, None], y[held], 1e-2) for v in (0, 1)]
@@ -199,16 +318,15 @@ def co_train(
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        content = content_features(batch.column(2)).astype("<f4")
-        meta = meta_features(batch.column(3), batch.column(4), batch.column(5)).astype("<f4")
+        content = content_features(batch.column(1)).astype("<f4")
+        slots = meta_slots(batch.column(2), batch.column(3), batch.column(4))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                batch.column(1),
                 pa.array([r.tobytes() for r in content], pa.binary()),
-                pa.array([r.tobytes() for r in meta], pa.binary()),
+                pa.array((slots[:, 0] * META_DIM + slots[:, 1]) * META_DIM + slots[:, 2]),
             ],
-            ["h", "quality", "content", "meta"],
+            ["key", "content", "code"],
         )
 
 
@@ -227,39 +345,38 @@ def _score(model: CoTrained | None):
     return run
 
 
-def train(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL
-) -> CoTrained | None:
-    """Fit on the sample.  A document labelled more than once counts as good if any
-    label says so; null labels and ids teach nothing."""
-    small_batches(spark)
-    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained | None:
+    """Fit on a sample of the labelled and on all unlabelled documents.  A document
+    labelled more than once counts as good if any label says so; null labels and ids
+    teach nothing."""
+    work = Workspace(spark, "quality")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars").where("doc_id is not null")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(labelled)
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    rest = ids.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("h", F.xxhash64("doc_id"))
-    rest = rest.orderBy("h", "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("quality"), "h")
-    # at most labelled + pool rows
-    sample = F.broadcast(known.select("doc_id", F.col("quality").cast("int").alias("quality"), "h").unionByName(rest))
-    rows = (
-        docs.join(sample, "doc_id")
-        .select("h", "quality", "text", "source", "lang", "n_chars")
-        .mapInArrow(_features, "h bigint, quality int, content binary, meta binary")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["h"], r["content"]))
+    # at most that many rows
+    sample = F.broadcast(known.select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("quality"), "h"))
 
-    def stack(some: list, name: str, dim: int) -> np.ndarray:
-        data = np.frombuffer(b"".join(r[name] for r in some), "<f4")
-        return data.reshape(len(some), dim).astype(float)
+    def features(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(_features, f"key {kind}, content binary, code bigint")
 
-    seen, free = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
+    taught = docs.join(sample.select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
+    seen = features(taught).join(sample, "key").select("h", "quality", "content", "code").collect()
+    if not seen:
+        return None
+    seen.sort(key=lambda r: (r["h"], r["content"]))
     y = np.array([float(r["quality"] > 0) for r in seen])
     apart = np.arange(len(seen)) % 4 == 3
-    return co_train(
-        stack(seen, "content", CONTENT_DIM), stack(seen, "meta", META_DIM), y, apart,
-        stack(free, "content", CONTENT_DIM), stack(free, "meta", META_DIM),
-    ) if seen else None
+    if len(np.unique(y[~apart])) < 2:
+        return None
+    marked = labels.select(F.col("doc_id").alias("key")).where("key is not null").distinct()
+    free = work.cut(features(docs).join(marked, "key", "left_anti").select("content", "code"), "unlabelled")
+    model = co_train(
+        _content(pa.array([r["content"] for r in seen], pa.binary())), one_hot(_slots(pa.array([r["code"] for r in seen]))),
+        y, apart, Unlabelled(free),
+    )
+    work.drop("unlabelled")
+    return model
 
 
 def classify_quality(
