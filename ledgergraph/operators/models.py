@@ -44,12 +44,12 @@ def importances(spark: SparkSession, model, top: int = 10) -> DataFrame:
 
 def ml_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = OPERATORS["feat_account_table"].query(spark, sf_dir)
-    model, rows = train_gbt(table, trees=10, depth=4)
+    model, rows = train_gbt(table)
     return predict(model, rows)
 
 
 def ml_gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = train_gbt(OPERATORS["feat_account_table"].query(spark, sf_dir), trees=5, depth=3)
+    model, _ = train_gbt(OPERATORS["feat_account_table"].query(spark, sf_dir))
     return importances(spark, model)
 
 
