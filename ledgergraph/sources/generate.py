@@ -91,5 +91,5 @@ def gen_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"gen_mini": gen_mini, "gen_motifs": gen_motifs}
-COVERS = {"gen_mini": "S8 S24 S28", "gen_motifs": "S27"}
+COVERS = {"gen_mini": "S8 S24 S28", "gen_motifs": ""}
 SQL: dict[str, str] = {}

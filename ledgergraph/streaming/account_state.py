@@ -158,7 +158,7 @@ QUERIES = {
     "stream_account_features": stream_account_features,
 }
 COVERS = {
-    "stream_dedup": "S17 S18 T1 T10 T12 M9", "stream_hourly": "T14", "stream_account_features": "T2 T3 T4 T5 T6 T7 T11 T13 M11 E16",
+    "stream_dedup": "S17 S18 T1 T10 T12 M9", "stream_hourly": "T14", "stream_account_features": "T2 T4 T5 T6 T13 M11 E16",
 }
 SQL = {
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",
