@@ -131,20 +131,22 @@ def fit(
     """Learn from ``labelled`` (``key, text, lang``; null languages and texts teach
     nothing).
 
-    At most ``sample_docs`` documents of each language, those of the smallest key
-    hash, are read whole; their ``filter_grams`` n-grams of highest document
+    At most ``sample_docs`` different documents of each language, those of the
+    smallest hash of key and text, are read whole; their ``filter_grams`` n-grams of highest document
     frequency (ties by code) make the filter.  The driver gets one row per language
     and at most ``filter_grams`` per filter.
     """
-    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key"))
+    # the text is hashed too, so that null and repeated keys fall apart
+    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key", "text"))
     # of a uniform hash, four times the sample is left for the exact cut, however large the language
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
     low = F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < F.lit(4.0 * sample_docs) / F.col("all")
     by_hash = Window.partitionBy("lang").orderBy("h")
     cuts = (
         rows.select("lang", "h")
-        .join(counted, "lang")
+        .join(F.broadcast(counted), "lang")  # a row per language, each of which gets a filter on the driver
         .where(low)
+        .distinct()
         .withColumn("i", F.row_number().over(by_hash))
         .where(F.col("i") <= sample_docs)
         .groupBy("lang")
@@ -152,7 +154,11 @@ def fit(
     )
     work = Workspace(spark, "language")
     cuts = work.cut(cuts, "cuts")
-    sample = rows.join(cuts, "lang").where("h <= cut").select("lang", "text")
+    # repeated rows teach once, so a language's sample stays within its bound
+    sample = (
+        rows.join(F.broadcast(cuts), "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text"))
+        .select("lang", "text")
+    )
     counts = sample.mapInArrow(_document_frequencies, "lang string, gram bigint, n bigint")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
