@@ -2,22 +2,29 @@
 
 1. One pass over the texts gives each document its set of word shingles (64-bit
    hashes), ``rows * bands`` minima under strongly universal multiply-shift hash
-   functions, and a key per band of ``rows`` minima.
+   functions, a key per band of ``rows`` minima, and the lowest byte of each minimum.
 2. Documents with equal sets form a class (fingerprint, smallest id), so copies
    never meet as pairs; only the class representative goes on.
 3. Representatives that share a band key are tied to the smallest one there.
    Large-star/small-star components of these ties are *clumps*: every pair that
    shares any key lies in one clump.
-4. Inside a clump signatures are compared first: a pair whose share of equal minima
+4. A clump larger than a block may be a chain of pages that only share a template.
+   It is split again: its documents meet by band key, pairs whose minima agree too
+   seldom for a link are dropped, and components of the rest take its place, so a
+   chain costs as much as its buckets and not the square of its length.
+5. Inside a clump signatures are compared first: a pair whose share of equal minima
    falls over six standard deviations below the threshold is dropped (a true link
    does so with probability under 1e-8).  The others are confirmed on full shingle
    sets unless links found so far join them already, so a spanning set of links is
    left.  A clump larger than a block is dealt to block pairs, so no task holds more
    than two blocks.
-5. Components of the confirmed links, again by alternating stars, give the result.
+6. Components of the confirmed links, again by alternating stars, give the result.
 
 A pair at the threshold similarity ``s`` is missed by all bands with probability
-``(1 - s**rows)**bands``: 2.6e-7 for the default 6 x 32 at 0.85.
+``(1 - s**rows)**bands``: 2.6e-7 for the default 6 x 32 at 0.85.  Shingles are
+compared by a 64-bit hash: two documents of ``n`` different shingles together are
+judged wrongly only if two of these collide, with probability under ``n**2 / 2**65``
+(1e-11 at 20 000 shingles).
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -78,9 +85,12 @@ def _sketch(shingle: int, rows: int, bands: int):
                 sets, bounds = W.shingle_sets(piece, shingle)
                 size = np.diff(bounds)
                 full = size > 0
-                keys = np.empty(0, np.uint64)
+                keys, low = np.empty(0, np.uint64), [None] * len(piece)
                 if full.any():
-                    keys = band_keys(minima(sets, bounds[:-1][full], rows * bands), rows, bands)
+                    signature = minima(sets, bounds[:-1][full], rows * bands)
+                    keys = band_keys(signature, rows, bands)
+                    for i, own in zip(np.flatnonzero(full).tolist(), signature.astype(np.uint8), strict=True):
+                        low[i] = own.tobytes()
                 raw = sets.tobytes()
                 prints = [
                     hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None
@@ -94,8 +104,10 @@ def _sketch(shingle: int, rows: int, bands: int):
                         pa.array(size.astype(np.int64)),
                         pa.array(prints, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(lists), pa.array(keys.ravel().view(np.int64))),
+                        pa.array(low, pa.binary()),
+                        batch.column(2).slice(piece.first, len(piece)),
                     ],
-                    ["doc_id", "n_shingles", "fp", "keys"],
+                    ["doc_id", "n_shingles", "fp", "keys", "low", "mark"],
                 )
 
     return run
@@ -125,6 +137,75 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, pa.Table.from_batches(held)
 
 
+def least_agreement(percent: int, width: int) -> float:
+    """The share of ``width`` equal minima below which no pair can be a link."""
+    s = percent / 100
+    return s - 6 * math.sqrt(s * (1 - s) / width)
+
+
+def _agreeing(least: float):
+    """Spanning ties of the rows of a bucket's block pair whose minima's bytes agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in grouped(batches, 3):
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, table = block[order], table.take(pa.array(order))
+            rows = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(order), -1)
+            second, across = block != block[0], block[0] != block[-1]
+            label, found = np.arange(len(order)), []
+            for i in range(len(order) - 1):
+                if across and second[i]:
+                    break
+                near = np.flatnonzero((label != label[i]) & (second if across else np.arange(len(order)) > i))
+                near = near[(rows[near] == rows[i]).mean(axis=1) >= least]
+                for j in near.tolist():
+                    if label[j] != label[i]:
+                        found.append((i, j))
+                        label[label == label[j]] = label[i]
+            if found:
+                ends = [table.column("rep").take(pa.array([p[k] for p in found])).combine_chunks() for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, ["rep", "low"])
+
+    return run
+
+
+def _dealt(members: DataFrame, group: str, size: DataFrame) -> DataFrame:
+    """``members`` dealt to the block pairs ``i <= j`` of their group; ``size`` gives
+    each group's number of blocks ``m``."""
+    return (
+        members.join(size, group)
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))))
+        .withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+    )
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / F.lit(BLOCK_DOCS))
+
+
+def _split(work: Workspace, clumps: DataFrame, reps: DataFrame, least: float, kind: str) -> DataFrame:
+    """``node, component`` like ``clumps``, the large ones split to what bands and minima tie."""
+    large = (
+        clumps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK_DOCS).select("component")
+    )
+    inside = clumps.join(large, "component", "left_semi")
+    inside = inside.select("node").unionByName(large.select(F.col("component").alias("node")))
+    keyed = reps.join(inside, reps.rep == inside.node, "left_semi").dropDuplicates(["rep"])
+    keyed = work.cut(keyed.select("rep", "low", F.explode("keys").alias("key")), "large")
+    sizes = keyed.groupBy("key").agg(_blocks(F.count(F.lit(1))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = (
+        _dealt(keyed, "key", sizes.drop("n"))
+        .select("key", "i", "j", "rep", "block", "low")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_agreeing(least), f"rep {kind}, low {kind}")
+    )
+    return clumps.join(large, "component", "left_anti").unionByName(connected_components(ties, work, "split").select("component", "node"))
+
+
 def confirmed(
     sets: list[np.ndarray], signatures: np.ndarray, block: np.ndarray, percent: int
 ) -> list[tuple[int, int]]:
@@ -132,8 +213,7 @@ def confirmed(
     the sets: of all pairs if ``block`` is constant, else of pairs across the two
     blocks."""
     n, width = signatures.shape
-    s = percent / 100
-    least = s - 6 * math.sqrt(s * (1 - s) / width)
+    least = least_agreement(percent, width)
     size = [len(x) for x in sets]
     starts = np.cumsum([0, *size])
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -186,35 +266,18 @@ def _confirm(shingle: int, percent: int, n_minima: int):
     return run
 
 
-def near_duplicates(
-    spark: SparkSession,
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    percent: int = 80,
-    rows: int = 6,
-    bands: int = 32,
+def _found(
+    spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, rows: int, bands: int
 ) -> DataFrame:
-    """Near-duplicate components of whole texts.
-
-    Words are the maximal runs without ASCII white space, lower-cased A-Z; a set is
-    the distinct ``shingle``-word runs, or the whole sequence if shorter.  Two
-    documents are linked if ``100 * |A & B| >= percent * |A | B|``.
-
-    Returns ``id_col, n_shingles, component_id, kept``, a row per input row.
-    ``component_id`` is the smallest id reachable through links, ``kept`` whether it
-    is the row's own.  Null, empty and blank texts have an empty set, link with
-    nothing and are kept.  Rows that share an id count as one document, so they stay
-    or go together.  A row without an id has its class's component, and is kept only
-    if that is null too.  Other columns are not read; an empty table gives no rows.
-    """
+    """``doc_id, n_shingles, fp`` (null for an empty set) ``, mark`` (MD5 of the text of
+    a row without an id) ``, component`` of every row."""
     work = Workspace(spark, "near-dedup")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     sketches = work.cut(
-        source.mapInArrow(
-            _sketch(shingle, rows, bands), f"doc_id {kind}, n_shingles bigint, fp binary, keys array<bigint>"
+        source.withColumn("mark", F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary")))).mapInArrow(
+            _sketch(shingle, rows, bands),
+            f"doc_id {kind}, n_shingles bigint, fp binary, keys array<bigint>, low binary, mark string",
         ),
         "sketches",
     )
@@ -222,7 +285,7 @@ def near_duplicates(
     reps = (
         sketches.alias("s")
         .join(classes.alias("c"), (F.col("s.fp") == F.col("c.fp")) & (F.col("s.doc_id") == F.col("c.rep")))
-        .select("rep", "n_shingles", "keys")
+        .select("rep", "n_shingles", "keys", "low")
     )
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     shared = (
@@ -230,6 +293,7 @@ def near_duplicates(
     )
     ties = keyed.join(shared, "key").where("rep <> low").select("rep", "low")
     clumps = connected_components(ties, work, "clumps")
+    clumps = work.cut(_split(work, clumps, reps, least_agreement(percent, rows * bands), kind), "fine")
     members = work.cut(
         clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump"))
         .unionByName(clumps.select(F.col("component").alias("rep"), F.col("component").alias("clump")).distinct())
@@ -237,21 +301,13 @@ def near_duplicates(
         "members",
     )
     blocks = members.groupBy("clump").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
-        ).alias("m")
-    )
-    dealt = (
-        members.join(blocks, "clump")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))))
-        .select(
-            "clump", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block"
-        )
+        F.greatest(_blocks(F.count(F.lit(1))), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("m")
     )
     links = (
         # the dealt ids grow with the corpus, so they are shuffled at every size
-        dealt.hint("shuffle_hash")
+        _dealt(members, "clump", blocks)
+        .select("clump", "i", "j", "rep", "block")
+        .hint("shuffle_hash")
         .join(source, F.col("rep") == F.col("doc_id"))
         .select("clump", "i", "j", "rep", "block", "text")
         .repartition("clump", "i", "j")
@@ -265,7 +321,35 @@ def near_duplicates(
         ),
         "classes",
     )
-    return sketches.join(found, "fp", "left").select(
+    return sketches.select("doc_id", "n_shingles", "fp", "mark").join(found, "fp", "left")
+
+
+def near_duplicates(
+    spark: SparkSession,
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    rows: int = 6,
+    bands: int = 32,
+) -> DataFrame:
+    """Near-duplicate components of whole texts.
+
+    Words are the maximal runs without ASCII white space, lower-cased A-Z; a set is
+    the distinct ``shingle``-word runs, or the whole sequence if shorter.  Two
+    documents are linked if ``100 * |A & B| >= percent * |A | B|``.
+
+    Returns ``id_col, n_shingles, component_id, kept``, a row per input row.
+    ``component_id`` is the smallest id reachable through links, ``kept`` whether it
+    is the row's own.  Null, empty and blank texts have an empty set, link with
+    nothing and are kept.  Rows that share an id count as one document, so they stay
+    or go together.  A row without an id has the component of the rows with its set,
+    and is kept only if none of these has an id.  Other columns are not read; an
+    empty table gives no rows.
+    """
+    found = _found(spark, docs, id_col, text_col, shingle, percent, rows, bands)
+    return found.select(
         F.col("doc_id").alias(id_col),
         "n_shingles",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
@@ -275,8 +359,30 @@ def near_duplicates(
     )
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are not the kept one of their component."""
-    found = near_duplicates(spark, docs, id_col, text_col, **options)
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+def keep_one(
+    spark: SparkSession,
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    rows: int = 6,
+    bands: int = 32,
+) -> DataFrame:
+    """``docs`` without the rows that are not the kept one of their component.
+
+    Of rows without an id go those whose set a row with an id has; of the others with
+    equal sets one stays, that of the smallest text hash (rows of that very text are
+    told apart by a hash of all columns).
+    """
+    found = _found(spark, docs, id_col, text_col, shingle, percent, rows, bands).where("fp is not null")
+    gone = found.where("doc_id <> component").select(F.col("doc_id").alias("_gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    named = named.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+    nameless = found.where("doc_id is null").groupBy("fp").agg(F.max("component").alias("named"), F.min("mark").alias("mark"))
+    first = nameless.where("named is null").select(F.col("mark").alias("_first"))
+    alone = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), F.md5(F.col(text_col).cast("binary")).alias("_mark"))
+    some = alone.join(first, F.col("_mark") == F.col("_first")).groupBy("_mark")
+    some = some.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    blank = docs.where(F.col(id_col).isNull() & ~F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return named.unionByName(some).unionByName(blank)
