@@ -12,15 +12,17 @@ document has to hold every one of its shingles, so the window's prefix of
    room for the window's length; the hash of the whole window is compared and its
    words are then confirmed one by one.
 
-The benchmark side is joined in blocks of at most ``BLOCK_WINDOWS`` windows, each
-sent to the workers as one broadcast of bounded size; more blocks mean more passes
-over the documents, which carry the hits found so far.
+The benchmark side is joined in blocks of about ``BLOCK_WINDOWS`` windows, each sent
+to the workers as one broadcast of bounded size.  A pass over the documents is written
+before the next block is collected, so that one block lives at a time; rows carry the
+hits found so far, and more blocks mean more passes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -141,16 +143,15 @@ def _match(block: Broadcast):
             for piece in W.pieces(batch.column(1), W.ALNUM):
                 words[piece.first : piece.first + len(piece)] = np.diff(piece.bounds)
                 found = _occurrences(piece, index, groups)
-                for doc in sorted({d for d, _, _ in found}):
+                for doc, own in groupby(sorted(found), key=lambda x: x[0]):
                     row, size = piece.first + doc, int(words[piece.first + doc])
                     bits = np.zeros(size, bool)
                     if hits[row]:
                         bits = np.unpackbits(np.frombuffer(hits[row], np.uint8), count=size).astype(bool)
                     names = set(items[row] or ())
-                    for d, start, w in found:
-                        if d == doc:
-                            bits[start : start + int(index.n[w])] = True
-                            names.update(index.items[w])
+                    for _, start, w in own:
+                        bits[start : start + int(index.n[w])] = True
+                        names.update(index.items[w])
                     hits[row], items[row] = np.packbits(bits).tobytes(), sorted(names)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -252,16 +253,19 @@ def contamination(
     context = spark.sparkContext
 
     counts = None
-    parts = _parts(windows.select("k", "shingle").distinct().count())
+    shingles = windows.select("k", "shingle").distinct()
+    parts = _parts(shingles.count())
     for part in range(parts):
-        rows = windows.select("k", "shingle").distinct().where(_in_part("shingle", part, parts)).collect()
+        rows = shingles.where(_in_part("shingle", part, parts)).collect()
         block = [
             (k, np.unique(np.array([r["shingle"] for r in rows if r["k"] == k], np.int64).view(np.uint64)))
             for k in sorted({r["k"] for r in rows})
         ]
-        found = texts.mapInArrow(_count(context.broadcast(block)), "shingle bigint, n bigint")
+        sent = context.broadcast(block)
+        found = texts.mapInArrow(_count(sent), "shingle bigint, n bigint")
+        found = work.cut(found.groupBy("shingle").agg(F.sum("n").alias("n_docs")), f"counts-{part}")
+        sent.unpersist()
         counts = found if counts is None else counts.unionByName(found)
-    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n_docs"))
     prefixes = (
         windows.select("win", "n", "k", "offset", "shingle")
         .distinct()
@@ -291,8 +295,13 @@ def contamination(
     )
     parts = _parts(index.count())
     for part in range(parts):
-        block = Index(index.where(_in_part("win", part, parts)).orderBy("win").collect())
-        rows = rows.select("key", "text", "hit", "items").mapInArrow(_match(context.broadcast(block)), schema)
+        sent = context.broadcast(Index(index.where(_in_part("win", part, parts)).orderBy("win").collect()))
+        rows = rows.select("key", "text", "hit", "items").mapInArrow(_match(sent), schema)
+        if part < parts - 1:
+            rows = work.cut(rows, f"hits-{part}")
+            sent.unpersist()
+            if part:
+                work.drop(f"hits-{part - 1}")
     return rows.select(
         F.col("key").alias(key),
         "n_words",
