@@ -10,8 +10,9 @@ conditional likelihood (semi-Markov forward-backward) of generated sentences wit
 known spans, so no document teaches the model.
 
 A segment must hold a trigger and at most ``MAX_CHARS`` characters; no segment
-crosses a region's border, so regions decide independently and texts of any length
-take memory for a region at a time.
+crosses a region's border, so regions decide independently.  Decoding goes from token
+to token and keeps, of a region of any length, two numbers a token and the segments
+that end ahead; a span's score depends on its shape alone and is remembered by it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,14 +64,12 @@ _MAIL_LIKE = re.compile(
 Span = tuple[int, int, str]
 
 
+#: Every second digit doubled, and its digits added.
+_DOUBLED = str.maketrans("0123456789", "0246813579")
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        if i % 2:
-            d = d * 2 - 9 if d > 4 else d * 2
-        total += d
-    return total % 10 == 0
+    return sum(map(int, digits[-1::-2])) % 10 == -sum(map(int, digits[-2::-2].translate(_DOUBLED))) % 10
 
 
 def _digits(text: str) -> str:
@@ -114,57 +114,100 @@ def _char_class(c: str) -> str:
     return "space" if c.isspace() else "letter" if c.isalpha() else "digit" if c.isdigit() else c
 
 
-def features(span: str, left: str, right: str, kind: str) -> list[str]:
-    """Features of a whole candidate span for one type."""
-    groups = [len(g) for g in re.findall(r"[0-9]+", span)]
+#: What a score depends on: digits in groups, marks, neighbours' classes, and whether the
+#: span is like an address, passes Luhn, has four octets, and begins with a plus.
+Shape = tuple[tuple[int, ...], str, str, str, bool, bool, bool, bool]
+
+_NO_MARKS = str.maketrans("", "", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+@lru_cache(maxsize=1 << 14)
+def _marks(rest: str) -> str:
+    return "".join(sorted(set(rest)))
+
+
+_GROUPS = re.compile(r"[0-9]+").findall
+
+
+def shape(span: str, left: str, right: str, mail: bool) -> Shape:
+    groups = _GROUPS(span)
+    lengths = tuple(map(len, groups))
+    return (
+        lengths,
+        _marks(span.translate(_NO_MARKS)),
+        _char_class(left),
+        _char_class(right),
+        mail,
+        12 <= sum(lengths) <= 19 and luhn("".join(groups)),
+        len(groups) == 4 and all(int(g[:4]) <= 255 for g in groups),
+        span[0] == "+",
+    )
+
+
+@lru_cache(maxsize=1 << 14)
+def features(of: Shape, kind: str) -> tuple[str, ...]:
+    """Names of a shape's features for one type."""
+    groups, marks, left, right, mail, checks, octets, plus = of
     n = sum(groups)
-    digits = _digits(span)
-    out = [
+    out = (
         "bias",
         f"n={min(n, 20)}",
         f"groups={'-'.join(map(str, groups)) if len(groups) <= 5 else 'many'}",
-        f"marks={''.join(sorted(set(re.sub(r'[A-Za-z0-9]', '', span))))}",
-        f"left={_char_class(left)}",
-        f"right={_char_class(right)}",
-        f"mail={bool(_MAIL_LIKE.match(span))}",
-        f"luhn={12 <= n <= 19 and luhn(digits)}",
-        f"octets={len(groups) == 4 and all(int(g[:4]) <= 255 for g in re.findall(r'[0-9]+', span))}",
-        f"plus={span[0] == '+'}",
+        f"marks={marks}",
+        f"left={left}",
+        f"right={right}",
+        f"mail={mail}",
+        f"luhn={checks}",
+        f"octets={octets}",
+        f"plus={plus}",
         f"long={n >= 9}",
-    ]
-    return [f"{kind}|{f}" for f in out]
+    )
+    return tuple(f"{kind}|{f}" for f in out)
 
 
 class Region:
     """Tokens around triggers and the candidate segments among them."""
 
     def __init__(self, text: str, begin: int, end: int):
-        self.tokens = [(begin + m.start(), begin + m.end()) for m in _TOKEN.finditer(text[begin:end])]
-        self.candidates: list[tuple[int, int, str, list[str]]] = []
-        for i, (a, _) in enumerate(self.tokens):
-            c, before = text[a], text[a - 1] if a else ""
-            if c.isspace() or (c.isalnum() and before.isalnum()):
+        self.text = text
+        self.start, self.end = array("q"), array("q")
+        for m in _TOKEN.finditer(text, begin, end):
+            self.start.append(m.start())
+            self.end.append(m.end())
+
+    def starting(self, i: int) -> Iterator[tuple[int, tuple[str, ...], Shape]]:
+        """Last token, possible types and shape of the candidates from token ``i``."""
+        text, a = self.text, self.start[i]
+        c, before = text[a], text[a - 1] if a else ""
+        if c.isspace() or (c.isalnum() and before.isalnum()):
+            return
+        number = c in "0123456789+("
+        at = _AT.search(text, a, a + MAX_CHARS)
+        groups = n = 0
+        for j in range(i, min(i + MAX_TOKENS, len(self.start))):
+            first, b = self.start[j], self.end[j]
+            if b - a > MAX_CHARS or not (number or at):
+                return
+            if number and "0" <= text[first] <= "9":
+                groups, n = groups + 1, n + b - first
+            number = number and groups <= MAX_GROUPS and n <= MAX_DIGITS
+            after = text[b] if b < len(text) else ""
+            figures = number and (groups == 4 or n >= MIN_DIGITS)
+            if not (figures or at) or not text[b - 1].isalnum() or after.isalnum():
                 continue
-            number = c in "0123456789+("
-            groups = n = 0
-            for j in range(i, min(i + MAX_TOKENS, len(self.tokens))):
-                first, b = self.tokens[j]
-                if b - a > MAX_CHARS:
-                    break
-                if number and "0" <= text[first] <= "9":
-                    groups, n = groups + 1, n + b - first
-                number = number and groups <= MAX_GROUPS and n <= MAX_DIGITS
-                after = text[b] if b < len(text) else ""
-                if not text[b - 1].isalnum() or after.isalnum():
-                    continue
-                span = text[a:b]
-                kinds: tuple[str, ...] = ()
-                if number and (groups == 4 or n >= MIN_DIGITS) and _NUMERIC.match(span):
-                    kinds = KINDS[1:]
-                elif _MAIL_LIKE.match(span):
-                    kinds = KINDS[:1]
-                for kind in kinds:
-                    self.candidates.append((i, j, kind, features(span, before, after, kind)))
+            span = text[a:b]
+            mail = at is not None and b > at.start() and bool(_MAIL_LIKE.match(span))
+            if figures and _NUMERIC.match(span):
+                yield j, KINDS[1:], shape(span, before, after, mail)
+            elif mail:
+                yield j, KINDS[:1], shape(span, before, after, mail)
+
+    def candidates(self) -> list[tuple[int, int, str, Shape]]:
+        """All of them: first and last token, type, shape."""
+        return [(i, j, kind, of) for i in range(len(self.start)) for j, kinds, of in self.starting(i) for kind in kinds]
+
+    def span(self, i: int, j: int, kind: str) -> Span:
+        return self.start[i], self.end[j], kind
 
 
 def regions(text: str) -> Iterator[Region]:
@@ -183,43 +226,56 @@ def regions(text: str) -> Iterator[Region]:
         yield Region(text, begin, end)
 
 
+#: Shapes whose scores a field remembers before it starts anew.
+REMEMBERED = 1 << 16
+
+
 class SemiMarkovField:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self._known: dict[tuple[Shape, tuple[str, ...]], tuple[float, ...]] = {}
 
-    def _scores(self, region: Region) -> list[float]:
+    def score(self, of: Shape, kind: str) -> float:
         w = self.weights
-        return [sum(w.get(f, 0.0) for f in c[3]) for c in region.candidates]
+        return sum(w.get(f, 0.0) for f in features(of, kind))
+
+    def _scores(self, of: Shape, kinds: tuple[str, ...]) -> tuple[float, ...]:
+        known = self._known.get((of, kinds))
+        if known is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            known = self._known[of, kinds] = tuple(self.score(of, kind) for kind in kinds)
+        return known
 
     def decode(self, region: Region) -> list[Span]:
         """The best segmentation's entities; a tie prefers fewer."""
-        scores = self._scores(region)
-        ending: dict[int, list[int]] = {}
-        for k, c in enumerate(region.candidates):
-            if scores[k] > 0:  # outside tokens score 0, so no other can be in the best
-                ending.setdefault(c[1], []).append(k)
-        n = len(region.tokens)
-        best, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(n):
-            best[j + 1] = best[j]
-            for k in ending.get(j, ()):
-                value = best[region.candidates[k][0]] + scores[k]
-                if value > best[j + 1]:
-                    best[j + 1], back[j + 1] = value, k
+        n = len(region.start)
+        best, back = array("d", bytes(8 * (n + 1))), array("q", [-1]) * (n + 1)
+        kept: list[tuple[int, int, str]] = []
+        ending: dict[int, list[tuple[float, int, str]]] = {}
+        for i in range(n):
+            for j, kinds, of in region.starting(i):
+                for kind, value in zip(kinds, self._scores(of, kinds), strict=True):
+                    if value > 0:  # outside tokens score 0, so no other can be in the best
+                        ending.setdefault(j, []).append((value, i, kind))
+            best[i + 1] = best[i]
+            for value, first, kind in ending.pop(i, ()):
+                if best[first] + value > best[i + 1]:
+                    best[i + 1], back[i + 1] = best[first] + value, len(kept)
+                    kept.append((first, i, kind))
         out, j = [], n
         while j > 0:
             if back[j] < 0:
                 j -= 1
                 continue
-            i, e, kind, _ = region.candidates[back[j]]
-            out.append((region.tokens[i][0], region.tokens[e][1], kind))
-            j = i
+            out.append(region.span(*kept[back[j]]))
+            j = kept[back[j]][0]
         return out[::-1]
 
-    def expectations(self, region: Region) -> np.ndarray:
+    def expectations(self, region: Region, cands: list[tuple[int, int, str, Shape]]) -> np.ndarray:
         """Probability of each candidate segment (forward-backward over segment ends)."""
-        scores = self._scores(region)
-        n, cands = len(region.tokens), region.candidates
+        scores = [self.score(of, kind) for _, _, kind, of in cands]
+        n = len(region.start)
         ending: dict[int, list[int]] = {}
         starting: dict[int, list[int]] = {}
         for k, c in enumerate(cands):
@@ -301,17 +357,15 @@ def generated_sentences(n: int = SENTENCES) -> Iterator[tuple[str, set[Span]]]:
 @lru_cache(maxsize=1)
 def trained() -> SemiMarkovField:
     """Fit by AdaGrad on the conditional log-likelihood with a small L2 penalty."""
-    data = [(r, spans) for text, spans in generated_sentences() for r in regions(text)]
+    data = [(r, r.candidates(), spans) for text, spans in generated_sentences() for r in regions(text)]
     field = SemiMarkovField({})
     squares: dict[str, float] = {}
     for _ in range(EPOCHS):
-        for region, spans in data:
+        for region, cands, spans in data:
             slope: dict[str, float] = {}
-            gold = [
-                (region.tokens[i][0], region.tokens[j][1], kind) in spans for i, j, kind, _ in region.candidates
-            ]
-            for p, hit, (_, _, _, names) in zip(field.expectations(region), gold, region.candidates, strict=True):
-                for f in names:
+            gold = [region.span(i, j, kind) in spans for i, j, kind, _ in cands]
+            for p, hit, (_, _, kind, of) in zip(field.expectations(region, cands), gold, cands, strict=True):
+                for f in features(of, kind):
                     slope[f] = slope.get(f, 0.0) + hit - p
             for f, g in slope.items():
                 g -= 1e-3 * field.weights.get(f, 0.0)

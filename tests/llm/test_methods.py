@@ -144,12 +144,12 @@ def test_field_decodes_the_best_segmentation():
     for _ in range(60):
         text = "".join(rng.choice(["12", "345", "6789", "-", ".", " ", "(", ")", "+1", "at"]) for _ in range(7))
         for region in pii.regions(text):
-            scores = dict(zip(((c[0], c[1], c[2]) for c in region.candidates), field._scores(region), strict=True))
+            scores = {(i, j, kind): field.score(of, kind) for i, j, kind, of in region.candidates()}
             best = max(
                 (sum(scores[s] for s in chosen) for n in range(3) for chosen in itertools.combinations(scores, n) if all(a[1] < b[0] or b[1] < a[0] for a, b in itertools.combinations(chosen, 2))),
                 default=0.0,
             )
-            place = {(region.tokens[i][0], region.tokens[j][1], k): (i, j, k) for i, j, k in scores}
+            place = {region.span(*c): c for c in scores}
             assert sum(scores[place[s]] for s in field.decode(region)) >= best - 1e-9
 
 
