@@ -8,7 +8,7 @@ documents kept apart, a small logistic model on the two calibrated logits combin
 them, and every document is scored.
 
 Only labelled documents are a bounded sample: at most ``LABELLED``, those of the
-smallest id hash, whose features come to the driver.  Unlabelled ones stay in Spark:
+smallest id hash, whose features come to the driver (of a repeated id those of one row).  Unlabelled ones stay in Spark:
 the content view is fitted on gradients and curvatures that tasks add up, the
 metadata view on counts by its slots, of which there are at most 24 576.  Within a
 class, pseudo-labelled documents weigh together at most as much as labelled ones.
@@ -39,7 +39,7 @@ META_DIM = _SOURCES + _LANGS + _LENGTHS
 
 #: Newton steps of a fit that reads the unlabelled documents, and the change that ends it;
 #: and the tasks that add up what all tasks found.
-_STEPS, _SETTLED, _ADDERS = 8, 1e-4, 4
+_STEPS, _SETTLED, _ADDERS = 16, 1e-4, 4
 
 _LINES = np.ones(256, bool)
 _LINES[0x0A] = False
@@ -173,10 +173,10 @@ class CoTrained:
 
 
 class Sums:
-    """Per class (0, 1): rows, gradient and curvature of the logistic loss."""
+    """Per class (0, 1): rows, and value, gradient and curvature of the logistic loss."""
 
     def __init__(self, dim: int):
-        self.n, self.slope, self.curve = np.zeros(2), np.zeros((2, dim)), np.zeros((2, dim, dim))
+        self.n, self.loss, self.slope, self.curve = np.zeros(2), np.zeros(2), np.zeros((2, dim)), np.zeros((2, dim, dim))
 
     def add(self, x: np.ndarray, label: int, w: np.ndarray, times: np.ndarray | float = 1.0) -> None:
         """Rows ``x`` (without the constant), each counted ``times``."""
@@ -184,37 +184,45 @@ class Sums:
         times = np.broadcast_to(times, len(x))
         p = sigmoid(x @ w)
         self.n[label] += times.sum()
+        self.loss[label] += times @ np.logaddexp(0.0, x @ w if label == 0 else -(x @ w))
         self.slope[label] += x.T @ (times * (p - label))
         self.curve[label] += (x * (times * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
 
     def to_bytes(self) -> bytes:
-        return b"".join(x.astype("<f8").tobytes() for x in (self.n, self.slope, self.curve))
+        return b"".join(x.astype("<f8").tobytes() for x in (self.n, self.loss, self.slope, self.curve))
 
     def merge(self, data: bytes) -> None:
         found, at = np.frombuffer(data, "<f8"), 0
-        for x in (self.n, self.slope, self.curve):
+        for x in (self.n, self.loss, self.slope, self.curve):
             x += found[at : at + x.size].reshape(x.shape)
             at += x.size
 
 
 def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
     """``fit_logistic`` from ``w`` on, with the rows whose :class:`Sums` at given weights
-    are ``free(weights)``; these count together at most as much as their class in ``y``."""
+    are ``free(weights)``; these count together at most as much as their class in ``y``.
+    A step that raises the loss is halved."""
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-9
+    best, step = np.inf, np.zeros(len(w))
     for _ in range(_STEPS):
         known, more = Sums(len(w)), free(w)
         if not more.n.any():
             return fit_logistic(x, y, penalty)
         for label in (0, 1):
             known.add(x[y == label], label, w)
-        slope, curve = ridge * w, np.diag(ridge) + 1e-9 * np.eye(len(w))
+        loss, slope, curve = ridge @ (w * w) / 2, ridge * w, np.diag(ridge) + 1e-9 * np.eye(len(w))
         for label in (0, 1):
             each = min(1.0, known.n[label] / max(more.n[label], 1.0))
             share = 0.5 / (known.n[label] + each * more.n[label])
+            loss += share * (known.loss[label] + each * more.loss[label])
             slope = slope + share * (known.slope[label] + each * more.slope[label])
             curve = curve + share * (known.curve[label] + each * more.curve[label])
-        step = np.linalg.solve(curve, slope)
+        if loss > best:
+            step = step / 2
+            w = w + step
+            continue
+        best, step = loss, np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < _SETTLED:
             break
@@ -361,7 +369,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
         return some.mapInArrow(_features, f"key {kind}, content binary, code bigint")
 
     taught = docs.join(sample.select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
-    seen = features(taught).join(sample, "key").select("h", "quality", "content", "code").collect()
+    # a document that is repeated, with whatever texts, teaches once
+    once = features(taught).groupBy("key").agg(F.min(F.struct("content", "code")).alias("x")).select("key", "x.*")
+    seen = once.join(sample, "key").select("h", "quality", "content", "code").collect()
     if not seen:
         return None
     seen.sort(key=lambda r: (r["h"], r["content"]))
