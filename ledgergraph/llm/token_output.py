@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,9 @@ MAGIC = b"LGTOKEN1"
 BLOCK_IDS = 4096
 #: A segment is closed once it holds so many ids (a longer document makes a longer one).
 SEGMENT_IDS = 1 << 16
-#: Distinct chunks that a worker remembers before it starts anew.
+#: Distinct chunks, and their characters, that a worker remembers before it starts anew.
 CACHE_CHUNKS = 1_000_000
+CACHE_CHARS = 16 << 20
 PIECE_BYTES = 1 << 22
 
 
@@ -163,7 +164,7 @@ class Encoder:
     def _reset(self) -> None:
         self.place: dict[str, int] = {"": 0}
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.chars = 0
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
@@ -179,6 +180,7 @@ class Encoder:
         self.first[k : k + n] = self.used + np.cumsum(lengths) - lengths
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.chars += sum(map(len, chunks))
         self.place.update(zip(chunks, range(k, k + n), strict=True))
 
     def _learn(self, chunks: list[str]) -> None:
@@ -187,7 +189,8 @@ class Encoder:
             some = plain[i : i + 2048]
             ids = self._encode(f" {self.MARK} ".join([*some, ""]))
             cuts = np.flatnonzero(ids == self.mark)
-            assert len(cuts) == len(some), "the mark does not part chunks in this tokenizer"
+            if len(cuts) != len(some):
+                raise ValueError("the mark does not part chunks in this tokenizer")
             self._remember(some, np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1)
         for c in set(chunks) - set(plain):
             ids = self._encode(c)
@@ -210,7 +213,7 @@ class Encoder:
             lists = pc.split_pattern(strings, " ")
             coded = lists.flatten().dictionary_encode()
             known = coded.dictionary.to_pylist()
-            if len(self.place) > CACHE_CHUNKS:
+            if len(self.place) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
                 self._reset()
             places = list(map(self.place.get, known))
             new = [k for k, x in enumerate(places) if x is None]
@@ -319,11 +322,13 @@ def write_tokens(
     text_col: str = "text",
     end_id: int = 2,
     vocabulary: int | None = None,
+    order: list[Column] | None = None,
 ) -> None:
     """Write the ids of all documents, each followed by ``end_id``, as a table of
-    segments below ``path``; ``part`` and then ``before`` order them by ascending
-    document id (null first, equal ids by text).  ``tokenizer`` is the path of a
-    white-space-dropping tokenizer on every machine."""
+    segments below ``path``; ``part`` and then ``before`` order them by the columns
+    ``order``, without these by ascending document id (null first, equal ids by a hash
+    of the text, so that these can lie in several parts).  ``tokenizer`` is the path of
+    a white-space-dropping tokenizer on every machine."""
     if vocabulary is None:
         vocabulary = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     kind = docs.schema[id_col].dataType
@@ -331,10 +336,14 @@ def write_tokens(
         T.StructType().add("part", "integer").add("before", "long").add("n_ids", "long")
         .add("doc_ids", T.ArrayType(kind)).add("segment", "binary")
     )
+    keys = order or [F.col(id_col), F.xxhash64(text_col)]
+    names = [f"k{i}" for i in range(len(keys))]
+    by = [F.col(n).asc_nulls_first() for n in names]
     (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by, "text")
+        .select("doc_id", "text")
         .mapInArrow(_segments(tokenizer, end_id, vocabulary), schema)
         .write.mode("overwrite")
         .parquet(path)
