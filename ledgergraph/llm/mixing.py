@@ -11,13 +11,14 @@ weight over training time [0, 1], is integrated to the demand up to each moment;
 inverting it at a copy's middle gives the copy's training position.  Documents are
 then range-sorted by position.
 
-The order within a source is by MD5 of the id, cut into buckets of bounded size
+The order within a source is by MD5 of id and text, cut into buckets of bounded size
 whose sums give running offsets, so no source's documents meet in one task.  Only
 DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,10 @@ def position(share: Column, curve: Column, curves: tuple = CURVES) -> Column:
     return times[0]
 
 
+#: Buckets of a source whose sums one window adds up.
+RUN = 4096
+
+
 def plan(
     spark: SparkSession,
     sized: DataFrame,
@@ -128,35 +133,44 @@ def plan(
     cap: float = CAP,
     curves: tuple = CURVES,
 ) -> DataFrame:
-    """``sized`` (``key, id, source, size``, and more) with ``source_size, target,
+    """``sized`` (``id, mark, source, size``, and more) with ``source_size, target,
     curve, before`` (words of the source ahead in a pass) and ``copies``.
 
-    Equal ids follow each other by size.  Documents without words are not taken.
+    A source's order is by MD5 of id and mark.  Buckets of this hash are added up in
+    runs of ``RUN`` and the runs in turn, so a window holds a bucket's rows, a run's
+    buckets or a source's runs.  Documents without words are not taken.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    totals = Workspace(spark, "mixing").cut(totals, "sources")
+    work = Workspace(spark, "mixing")
+    totals = work.cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     rows = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("mark", F.lit("")))
     dealt = (
-        sized.withColumn("h", digest)
+        sized.withColumn("h", F.md5(key.cast("binary")))
         .withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)))
         .withColumn("named", F.col("source").isNotNull())
         .withColumn("name", F.coalesce("source", F.lit("")))
     )
     aims = targets(totals.drop("n"), weights, cap, len(curves))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    owns = work.cut(
+        dealt.groupBy("named", "name", "bucket").agg(F.sum("size").alias("own")).withColumn("run", F.floor(F.col("bucket") / RUN)),
+        "buckets",
+    )
+    ahead = Window.partitionBy("named", "name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        owns.groupBy("named", "name", "run").agg(F.sum("own").alias("own"))
+        .withColumn("runs_before", F.coalesce(F.sum("own").over(ahead), F.lit(0))).drop("own")
+    )
+    in_run = Window.partitionBy("named", "name", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        dealt.groupBy("source", "bucket")
-        .agg(F.sum("size").alias("own"))
-        .withColumn("base", F.coalesce(F.sum("own").over(ahead), F.lit(0)))
-        .select(F.col("source").alias("s"), "bucket", "base")
-        .join(aims, F.col("s").eqNullSafe(F.col("source")))
-        .select(
-            F.col("s").isNotNull().alias("named"), F.coalesce("s", F.lit("")).alias("name"), "bucket", "base",
-            "source_size", "target", "curve",
+        owns.withColumn("in_run", F.coalesce(F.sum("own").over(in_run), F.lit(0)))
+        .join(runs, ["named", "name", "run"])
+        .join(
+            aims.select(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target", "curve"),
+            ["named", "name"],
         )
-    )
+        .select("named", "name", "bucket", (F.col("in_run") + F.col("runs_before")).alias("base"), "source_size", "target", "curve")
+    )
     inside = (
         Window.partitionBy("named", "name", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -165,7 +179,7 @@ def plan(
     )
     passes = F.ceil((F.col("target") - F.col("before") - F.col("size") / 2) / F.col("source_size"))
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), passes)).otherwise(0).cast("long")
-    return placed.withColumn("copies", copies).drop("h", "bucket", "named", "name", "base")
+    return placed.withColumn("copies", copies).drop("h", "bucket", "named", "name", "base", "mark")
 
 
 def share_of(copy: Column) -> Column:
@@ -173,6 +187,12 @@ def share_of(copy: Column) -> Column:
     return (copy * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    text = F.col(text_col)
+    mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return docs.select(*more, F.col(id_col).alias("id"), mark.alias("mark"), F.col(source_col).alias("source"), word_count(text).alias("size"))
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -183,22 +203,19 @@ def mix(
     cap: float = CAP,
     curves: tuple = CURVES,
 ) -> DataFrame:
-    """How much of every document the mix takes.
+    """How much of every document the mix takes, in training order.
 
     Returns ``id_col, size, source_size, target, taken, copies, first_position`` per
-    row; ``first_position`` (training time of the first copy) is null where nothing
-    is taken.  A null text has size 0 and is not taken; null sources are one source;
-    null ids are ordered as the empty string.  Whole documents are taken, so a
-    source misses its target by half a document at most.  An empty table gives no
-    rows.
+    row, range-sorted by ``first_position`` (training time of the first copy), which is
+    null, and last, where nothing is taken.  A null text has size 0 and is not taken;
+    null sources are one source; null and repeated ids are told apart by their texts,
+    and of equal rows one follows the other.  Whole documents are taken, so a source
+    misses its target by half a document at most.  An empty table gives no rows.
     """
-    sized = Workspace(spark, "mixing").cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
-        "sizes",
-    )
+    sized = Workspace(spark, "mixing").cut(_sized(docs, id_col, text_col, source_col), "sizes")
     planned = plan(spark, sized, weights, cap, curves)
     first = F.when(F.col("copies") > 0, position(share_of(F.lit(0)), F.col("curve"), curves))
-    return planned.select(
+    found = planned.select(
         F.col("id").alias(id_col),
         "size",
         "source_size",
@@ -207,6 +224,17 @@ def mix(
         "copies",
         F.round(first, 9).alias("first_position"),
     )
+    by = [F.col("first_position").asc_nulls_last(), F.col(id_col), F.col("size")]
+    return found.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def _in_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have a place in files, or else written out."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return Workspace(spark, "mixing").cut(docs, "docs")
 
 
 def take(
@@ -220,17 +248,35 @@ def take(
     curves: tuple = CURVES,
 ) -> DataFrame:
     """The mixed corpus: ``docs``' columns, a row per taken copy, range-sorted by
-    training position (ties by id and copy)."""
-    sized = docs.select(
-        F.struct("*").alias("row"),
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-    )
+    training position (ties by id, copy and place in the files).
+
+    Sizes, order and positions are worked out on rows without texts, known by their
+    place in the files of ``docs``; whole rows meet only their copies' positions, so
+    neither equal ids nor equal rows gather.
+    """
+    docs = _in_files(spark, docs)
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    sized = Workspace(spark, "mixing").cut(_sized(docs, id_col, text_col, source_col, *place), "sizes")
     planned = plan(spark, sized, weights, cap, curves)
-    copies = planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    placed = copies.select("row", "id", "copy", position(share_of(F.col("copy")), F.col("curve"), curves).alias("position"))
-    return placed.repartitionByRange("position", "id", "copy").sortWithinPartitions("position", "id", "copy").select("row.*")
+    copies = planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    at = copies.select("_file", "_row", "_copy", position(share_of(F.col("_copy")), F.col("curve"), curves).alias("_at"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), *place)
+    by = ["_at", "_id", "_copy", "_file", "_row"]
+    # positions grow with the corpus, so they are shuffled at every size
+    placed = whole.join(at.hint("shuffle_merge"), ["_file", "_row"])
+    return placed.repartitionByRange(*by).sortWithinPartitions(*by).select("row.*")
+
+
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """Columns that order rows as a range-sorted table was written: part file, then
+    place in it.  ``None`` if the rows are not read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, "^part-([0-9]+)", 1).try_cast("long")
+    return [part, name, F.col("_metadata.row_index")]
 
 
 _PIECE_ROWS = ", ".join(
@@ -242,7 +288,7 @@ _PIECE_ROWS = ", ".join(
 #: DuckDB's rows for :func:`mix` with the defaults, ``first_position`` to 9 places.
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, md5(coalesce(text, '')) AS mark, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -264,7 +310,7 @@ aims AS (
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, a.source_size, a.target, a.curve,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.size
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.mark), s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
 counted AS (
