@@ -27,10 +27,12 @@ def _field(value: Column) -> Column:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, hashes, rendered``: a row per conversation, ``hashes[k]``
+    """``conv_id, n_turns, logged, hashes, rendered``: a row per conversation, ``hashes[k]``
     of its first ``k + 1`` turns.  Turns come by number, then role and text (null
-    first); a conversation's turns are gathered because they make up one text."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    first); a conversation's turns are gathered because they make up one text.  A turn
+    without ``conv_id`` belongs to no other and is a conversation of its own; equal ones
+    share a row, and ``logged`` counts them."""
+    one = F.struct("turn", "role", "text")
     marked = F.transform(
         "turns", lambda t: F.concat(_field(t["role"]), _field(t["text"]))
     )
@@ -50,11 +52,17 @@ def conversations(turns: DataFrame) -> DataFrame:
         ),
         "\n",
     )
+    turns = turns.select("conv_id", "turn", "role", "text")
+    gathered = turns.where("conv_id is not null").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(one)).alias("turns"), F.lit(1).cast("long").alias("logged")
+    )
+    single = turns.where("conv_id is null").groupBy("conv_id", "role", "text").agg(
+        F.min("turn").alias("turn"), F.count(F.lit(1)).alias("logged")
+    )
+    single = single.select("conv_id", F.array(one).alias("turns"), "logged")
     return (
-        turns.select("conv_id", "turn", "role", "text")
-        .groupBy("conv_id")
-        .agg(ordered.alias("turns"))
-        .select("conv_id", F.size("turns").alias("n_turns"), chain.alias("hashes"), shown.alias("rendered"))
+        gathered.unionByName(single)
+        .select("conv_id", F.size("turns").alias("n_turns"), "logged", chain.alias("hashes"), shown.alias("rendered"))
     )
 
 
@@ -62,8 +70,9 @@ def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """``conv_id, n_turns, copies, rendered`` of every maximal conversation.
 
     A conversation that equals the opening turns (roles and texts) of a longer one is
-    left out; of equal ones the smallest id stays and ``copies`` counts them.  Turns
-    of a null ``conv_id`` are one conversation.  A null role or text renders as empty
+    left out; of equal ones the smallest id stays (one without an id if none has any)
+    and ``copies`` counts them.  A turn of a null ``conv_id`` is a conversation of its
+    own.  A null role or text renders as empty
     but differs from an empty one.  Repeated turn rows are turns of their own.
     ``turns`` needs ``conv_id, turn, role, text``; others are not read.
     """
@@ -71,7 +80,7 @@ def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
     whole = F.col("hashes")[F.col("n_turns") - 1]
     opened = found.where("n_turns > 1").select(F.explode(F.slice("hashes", 1, F.col("n_turns") - 1)).alias("whole")).distinct()
     first = found.groupBy(whole.alias("whole")).agg(
-        F.min("conv_id").alias("keeper"), F.count(F.lit(1)).alias("copies")
+        F.min("conv_id").alias("keeper"), F.sum("logged").alias("copies")
     )
     maximal = first.join(opened, "whole", "left_anti")
     return maximal.join(
@@ -85,7 +94,8 @@ SQL = """
 WITH gathered AS (
   SELECT conv_id, count(*) AS n_turns,
     list({'role': role, 'text': text} ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS turns
-  FROM conversations GROUP BY conv_id),
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT conv_id, 1, [{'role': role, 'text': text}] FROM conversations WHERE conv_id IS NULL),
 keyed AS (
   SELECT conv_id, n_turns,
     array_to_string(list_transform(turns, lambda t: coalesce('r' || length(t.role) || ':' || t.role, '-')
@@ -94,7 +104,7 @@ keyed AS (
       || coalesce(t.text, '') || '<|im_end|>'), chr(10)) AS rendered
   FROM gathered),
 firsts AS (SELECT key, min(conv_id) AS conv_id, count(*) AS copies FROM keyed GROUP BY key)
-SELECT k.conv_id, k.n_turns, f.copies, k.rendered
+SELECT DISTINCT k.conv_id, k.n_turns, f.copies, k.rendered
 FROM firsts f JOIN keyed k ON k.key = f.key AND k.conv_id IS NOT DISTINCT FROM f.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM keyed o WHERE o.n_turns > k.n_turns AND starts_with(o.key, k.key))
 """
