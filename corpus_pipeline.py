@@ -39,8 +39,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids are written bit-packed; the rows come from the written segments."""
-    return token_output(spark, docs, tokenizer_path())
+    """Ids are written bit-packed in the order of the mix, which is that of the rows in
+    their files (of ids, if there are none); the rows come from the written segments."""
+    return token_output(spark, docs, tokenizer_path(), order=mixing.written_order(docs))
 
 
 STAGES = [
