@@ -2,8 +2,9 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
 back, so a lost executor costs a re-read and never a re-computation of earlier
-rounds.  Only where that setting is absent (tests, local mode) a folder of this
-process is used and removed when the process ends.
+rounds.  Only in local mode, where that setting is absent, a folder of this process
+is used; on a cluster executors would not see it, so the setting is asked for there.
+A run's folder is deleted when the driver's file system closes.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or this process's own folder."""
+    """``spark.checkpoint.dir`` of the session, or in local mode this process's own folder."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="ledgergraph-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -52,6 +55,9 @@ class Workspace:
         small_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/ledgergraph/{name}-{uuid.uuid4().hex}"
+        path, files = self._files(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -61,6 +67,11 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(f"{self.path}/{name}")
+        files.delete(path, True)
+
+    def _files(self, name: str):
+        """A path, and the file system that holds it."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())

@@ -92,3 +92,11 @@ def test_inventory_is_covered():
     sizes = {"S": 29, "P": 18, "J": 13, "F": 29, "B": 8, "G": 14, "R": 21, "T": 16, "E": 23, "N": 15, "W": 7, "L": 4, "U": 4, "A": 15}
     ids = {f"{k}{i}" for k, n in sizes.items() for i in range(1, n + 1)} | {f"D-{i:02d}" for i in range(1, 14)}
     assert ids - set(registry.coverage()) - left_out - by_functions - {"A13"} == set()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(cluster)
