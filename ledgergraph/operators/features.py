@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.expressions import night, round_amount, struct_feature
+from ..functions.ranking import moments
 from ..plans.catalog import operator
 from ..plans.dialect import Spark
 
@@ -101,13 +102,15 @@ select account_id, cast(max(w) as double) / count(*) as burst_ratio, coalesce({d
 from g group by account_id"""
 
 
-_CUTOFF = """first_seen_ as (select account_id, min(tx_timestamp) as first_seen from (
+FIRST_SEEN = """first_seen_ as (select account_id, min(tx_timestamp) as first_seen from (
       select from_account as account_id, tx_timestamp from {tx} union all select to_account, tx_timestamp from {tx}) e
-    group by account_id),
-  ordered_ as (select first_seen, row_number() over (order by first_seen, account_id) - 1 as pos,
-      count(*) over () as n from first_seen_),
-  cut_ as (select max(first_seen) as cutoff from ordered_
-    where pos = cast(floor(0.70e0 * n) as bigint) + cast(floor(0.15e0 * n) as bigint) - 1)"""
+    group by account_id)"""
+#: Ranks at which training and validation accounts end.
+TRAIN_END = "cast(floor(0.70e0 * total) as bigint)"
+VAL_END = f"({TRAIN_END} + cast(floor(0.15e0 * total) as bigint))"
+_CUTOFF = f"""{FIRST_SEEN},
+  {moments("first_seen_", "first_seen", {"cut": f"{VAL_END} - 1"})},
+  cut_ as (select v as cutoff from at_cut)"""
 
 
 @operator("F18 F22 W4 J12")

@@ -39,7 +39,7 @@ select account_id, 'TIMING_ANOMALY' as flag_type, 'MEDIUM' as severity, count(*)
 from incident where {night_flag("tx_timestamp")} group by account_id having count(*) >= {min_hits}"""
 
 
-@operator("B3 J8")
+@operator("B3 J8", {"tx": "flagged"})
 def flag_rapid_cashout(d: Spark, newest: int = 500, seconds: int = 600) -> str:
     """Money that leaves within ten minutes of its arrival (range join)."""
     return f"""
@@ -62,7 +62,7 @@ select account_id, 'CHANNEL_SWITCH' as flag_type, 'MEDIUM' as severity, count(di
 from incident group by account_id having count(*) >= 3 and count(distinct channel) >= 3"""
 
 
-@operator("B5")
+@operator("B5", {"tx": "flagged"})
 def flag_channel_hop(d: Spark, newest: int = 500, seconds: int = 1800) -> str:
     """Exactly two channels, changed within half an hour."""
     return f"""

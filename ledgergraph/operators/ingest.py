@@ -38,7 +38,7 @@ def src_illicit(d: Spark) -> str:
     return f"select {TX_COLUMNS} from {{tx}} where is_laundering = 1"
 
 
-@operator("S4 S23")
+@operator("S4")
 def src_ordered_days(d: Spark) -> str:
     """Ordered chunks, a chunk being a day: size, amount and ends of each."""
     return """
@@ -47,15 +47,25 @@ select cast(cast(tx_timestamp as date) as varchar(10)) as day, count(*) as n, ca
 from {tx} group by cast(tx_timestamp as date)"""
 
 
+@operator("S23 L3", offset=50)
+def src_replay_page(d: Spark, limit: int = 500, offset: int = 0) -> str:
+    """A page of the ledger in the order of time, for replay."""
+    return f"select {TX_COLUMNS} from {{tx}} order by tx_timestamp, tx_id limit {limit} offset {offset}"
+
+
+# Raw landing names and the canonical ones.
+RAW_NAMES = {
+    "Account": "from_account", "Account.1": "to_account", "Amount Paid": "amount", "Payment Currency": "currency",
+    "Payment Format": "payment_format", "Is Laundering": "is_laundering", "Timestamp": "tx_timestamp",
+}
+
+
 @operator("S6")
 def src_raw_rename(d: Spark) -> str:
-    """Seven raw landing columns under their canonical names."""
-    return """
-select from_account, to_account, amount, currency, payment_format, is_laundering, tx_timestamp from (
-  select o_custkey as from_account, l_partkey as to_account, l_extendedprice as amount,
-    o_orderpriority as currency, o_orderstatus as payment_format,
-    case when l_returnflag = 'R' then 1 else 0 end as is_laundering, l_shipdate as tx_timestamp
-  from {lineitem} join {orders} on l_orderkey = o_orderkey) r"""
+    """Raw landing rows under the twelve canonical names; what landing lacks is null."""
+    named = ", ".join(f"{d.quote(raw)} as {name}" for raw, name in RAW_NAMES.items())
+    absent = ", ".join(f"cast(null as varchar(10)) as {c}" for c in ("tx_id", "channel", "device_id", "institution_id", "typology"))
+    return f"select {named}, {absent} from {{raw_landing}}"
 
 
 @operator("S7 P10")
@@ -88,11 +98,7 @@ def src_clean_rows(d: Spark) -> str:
     return """
 select event_id, user_id, try_cast(raw_amount as double) as amount,
   nullif(nullif(lower(trim(raw_type)), 'nan'), '') as event_type, coalesce(label, 0) as label
-from (select event_id, case when event_id % 11 = 0 then null else user_id end as user_id,
-    case when event_id % 7 = 0 then 'n/a' else cast(value as varchar(30)) end as raw_amount,
-    case when event_id % 5 = 0 then ' NaN ' else event_type end as raw_type,
-    case when event_id % 3 = 0 then 1 end as label from {events}) e
-where user_id is not null and event_id is not null"""
+from {dirty} where user_id is not null and event_id is not null"""
 
 
 @operator("S11 U2 U3")
@@ -138,16 +144,6 @@ select tx_id, from_account, to_account, amount, tx_timestamp from (
 where rn = 1"""
 
 
-_CORRUPTED = """
-select event_id, case when event_id % 13 = 0 then ' ' else 'TX' || cast(event_id as varchar(20)) end as tx_id,
-  case when event_id % 17 = 0 then '' else cast(user_id as varchar(20)) end as from_account,
-  case when event_id % 19 = 0 then '' else cast(user_id + 1 as varchar(20)) end as to_account,
-  case when event_id % 23 = 0 then -value when event_id % 29 = 0 then cast('NaN' as double) else value end as amount,
-  case when event_id % 31 = 0 then '' when event_id % 37 = 0 then 'yesterday' when event_id % 2 = 0
-    then cast(cast(ts as date) as varchar(10)) || 'T10:00:00' else cast(cast(ts as date) as varchar(10)) || ' 11:30:00' end as tx_timestamp,
-  event_type as channel from {events}"""
-
-
 def _reason(d: Spark) -> str:
     parsed = " and ".join(f"{d.try_timestamp('trim(tx_timestamp)', *f)} is null" for f in TS_FORMATS)
     return f"""case when trim(tx_id) = '' then 'empty tx_id' when trim(from_account) = '' then 'empty from_account'
@@ -162,19 +158,17 @@ def ingest_validate(d: Spark) -> str:
     known = ", ".join(f"'{c}'" for c in CHANNELS)
     return f"""
 select event_id, {_reason(d)} as rejected, coalesce(lower(channel) not in ({known}), false) as channel_warning
-from ({_CORRUPTED}) c"""
+from {{offered}}"""
 
 
 @operator("S20")
 def ingest_defaults(d: Spark) -> str:
     """Defaults of absent fields; the two entry paths differ in the channel's."""
     return """
-select event_id, coalesce(nullif(cur, ''), 'IDR') as currency, coalesce(nullif(ch, ''), 'internet') as channel_gateway,
-  coalesce(nullif(ch, ''), 'mobile') as channel_producer, coalesce(nullif(fmt, ''), 'Transfer') as payment_format,
-  coalesce(lab, 0) as is_laundering
-from (select event_id, case when event_id % 3 = 0 then '' else 'USD' end as cur,
-    case when event_id % 4 = 0 then null else event_type end as ch,
-    case when event_id % 5 = 0 then '' else 'Wire' end as fmt, case when event_id % 2 = 0 then 1 end as lab from {events}) e"""
+select event_id, coalesce(nullif(currency, ''), 'IDR') as currency, coalesce(nullif(channel, ''), 'internet') as channel_gateway,
+  coalesce(nullif(channel, ''), 'mobile') as channel_producer, coalesce(nullif(payment_format, ''), 'Transfer') as payment_format,
+  coalesce(is_laundering, 0) as is_laundering
+from {offered}"""
 
 
 @operator("S21")
@@ -184,13 +178,14 @@ def ingest_summary(d: Spark) -> str:
     joined = d.join(ids, ",") if d.name == "duck" else f"array_join(transform({ids}, x -> cast(x as string)), ',')"
     return f"""
 select coalesce(rejected, 'accepted') as outcome, count(*) as n, {joined} as samples
-from (select event_id, {_reason(d)} as rejected from ({_CORRUPTED}) c) v group by coalesce(rejected, 'accepted')"""
+from (select event_id, {_reason(d)} as rejected from {{offered}}) v group by coalesce(rejected, 'accepted')"""
 
 
 @operator("S25 L1 U1")
 def src_demo_replay(d: Spark, illicit: int = 50, licit: int = 200, min_amount: int = 1000) -> str:
-    """A replay set: some illicit transfers and licit ones for the rest, by time."""
-    body = f"from_account <> to_account and amount >= {min_amount} and from_account in (select c_custkey from {{customer}} where c_custkey % 3 = 0)"
+    """A replay set over sampled hold-out accounts: some illicit transfers and licit ones
+    for the rest, by time."""
+    body = f"from_account <> to_account and amount >= {min_amount} and from_account in (select account_id from {{holdout}})"
 
     def part(label: int, n: int) -> str:
         return f"""select * from (select tx_id, from_account, to_account, cast(amount as double) as amount, tx_timestamp, is_laundering

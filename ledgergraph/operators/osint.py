@@ -28,28 +28,28 @@ PROXY_MARKS = (
     "err_proxy_connection_failed", "err_tunnel_connection_failed", "err_socks_connection_failed",
     "err_socks_connection_host_unreachable", "err_proxy_auth", "proxy connection",
 )
+# Phone numbers, separators and blocks of digits, what is no text on a
+# page, and words of a timeout's message.
 PHONE = r"(?:\+62|62|0)8(?:[\s.\-]?\d){7,12}"
+SEPARATORS = r"[\s.\-,_]+"
+DIGIT_BLOCK = "[0-9]{10,18}"
+NO_TEXT = (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<[^>]+>")
+TIMEOUT_MARKS = ("timeout", "err_timed_out", "err_connection_timed_out")
 
 
-def _text(d: Spark, html: str) -> str:
-    plain = d.replace_all(html, r"(?is)<script.*?</script>", " ")
-    plain = d.replace_all(plain, r"(?is)<style.*?</style>", " ")
-    return d.replace_all(plain, r"(?s)<[^>]+>", " ")
-
-
-#: Pages with planted payment lines, since the test pages have none.
-_PLANTED = """select page_id, url, html || case page_id % 4 when 0 then ' BCA : 12345' || lpad(cast(page_id % 7 as varchar(5)), 5, '0')
-    when 1 then ' DANA 0812-3456-78' || lpad(cast(page_id % 9 as varchar(5)), 2, '0')
-    when 2 then ' mandiri 123 456 789 0' || lpad(cast(page_id % 5 as varchar(5)), 3, '0') else ' Just a moment...' end as html from {pages}"""
+def page_text(d: Spark, html: str) -> str:
+    for pattern in NO_TEXT:
+        html = d.replace_all(html, pattern, " ")
+    return html
 
 
 @operator("N1")
 def osint_page_text(d: Spark) -> str:
     """Page text without scripts, styles and tags."""
-    return f"select page_id, {_text(d, 'html')} as text from {{pages}}"
+    return f"select page_id, {page_text(d, 'html')} as text from {{pages}}"
 
 
-@operator("N2 W1")
+@operator("N2 W1", {"page_texts": "planted"})
 def osint_phones(d: Spark) -> str:
     """Phone numbers in national form, of 10 to 13 digits."""
     digits = d.replace_all("raw", "[^0-9]", "")
@@ -57,44 +57,42 @@ def osint_phones(d: Spark) -> str:
 select distinct page_id, number from (
   select page_id, case when digits like '62%' then '0' || substr(digits, 3) else digits end as number from (
     select page_id, {digits} as digits from (
-      select page_id, {d.explode(d.extract_all(_text(d, "html"), PHONE))} as raw from ({_PLANTED}) p) r) q) n
+      select page_id, {d.explode(d.extract_all(page_text(d, "html"), PHONE))} as raw from {{page_texts}}) r) q) n
 where length(number) between 10 and 13"""
 
 
-@operator("N3")
+@operator("N3", {"page_texts": "planted"})
 def osint_digit_blocks(d: Spark) -> str:
     """Runs of 10 to 18 digits once separators are gone."""
-    squeezed = d.replace_all(_text(d, "html"), r"[\s.\-,_]+", "")
-    blocks = d.explode(d.extract_all(squeezed, "[0-9]{10,18}"))
-    return f"select page_id, block, count(*) as n from (select page_id, {blocks} as block from ({_PLANTED}) p) b group by page_id, block"
-
+    squeezed = d.replace_all(page_text(d, "html"), SEPARATORS, "")
+    blocks = d.explode(d.extract_all(squeezed, DIGIT_BLOCK))
+    return f"select page_id, block, count(*) as n from (select page_id, {blocks} as block from {{page_texts}}) b group by page_id, block"
 
-_FOUND = """found as (select page_id, url, case page_id % 4 when 0 then 'BCA' when 1 then 'DANA' else 'MANDIRI' end as bank,
-    case page_id % 4 when 0 then '12345' || lpad(cast(page_id % 7 as varchar(5)), 5, '0')
-      when 1 then '081234567' || lpad(cast(page_id % 9 as varchar(5)), 2, '0')
-      else '123456789' || lpad(cast(page_id % 5 as varchar(5)), 4, '0') end as rekening,
-    case page_id % 4 when 1 then 0.9e0 else 1.0e0 end * (case when page_id % 3 = 0 then 0.7e0 else 1.0e0 end) as confidence
-  from {pages} where page_id % 4 < 3)"""
 
-
-@operator("N5 N6")
+@operator("N5")
 def osint_length_check(d: Spark) -> str:
     """Whether a number's length fits its bank; others take 10 to 18 digits."""
     whens = " ".join(f"when '{b}' then length(rekening) between {lo} and {hi}" for b, (lo, hi) in BANK_DIGITS.items())
     return f"""
-with {_FOUND}
-select page_id, bank, rekening, case bank {whens} else length(rekening) between 10 and 18 end as valid, {d.round("confidence", 3)} as confidence from found"""
+select page_id, bank, rekening, case bank {whens} else length(rekening) between 10 and 18 end as valid, confidence from {{found}}"""
 
 
 @operator("N7 N8 A8")
 def osint_accounts(d: Spark) -> str:
     """Accounts over all pages: best confidence, sites, and how many share them."""
     return f"""
-with {_FOUND},
-  best as (select rekening, bank, confidence, row_number() over (partition by rekening order by confidence desc, page_id) as rn from found)
+with best as (select rekening, bank, confidence, row_number() over (partition by rekening order by confidence desc, page_id, bank) as rn from {{found}})
 select f.rekening, b.bank, b.confidence, count(distinct f.url) as shared_count, {d.join_distinct("f.url", ",")} as sumber_url,
   cast(max(f.page_id) as bigint) as last_seen
-from found f join best b on f.rekening = b.rekening and rn = 1 group by f.rekening, b.bank, b.confidence"""
+from {{found}} f join best b on f.rekening = b.rekening and rn = 1 group by f.rekening, b.bank, b.confidence"""
+
+
+@operator("N13")
+def osint_account_list(d: Spark, min_shared: int = 2, limit: int = 100) -> str:
+    """Accounts on at least some sites, the most shared first."""
+    return f"""
+select rekening, count(distinct url) as shared_count, max(confidence) as confidence from {{found}}
+group by rekening having count(distinct url) >= {min_shared} order by shared_count desc, confidence desc, rekening limit {limit}"""
 
 
 @operator("N10 J10")
@@ -102,10 +100,9 @@ def osint_alerts(d: Spark) -> str:
     """Alerts for found accounts and, at nine tenths, their connections; accounts with
     an open alert are left out."""
     return """
-with seeds as (select c_custkey as account_id, 0.90e0 as score from {customer} where c_custkey % 40 = 0),
-  linked as (select to_account as account_id, max(greatest(0.5e0, 0.9e0 * score)) as score from {pairs} join seeds on from_account = account_id
-    where to_account not in (select account_id from seeds) group by to_account),
-  every_ as (select account_id, score, 'SEED' as origin from seeds union all select account_id, score, 'LINKED' from linked)
+with linked as (select to_account as account_id, max(greatest(0.5e0, 0.9e0 * score)) as score from {pairs} join {seeds} on from_account = account_id
+    where to_account not in (select account_id from {seeds}) group by to_account),
+  every_ as (select account_id, score, 'SEED' as origin from {seeds} union all select account_id, score, 'LINKED' from linked)
 select account_id, score, origin, case when score >= 0.8e0 then 'HIGH' else 'MEDIUM' end as severity from every_ e
 where not exists (select 1 from {alerts} a where a.account_id = e.account_id and a.status in ('NEW', 'IN_REVIEW'))"""
 
@@ -113,22 +110,19 @@ where not exists (select 1 from {alerts} a where a.account_id = e.account_id and
 @operator("N12")
 def osint_page_state(d: Spark) -> str:
     """Challenge pages, and the kind of an error message."""
-    find = "instr" if d.name == "spark" else "strpos"
-    blocked = " or ".join(f"{find}(lower(html), '{m}') > 0" for m in BLOCK_MARKS)
-    proxy = " or ".join(f"{find}(lower(msg), '{m}') > 0" for m in PROXY_MARKS)
+    blocked = " or ".join(f"{d.find('lower(html)', repr(m))} > 0" for m in BLOCK_MARKS)
+    proxy, late = (" or ".join(f"{d.find('lower(message)', repr(m))} > 0" for m in marks) for marks in (PROXY_MARKS, TIMEOUT_MARKS))
     return f"""
-select page_id, {blocked} as blocked, case when {proxy} then 'PROXY_ERROR' when {find}(lower(msg), 'timeout') > 0
-    or {find}(lower(msg), 'err_timed_out') > 0 or {find}(lower(msg), 'err_connection_timed_out') > 0 then 'TIMEOUT' else 'SITE_ERROR' end as error_type
-from (select page_id, html, case page_id % 3 when 0 then 'net::ERR_PROXY_CONNECTION_FAILED' when 1 then 'Timeout 30000ms exceeded' else 'gone' end as msg
-  from ({_PLANTED}) p) q"""
+select page_id, {blocked} as blocked, case when {proxy} then 'PROXY_ERROR' when {late} then 'TIMEOUT' else 'SITE_ERROR' end as error_type
+from {{visits}}"""
 
 
 @operator("N13 N14")
 def osint_status_counts(d: Spark) -> str:
-    """Queue states, and accounts shared by several sites."""
-    return f"""
-with {_FOUND}, a as (select rekening, count(distinct url) as n from found group by rekening)
-select 'queue' as kind, case page_id % 3 when 0 then 'DONE' when 1 then 'PENDING' else 'FAILED' end as item, count(*) as n from {{pages}} group by 1, 2
+    """Queue states, and accounts by how many sites share them."""
+    return """
+with a as (select rekening, count(distinct url) as n from {found} group by rekening)
+select 'queue' as kind, status as item, count(*) as n from {queue} group by 1, 2
 union all select 'shared', case when n >= 3 then 'HIGH' when n = 2 then 'MED' else 'LOW' end, count(*) from a group by 2"""
 
 
@@ -142,10 +136,17 @@ select page_id, url, max(page_id) over () as next_cursor from (select page_id, u
 
 @operator("T16")
 def osint_queue_claim(d: Spark, limit: int = 25) -> str:
-    """Claim the first pending urls by priority; failed ones return until two attempts."""
+    """Claim the first pending urls by priority and time; failed ones return until two attempts."""
     return f"""
-with q as (select page_id, url, case when page_id % 3 = 0 then 'DONE' when page_id % 5 = 0 then 'FAILED' else 'PENDING' end as status,
-    page_id % 4 as attempts, page_id % 10 as priority from {{pages}}),
-  ready as (select * from q where status = 'PENDING' or (status = 'FAILED' and attempts < 2)),
-  claimed as (select page_id from ready order by priority, page_id limit {limit})
-select page_id, url, 'IN_PROGRESS' as status, cast(attempts + 1 as bigint) as attempts from ready where page_id in (select page_id from claimed)"""
+select page_id, url, 'IN_PROGRESS' as status, cast(attempts + 1 as bigint) as attempts from (
+  select page_id, url, attempts, priority, queued_at from {{queue}} where status = 'PENDING' or (status = 'FAILED' and attempts < 2)
+  order by priority, queued_at, page_id limit {limit}) c"""
+
+
+@operator("T16 N13", {"results": "visits"})
+def osint_queue_finalise(d: Spark) -> str:
+    """The queue after visits (``page_id, message``, null if it worked): done, back in
+    line, or failed at the second attempt."""
+    return """
+select q.page_id, cast(q.attempts + 1 as bigint) as attempts, case when r.message is null then 'DONE' when q.attempts + 1 < 2 then 'PENDING' else 'FAILED' end as status
+from {queue} q join {results} r on q.page_id = r.page_id"""

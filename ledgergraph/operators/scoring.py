@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..functions.expressions import channel_code, level_binned, level_ensemble, night, severity
+from ..functions.ranking import cumulated, indexed, moments
 from ..plans.catalog import operator
 from ..plans.dialect import Spark
-from .features import _CUTOFF
+from .features import FIRST_SEEN, TRAIN_END, VAL_END
 
 # Signal tiers (threshold, score), decision thresholds and sharing limits.
 FANIN_TIERS = ((100, 0.55), (50, 0.40), (30, 0.25))
@@ -49,48 +50,81 @@ def decision(risk: str, typology: str) -> str:
     )
 
 
-@operator("T8 T7 R3", scale=4)
-def score_signals(d: Spark, scale: int = 1) -> str:
-    """The streaming scorer's decision as a batch over each account's last transfer."""
+def _decisions(d: Spark, scale: int) -> str:
     return f"""
 with o as (select from_account as id, {d.epoch("tx_timestamp")} as ep, to_account, device_id, tx_id, typology from {{tx}}),
   last as (select id, max(ep) as last_out, count(*) as n_out, count(distinct to_account) as fan_out,
       count(distinct device_id) as devices, max(case when typology = 'judol' then typology end) as typology from o group by id),
-  vel as (select o.id, count(*) as velocity from o join last on o.id = last.id where ep > last_out - 3600 group by o.id),
+  vel as (select o.id, count(*) as velocity, max(case when ep = last_out then tx_id end) as tx_id from o join last on o.id = last.id
+    where ep > last_out - 3600 group by o.id),
   i as (select to_account as id, {d.epoch("tx_timestamp")} as ep, from_account from {{tx}}),
   inc as (select i.id, count(*) as n_in, count(distinct from_account) as fan_in,
       max(case when ep <= last_out then ep end) as last_in from i left join last on i.id = last.id group by i.id),
-  s as (select last.id as account_id, coalesce(fan_in, 0) as fan_in, fan_out, velocity, devices, n_out + coalesce(n_in, 0) as total,
+  s as (select last.id as account_id, tx_id, coalesce(fan_in, 0) as fan_in, fan_out, velocity, devices, n_out + coalesce(n_in, 0) as total,
       coalesce(last_out - last_in between 0 and 600, false) as rapid, coalesce(typology, '') as typology
     from last join vel on last.id = vel.id left join inc on last.id = inc.id),
-  r as (select *, cast((account_id * 31) % 101 as double) / 101.0e0 as base from s),
+  r as (select s.*, coalesce(p.risk_score, 0.0e0) as base from s left join {{predictions}} p on s.account_id = p.account_id),
   f as (select *, {fused("base", "total", signal_score(scale))} as risk from r)
-select account_id, fan_in, fan_out, velocity, rapid, devices, {d.round("base", 4)} as base_score, {d.round("risk", 4)} as risk_score,
+select account_id, tx_id, typology, fan_in, fan_out, velocity, rapid, devices, {d.round("base", 4)} as base_score, {d.round("risk", 4)} as risk_score,
   {decision("risk", "typology")} as decision
 from f"""
 
 
+@operator("T8 T7", scale=4)
+def score_signals(d: Spark, scale: int = 1) -> str:
+    """The streaming scorer's decision as a batch over each account's last transfer; an
+    account without a prediction has a base score of 0."""
+    return _decisions(d, scale)
+
+
+@operator("R3", scale=4)
+def alerts_stream(d: Spark, scale: int = 1) -> str:
+    """An alert row for every decision but NONE: its id from the transfer's, FROZEN if
+    the decision freezes, of no known typology unless the transfer tells one."""
+    return f"""
+select 'ALT-' || upper(substr(sha1(tx_id), 1, 12)) as alert_id, account_id, tx_id, risk_score, 'ML_ENSEMBLE' as detection_layer,
+  coalesce(nullif(nullif(lower(typology), 'nan'), ''), 'AI_DETECTED') as typology, {severity("risk_score")} as severity,
+  case decision when 'FREEZE' then 'FROZEN' else 'NEW' end as status
+from ({_decisions(d, scale)}) x where decision <> 'NONE'"""
+
+
 @operator("E1 F24")
 def ml_node_split(d: Spark) -> str:
     """Accounts by first appearance: 70 per cent train, 15 validation, the rest test."""
     return f"""
-with {_CUTOFF},
-  o as (select account_id, row_number() over (order by first_seen, account_id) - 1 as pos, count(*) over () as n from first_seen_)
-select account_id, case when pos < cast(floor(0.70e0 * n) as bigint) then 'train'
-  when pos < cast(floor(0.70e0 * n) as bigint) + cast(floor(0.15e0 * n) as bigint) then 'val' else 'test' end as split from o"""
+with {FIRST_SEEN},
+  {moments("first_seen_", "first_seen", {"train": TRAIN_END, "val": VAL_END})},
+  tied as (select account_id, row_number() over (partition by first_seen order by account_id) - 1 as pos from first_seen_
+    where first_seen in (select v from at_train union all select v from at_val))
+select f.account_id, case when first_seen < t.v or (first_seen = t.v and pos < t.ties) then 'train'
+  when first_seen < v.v or (first_seen = v.v and pos < v.ties) then 'val' else 'test' end as split
+from first_seen_ f left join tied on f.account_id = tied.account_id cross join at_train t cross join at_val v"""
+
+
+@operator("E3")
+def ml_stratified_split(d: Spark) -> str:
+    """Accounts by hash within their label: 70 per cent train, 15 validation, the rest test,
+    so that the illicit share is alike in all three."""
+    key = d.hash_order("account_id")
+    digits = " + ".join(f"(instr('0123456789abcdef', substr({key}, {i + 1}, 1)) - 1) * {16**i}" for i in range(4))
+    return f"""
+with e as (select from_account as account_id, is_laundering from {{tx}} union all select to_account, is_laundering from {{tx}}),
+  a as (select account_id, max(is_laundering) as label from e group by account_id),
+  h as (select account_id, label, ({digits} + label * 32749) % 65536 as place from a)
+select account_id, label, case when place < 45875 then 'train' when place < 55706 then 'val' else 'test' end as split from h"""
 
 
 @operator("E2")
 def ml_edge_split(d: Spark) -> str:
     """Transfers by time cut-offs at 60 and 80 per cent."""
-    return """
-with o as (select tx_timestamp, row_number() over (order by tx_timestamp, tx_id) as rn, count(*) over () as n from {tx}),
-  c as (select max(tx_timestamp) filter (where rn <= floor(n * 0.6e0)) as c1, max(tx_timestamp) filter (where rn <= floor(n * 0.8e0)) as c2 from o)
-select tx_id, case when tx_timestamp <= c1 then 'train' when tx_timestamp <= c2 then 'val' else 'test' end as split, is_laundering
-from {tx} cross join c"""
+    ranks = {n: f"cast(floor(total * {share}e0) as bigint) - 1" for n, share in (("train", 0.6), ("val", 0.8))}
+    return f"""
+with {moments("{tx}", "tx_timestamp", ranks)}
+select tx_id, case when tx_timestamp <= t.v then 'train' when tx_timestamp <= v.v then 'val' else 'test' end as split, is_laundering
+from {{tx}} cross join at_train t cross join at_val v"""
 
 
-@operator("E3 E4")
+@operator("E4")
 def ml_rebalance(d: Spark, keep: int = 4) -> str:
     """All illicit transfers, and in the training window one of ``keep`` licit ones by hash."""
     key = d.hash_order("tx_id")
@@ -104,14 +138,13 @@ where is_laundering = 1 or tx_timestamp > cut or (instr('0123456789abcdef', subs
 def ml_edge_encoding(d: Spark) -> str:
     """Edges with account indices, log amount, channel code and hour."""
     return f"""
-with ids as (select id, row_number() over (order by id) - 1 as idx from
-    (select from_account as id from {{tx}} union select to_account from {{tx}}) v)
+with {indexed(d, "select from_account as id from {tx} union select to_account from {tx}")}
 select tx_id, cast(x.idx as bigint) as src, cast(y.idx as bigint) as dst, {d.round("ln(1 + cast(amount as double))", 9)} as amount_log,
   {channel_code("channel")} as channel_enc, cast(hour(tx_timestamp) as bigint) as hour
 from {{tx}} join ids x on from_account = x.id join ids y on to_account = y.id"""
 
 
-@operator("E6 A12 E17")
+@operator("E6 A12")
 def ml_standardise(d: Spark) -> str:
     """Out-amounts standardised by statistics of the training accounts only."""
     return f"""
@@ -120,6 +153,16 @@ with f as (select from_account as account_id, cast(sum(amount) as double) as v f
 select account_id, {d.round("(v - mu) / sd", 6)} as z from f cross join s"""
 
 
+@operator("E17 L4", tenths=3)
+def ml_sampled_scaler(d: Spark, tenths: int = 1) -> str:
+    """Mean and deviation of the log amount over a sample of transfers by hash; no deviation is 1."""
+    key = d.hash_order("tx_id")
+    return f"""
+select count(*) as n, {d.round("avg(x)", 6)} as mean, {d.round("coalesce(nullif(stddev_pop(x), 0), 1)", 6)} as std from (
+  select ln(1 + cast(amount as double)) as x from {{tx}} where (instr('0123456789abcdef', substr({key}, 1, 1)) - 1) * 16
+    + instr('0123456789abcdef', substr({key}, 2, 1)) - 1 < {tenths} * 25.6e0) s"""
+
+
 @operator("E10 E22")
 def ml_ensemble(d: Spark, w_a: float = 0.3, w_b: float = 0.3, w_c: float = 0.4) -> str:
     """Weighted mean of three scores, an absent one being 0, with its level."""
@@ -131,12 +174,8 @@ select doc_id, ensemble, {level_ensemble("ensemble")} as level from (
 
 def _average_precision(source: str) -> str:
     """Average precision by group ``k`` of rows ``k, y, s``; ties share a threshold."""
-    return f"""ap_g as (select k, s, cast(sum(y) as bigint) as tp, count(*) as n from ({source}) q group by k, s),
-  ap_w as (select k, s, sum(tp) over (partition by k order by s desc rows unbounded preceding) as ctp,
-    sum(n) over (partition by k order by s desc rows unbounded preceding) as cn, sum(tp) over (partition by k) as np from ap_g),
-  ap_r as (select k, cast(ctp as double) / cast(cn as double) as prec, cast(ctp as double) / cast(np as double) as rec,
-    cast(coalesce(lag(ctp) over (partition by k order by s desc), 0) as double) / cast(np as double) as before from ap_w),
-  ap as (select k, sum((rec - before) * prec) as value from ap_r group by k)"""
+    return f"""{cumulated(source)},
+  ap as (select k, sum(cast(tp as double) / cast(np as double) * (cast(ctp as double) / cast(cn as double))) as value from cum group by k)"""
 
 
 @operator("E13")
@@ -161,7 +200,16 @@ def ml_weight_sweep(d: Spark) -> str:
     return f"with {ap} select cast(k as int) as weight, {d.round('value', 6)} as average_precision from ap"
 
 
-@operator("E12 E20")
+@operator("E12")
+def ml_stacking_inputs(d: Spark, holdout: int = 7) -> str:
+    """Inputs of the stacked scorer: the base score, the extra one where there is any
+    (null stays null, with a mark), and whether a row is held out of both trainings."""
+    return f"""
+select doc_id, label, score, score_c as extra_score, case when score_c is null then 0 else 1 end as has_extra,
+  doc_id % 10 >= {holdout} and score_c is not null as double_holdout from {{scored}}"""
+
+
+@operator("E20")
 def ml_stacking_coverage(d: Spark) -> str:
     """Rows with and without the extra score in both parts of a double hold-out."""
     return f"""
@@ -174,12 +222,12 @@ def ml_cost_threshold(d: Spark, cost_fn: int = 100, cost_fp: int = 10) -> str:
     """The cheapest threshold for several cost ratios, the lowest of equals."""
     multipliers = " union all ".join(f"select {m} as m5" for m in (1, 3, 5, 10, 25))
     return f"""
-with g as (select score as s, cast(sum(label) as bigint) as tp, count(*) as n from {{scored}} group by score),
-  w as (select s, sum(tp) over (order by s desc rows unbounded preceding) as tp, sum(n) over (order by s desc rows unbounded preceding) as pp,
-    sum(tp) over () as np from g),
-  c as (select m5, s, cast((np - tp) * {cost_fn} * m5 + (pp - tp) * {cost_fp} * 5 as bigint) as cost from w cross join ({multipliers}) x),
-  r as (select m5, s, cost, row_number() over (partition by m5 order by cost, s) as rn from c)
-select cast(m5 as int) as multiplier5, s as threshold, cost from r where rn = 1"""
+with {cumulated("select 0 as k, label as y, score as s from {scored}")},
+  c as (select m5, s, cast((np - ctp) * {cost_fn} * m5 + (cn - ctp) * {cost_fp} * 5 as bigint) as cost from cum cross join ({multipliers}) x),
+  r as (select m5, min(struct_(cost, s)) as best from c group by m5)
+select cast(m5 as int) as multiplier5, best.s as threshold, best.cost as cost from r""".replace(
+        "struct_(cost, s)", "struct(cost, s)" if d.name == "spark" else "{'cost': cost, 's': s}"
+    )
 
 
 @operator("E19")
@@ -192,8 +240,8 @@ select x.split as from_split, y.split as to_split, count(*) as n, cast(sum(is_la
 from {{tx}} join s x on from_account = x.account_id join s y on to_account = y.account_id group by x.split, y.split"""
 
 
-@operator("E9")
-def ml_typology_decision(d: Spark, min_confidence: float = 0.015) -> str:
+@operator("E9", min_confidence=0.015)
+def ml_typology_decision(d: Spark, min_confidence: float = 0.40) -> str:
     """The class of largest probability, UNKNOWN below a confidence."""
     items = "posexplode(embedding) as (label_, p)" if d.name == "spark" else "unnest(range(len(embedding))) as label_, unnest(embedding) as p"
     return f"""
@@ -226,7 +274,7 @@ def ml_negative_samples(d: Spark) -> str:
     key = d.hash_order("tx_id")
     digits = " + ".join(f"(instr('0123456789abcdef', substr({key}, {i + 1}, 1)) - 1) * {16**i}" for i in range(5))
     return f"""
-with ids as (select id, row_number() over (order by id) - 1 as idx, count(*) over () as n from (select distinct to_account as id from {{tx}}) v),
+with {indexed(d, "select distinct to_account as id from {tx}")},
   pos as (select tx_id, from_account, to_account, ({digits}) % (select count(*) from ids) as pick from {{tx}})
 select tx_id, from_account, to_account, id as negative_account from pos join ids on idx = pick"""
 

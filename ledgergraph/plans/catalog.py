@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .dialect import DUCK, SPARK
+from .dialect import DUCK, SPARK, Spark
 from .fixtures import FIXTURES, fixture_sql, fixture_tables
 
 
@@ -23,6 +23,14 @@ class Operator:
     build: Callable[..., str]
     fixture: Mapping[str, object] = field(default_factory=dict)
     doc: str = ""
+    #: Views of the test tables that stand for tables of the plan, where not of the same name.
+    stand_in: Mapping[str, str] = field(default_factory=dict)
+
+    def _fixture_text(self, d: Spark) -> str:
+        text = self.build(d, **self.fixture)
+        for name, view in self.stand_in.items():
+            text = text.replace("{" + name + "}", "{" + view + "}")
+        return text
 
     def apply(self, spark: SparkSession, tables: Mapping[str, DataFrame], **params: object) -> DataFrame:
         """The operator over ``tables``; ``params`` override its defaults."""
@@ -31,11 +39,12 @@ class Operator:
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The operator over the tables of a fixture directory."""
-        text = self.build(SPARK, **self.fixture)
-        return self.apply(spark, fixture_tables(spark, sf_dir, text), **self.fixture)
+        found = fixture_tables(spark, sf_dir, self._fixture_text(SPARK))
+        found |= {name: found[view] for name, view in self.stand_in.items()}
+        return self.apply(spark, found, **self.fixture)
 
     def oracle(self) -> str:
-        text = self.build(DUCK, **self.fixture)
+        text = self._fixture_text(DUCK)
         ctes = fixture_sql(text)
         for name in FIXTURES:
             text = text.replace("{" + name + "}", name)
@@ -52,12 +61,12 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(covers: str, **fixture: object) -> Callable[[Callable[..., str]], Operator]:
+def operator(covers: str, stand_in: Mapping[str, str] | None = None, **fixture: object) -> Callable[[Callable[..., str]], Operator]:
     """Register a plan that covers the given inventory ids; ``fixture`` holds the
-    parameters that suit the small test tables."""
+    parameters that suit the small test tables, ``stand_in`` the views to use there."""
 
     def add(build: Callable[..., str]) -> Operator:
-        found = Operator(build.__name__, covers, build, fixture, build.__doc__ or "")
+        found = Operator(build.__name__, covers, build, fixture, build.__doc__ or "", stand_in or {})
         if found.name in OPERATORS:
             raise ValueError(f"{found.name} is registered twice")
         OPERATORS[found.name] = found

@@ -80,6 +80,22 @@ class Spark:
     def size(self, array: str) -> str:
         return f"size({array})"
 
+    def quote(self, name: str) -> str:
+        return f"`{name}`"
+
+    def split(self, x: str, p: str) -> str:
+        return f"split({x}, {self.pattern(p)}, -1)"
+
+    def indexed(self, array: str, body: str) -> str:
+        """``body`` of ``x``, an element of ``array``, and ``i``, its place from 1."""
+        return f"transform({array}, (x, i0) -> {body.replace('$i', '(i0 + 1)')})"
+
+    def last(self, value: str, by: str) -> str:
+        return f"max_by({value}, {by})"
+
+    def find(self, x: str, part: str) -> str:
+        return f"instr({x}, {part})"
+
     def cardinality_map(self, keys: list[str], values: list[str], x: str) -> str:
         whens = " ".join(f"when {k} then {v}" for k, v in zip(keys, values, strict=True))
         return f"case {x} {whens} end"
@@ -155,5 +171,20 @@ class Duck(Spark):
     def size(self, array: str) -> str:
         return f"len({array})"
 
+    def quote(self, name: str) -> str:
+        return f'"{name}"'
+
+    def split(self, x: str, p: str) -> str:
+        return f"regexp_split_to_array({x}, {self.pattern(p)})"
+
+    def indexed(self, array: str, body: str) -> str:
+        return f"list_transform({array}, lambda x, i0: {body.replace('$i', 'i0')})"
+
+    def last(self, value: str, by: str) -> str:
+        return f"arg_max({value}, {by})"
+
+    def find(self, x: str, part: str) -> str:
+        return f"strpos({x}, {part})"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -88,8 +88,121 @@ select doc_id, cast(quality as int) as label, cast((doc_id * 37) % 101 as double
 from {labels}"""
 
 
+def _holdout(d: Spark) -> str:
+    return "select c_custkey as account_id from {customer} where c_custkey % 3 = 0"
+
+
+def _predictions(d: Spark) -> str:
+    """A model's output: a score per account."""
+    return "select c_custkey as account_id, cast((c_custkey * 31) % 101 as double) / 101.0e0 as risk_score from {customer}"
+
+
+def _raw_landing(d: Spark) -> str:
+    """Landing rows under their seven raw names."""
+    names = ("Account", "Account.1", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering", "Timestamp")
+    values = ("o_custkey", "l_partkey", "l_extendedprice", "o_orderpriority", "o_orderstatus", "case when l_returnflag = 'R' then 1 else 0 end", "l_shipdate")
+    columns = ", ".join(f"{v} as {d.quote(n)}" for n, v in zip(names, values, strict=True))
+    return f"select {columns} from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey"
+
+
+def _dirty(d: Spark) -> str:
+    """Rows with missing keys, text amounts and 'NaN' types."""
+    return """
+select event_id, case when event_id % 11 = 0 then null else user_id end as user_id,
+  case when event_id % 7 = 0 then 'n/a' else cast(value as varchar(30)) end as raw_amount,
+  case when event_id % 5 = 0 then ' NaN ' else event_type end as raw_type, case when event_id % 3 = 0 then 1 end as label from {events}"""
+
+
+def _offered(d: Spark) -> str:
+    """Events as senders offer them, some of them broken in every way that is checked."""
+    return """
+select event_id, case when event_id % 13 = 0 then ' ' else 'TX' || cast(event_id as varchar(20)) end as tx_id,
+  case when event_id % 17 = 0 then '' else cast(user_id as varchar(20)) end as from_account,
+  case when event_id % 19 = 0 then '' else cast(user_id + 1 as varchar(20)) end as to_account,
+  case when event_id % 23 = 0 then -value when event_id % 29 = 0 then cast('NaN' as double) else value end as amount,
+  case when event_id % 31 = 0 then '' when event_id % 37 = 0 then 'yesterday' when event_id % 2 = 0
+    then cast(cast(ts as date) as varchar(10)) || 'T10:00:00' else cast(cast(ts as date) as varchar(10)) || ' 11:30:00' end as tx_timestamp,
+  case when event_id % 4 = 0 then null else event_type end as channel, case when event_id % 3 = 0 then '' else 'USD' end as currency,
+  case when event_id % 5 = 0 then '' else 'Wire' end as payment_format, case when event_id % 2 = 0 then 1 end as is_laundering from {events}"""
+
+
+def _commands(d: Spark) -> str:
+    """What officers did to alerts, in order: a case opened twice now and then, hand-overs, states."""
+    return """
+select account_id as subject, seq, kind, value from (
+  select account_id, cast(row_number() over (partition by account_id order by created_at, alert_id, tx_id) as bigint) as seq,
+    case n % 5 when 0 then 'ASSIGN' when 1 then 'STATUS' when 2 then 'ESCALATE' when 3 then 'CREATE' else 'ASSIGN' end as kind,
+    case n % 5 when 1 then case n % 3 when 0 then 'CLOSED' when 1 then 'FP' else 'IN_REVIEW' end when 2 then 'to the head office'
+      when 3 then '' else 'officer' || cast(n % 3 as varchar(5)) end as value
+  from (select *, cast(in_degree + 2 * out_degree as bigint) as n from {alerts}) a) c"""
+
+
+def _planted(d: Spark) -> str:
+    """Pages with payment lines and how their text was got, since the test pages have none."""
+    return """
+select page_id, url, case page_id % 3 when 0 then 'ocr' when 1 then 'html' else 'visual' end as origin,
+  html || case page_id % 6 when 0 then ' BCA : 12345' || lpad(cast(page_id % 7 as varchar(5)), 5, '0')
+    when 1 then ' DANA 0812-3456-78' || lpad(cast(page_id % 9 as varchar(5)), 2, '0')
+    when 2 then ' mandiri 123 456 789 0' || lpad(cast(page_id % 5 as varchar(5)), 3, '0')
+    when 3 then ' bri 1 gopay 62812 3456 789' || cast(page_id % 4 as varchar(5)) || ' bni 99.8877.66' || lpad(cast(page_id % 3 as varchar(5)), 2, '0')
+    when 4 then ' ovo 777 888 999 ' || cast(page_id % 2 as varchar(5)) || ' call 0812 3456 7890 now'
+    else ' Just a moment...' end as html from {pages}"""
+
+
+def _visits(d: Spark) -> str:
+    """What a crawler got: the page, and the message of a failed visit."""
+    return """
+select page_id, html, case page_id % 3 when 0 then 'net::ERR_PROXY_CONNECTION_FAILED' when 1 then 'Timeout 30000ms exceeded' else 'gone' end as message
+from {planted}"""
+
+
+def _queue(d: Spark) -> str:
+    return """
+select page_id, url, case when page_id % 3 = 0 then 'DONE' when page_id % 5 = 0 then 'FAILED' else 'PENDING' end as status,
+  page_id % 4 as attempts, page_id % 10 as priority, page_id % 7 as queued_at from {pages}"""
+
+
+def _seeds(d: Spark) -> str:
+    """Accounts found on gambling pages, with the score of the finding."""
+    return "select c_custkey as account_id, 0.90e0 as score from {customer} where c_custkey % 40 = 0"
+
+
+def _found(d: Spark) -> str:
+    """Accounts that extraction finds on the planted pages, with the page's address."""
+    from .catalog import OPERATORS
+
+    hits = OPERATORS["osint_extract_accounts"].build(d).replace("{page_texts}", "{planted}")
+    return f"select f.page_id, p.url, f.rekening, f.bank, f.account_type, f.confidence from ({hits}) f join {{planted}} p on f.page_id = p.page_id"
+
+
+def _flagged(d: Spark) -> str:
+    """The ledger with the transfers of three invented accounts, one per behavioural flag that it lacks."""
+    text = "string" if d.name == "spark" else "varchar"
+    rows = [
+        ("2", 9_000_002, 9_000_009, 4_990_000, "02:30:00", "qris"), ("3", 9_000_002, 9_000_009, 4_980_000, "02:35:00", "teller"),
+        ("4", 9_000_002, 9_000_009, 4_970_000, "02:40:00", "atm"), ("5", 9_000_002, 9_000_009, 4_960_000, "02:45:00", "mobile"),
+        ("6", 9_000_001, 9_000_002, 5_000_000, "02:50:00", "teller"), ("7", 9_000_002, 9_000_003, 4_900_000, "02:53:00", "qris"),
+        ("8", 9_000_002, 9_000_008, 100_000, "02:55:00", "qris"), ("9", 9_000_002, 9_000_008, 100_000, "03:00:00", "qris"),
+        ("10", 9_000_002, 9_000_008, 100_000, "03:05:00", "teller"), ("11", 9_000_002, 9_000_008, 100_000, "03:10:00", "atm"),
+        ("12", 9_000_004, 9_000_005, 100_000, "10:00:00", "atm"), ("13", 9_000_004, 9_000_005, 100_000, "10:10:00", "qris"),
+        ("14", 9_000_006, 9_000_007, 100_000, "10:00:00", "atm"), ("15", 9_000_006, 9_000_007, 100_000, "10:30:00", "qris"),
+    ]
+    planted = " union all ".join(
+        f"select 'FLAG-{i}' as tx_id, cast({a} as bigint) as from_account, cast({b} as bigint) as to_account, cast({m} as decimal(18,2)) as amount, "
+        f"'{c}' as channel, cast('2025-03-15 {t}' as {'timestamp_ntz' if d.name == 'spark' else 'timestamp'}) as tx_timestamp"
+        for i, a, b, m, t, c in rows
+    )
+    return f"""
+select tx_id, from_account, to_account, amount, channel, tx_timestamp from {{tx}}
+union all select cast(tx_id as {text}), from_account, to_account, amount, channel, tx_timestamp from ({planted}) p"""
+
+
 FIXTURES: dict[str, Callable[[Spark], str] | None] = dict.fromkeys(RAW)
-FIXTURES |= {"tx": _tx, "pairs": _pairs, "alerts": _alerts, "cases": _cases, "scored": _scored}
+FIXTURES |= {
+    "tx": _tx, "pairs": _pairs, "alerts": _alerts, "cases": _cases, "scored": _scored, "holdout": _holdout, "predictions": _predictions,
+    "raw_landing": _raw_landing, "dirty": _dirty, "offered": _offered, "commands": _commands, "planted": _planted, "visits": _visits,
+    "queue": _queue, "seeds": _seeds, "found": _found, "flagged": _flagged,
+}
 
 
 def _needed(text: str, d: Spark) -> list[str]:

@@ -11,9 +11,9 @@ from .catalog import OPERATORS
 
 #: Modules that register SQL plans, and modules with queries of their own
 #: (``QUERIES``: name to function; ``SQL``: name to oracle text; ``COVERS``).
-PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint")
+PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint", "extraction")
 CODE_MODULES = (
-    "operators.iterative", "operators.models", "operators.extraction", "sources.generate", "streaming.account_state", "streaming.node_memory",
+    "operators.iterative", "operators.models", "sources.generate", "streaming.account_state", "streaming.node_memory",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
