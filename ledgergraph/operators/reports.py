@@ -21,16 +21,13 @@ REFUSAL_MARKERS = (
 )
 
 
-def _predictions(d: Spark) -> str:
-    return """select c_custkey as account_id, cast((c_custkey * 31) % 101 as double) / 101.0e0 as risk_score from {customer}"""
-
-
 @operator("R1 R2 A14 U4")
 def alerts_generate(d: Spark, threshold: float = 0.5, run_key: str = "run-1") -> str:
     """Alerts from predictions at the threshold and from rule hits alone.
 
+    Predictions are a table of ``account_id, risk_score``; the threshold is theirs alone.
     A rule-only account needs a confidence of 0.5 and takes 0.8 of it as its risk;
-    the first rule in layer order gives the typology.
+    the first rule in layer order gives the typology.  Stored alerts are not made again.
     """
     first = "min_by(typology, rule_order)" if d.name == "spark" else "arg_min(typology, rule_order)"
     text = (
@@ -42,7 +39,7 @@ def alerts_generate(d: Spark, threshold: float = 0.5, run_key: str = "run-1") ->
 with hits as ({hits_sql(d, _SUSPECT_RULES)}),
   ruled as (select account_id, max(confidence) as confidence, {first} as typology, substr({text}, 1, 2000) as rule_triggered
     from hits group by account_id),
-  predicted as (select account_id, risk_score from ({_predictions(d)}) p where risk_score >= {threshold!r}e0),
+  predicted as (select account_id, risk_score from {{predictions}} p where risk_score >= {threshold!r}e0),
   joined as (select coalesce(p.account_id, r.account_id) as account_id,
       coalesce(p.risk_score, 0.8e0 * r.confidence) as risk_score, coalesce(r.typology, 'ML_ENSEMBLE') as typology,
       coalesce(r.rule_triggered, '') as rule_triggered
@@ -50,7 +47,7 @@ with hits as ({hits_sql(d, _SUSPECT_RULES)}),
     where p.account_id is not null or r.confidence >= 0.5e0)
 select {alert_id(d, "account_id", "typology", "'" + run_key + "'")} as alert_id, account_id, typology,
   {d.round("risk_score", 4)} as risk_score, {severity("risk_score")} as severity, rule_triggered, 'NEW' as status
-from joined"""
+from joined j where not exists (select 1 from {{alerts}} a where a.alert_id = {alert_id(d, "j.account_id", "j.typology", "'" + run_key + "'")})"""
 
 
 @operator("R4 J11")
@@ -101,18 +98,71 @@ select account_id, max(risk_score) as max_risk, count(*) as n, {d.join_distinct(
 from {{alerts}} group by account_id order by max_risk desc, n desc, account_id limit {limit}"""
 
 
-@operator("R9 R10 L3", offset=1)
-def report_list_alerts(
-    d: Spark, status: str = "NEW", min_risk: float = 0.1, typologies: tuple[str, ...] = ("judol", "qris"), limit: int = 50, offset: int = 10
-) -> str:
-    """A filtered page of alerts, newest first, with the number of all matches."""
-    kinds = ", ".join(f"'{t}'" for t in typologies)
+# What filters may ask for.
+STATUSES = ("NEW", "IN_REVIEW", "CONFIRM", "FP", "CLOSED")
+SEVERITIES = ("HIGH", "MEDIUM", "LOW")
+DETECTION_LAYERS = ("AML_CORE", "TYPOLOGY_ID", "STATISTICAL", "GRAPH_MOTIF", "ML_ENSEMBLE")
+AML_PATTERNS = ("FAN_IN", "FAN_OUT", "RELAY", "CYCLE", "PERIPHERAL")
+TERMINAL = ("CONFIRM", "FP", "CLOSED")
+
+
+def category_filters(source: str | None, category: str | None) -> dict[str, object]:
+    """The filters of a choice of source ('AML' or 'Tipologi') and, within it, of a
+    category; a category alone tells its source.  Alerts without a typology are those
+    of a structural pattern."""
+    pattern = category in AML_PATTERNS
+    if source == "AML" or (source is None and pattern):
+        return {"typology": "UNKNOWN"} | ({"aml_pattern": category} if category else {})
+    if category:
+        return {"typology": category}
+    return {"only_known_typology": True} if source == "Tipologi" else {}
+
+
+def _checked(name: str, value: str, known: tuple[str, ...]) -> str:
+    if value not in known:
+        raise ValueError(f"{name} must be one of {', '.join(known)}")
+    return f"{name} = '{value}'"
+
+
+def _alert_filters(
+    status: str | None = None, typology: str | None = None, detection_layer: str | None = None, aml_pattern: str | None = None,
+    only_known_typology: bool = False, severity: str | None = None, account_id: object = None, min_risk: float | None = None,
+    date_from: str | None = None, date_to: str | None = None,
+) -> str:
+    """The conjunction of the filters that are given."""
+    quoted = {n: str(v).replace("'", "''") for n, v in (("typology", typology), ("account_id", account_id), ("from", date_from), ("to", date_to))}
+    parts = [
+        status and _checked("status", status, STATUSES),
+        detection_layer and _checked("detection_layer", detection_layer, DETECTION_LAYERS),
+        aml_pattern and _checked("aml_pattern", aml_pattern, AML_PATTERNS),
+        severity and _checked("severity", severity, SEVERITIES),
+        typology and f"coalesce(typology, 'UNKNOWN') = '{quoted['typology']}'",
+        only_known_typology and "coalesce(typology, 'UNKNOWN') <> 'UNKNOWN'",
+        account_id is not None and f"cast(account_id as varchar(64)) = '{quoted['account_id']}'",
+        min_risk is not None and f"risk_score >= {float(min_risk)!r}e0",
+        date_from and f"created_at >= cast('{quoted['from']}' as timestamp)",
+        date_to and f"created_at <= cast('{quoted['to']}' as timestamp)",
+    ]
+    return " and ".join(p for p in parts if p) or "1 = 1"
+
+
+@operator("R9 L3", status="NEW", severity="HIGH", min_risk=0.1, only_known_typology=True, date_from="1996-01-01", offset=1)
+def report_list_alerts(d: Spark, limit: int = 50, offset: int = 0, **filters: object) -> str:
+    """A page of the alerts that all given filters leave, newest first, with the number
+    of all matches: status, typology, detection_layer, aml_pattern, only_known_typology,
+    severity, account_id, min_risk, date_from, date_to.  An unknown value is an error."""
     return f"""
 select alert_id, tx_id, account_id, typology, risk_score, created_at, count(*) over () as total from {{alerts}}
-where status = '{status}' and risk_score >= {min_risk!r}e0 and typology in ({kinds})
+where {_alert_filters(**filters)}
 order by created_at desc, alert_id, tx_id limit {limit} offset {offset}"""
 
 
+@operator("R10 L3", source="Tipologi", category="qris")
+def report_list_category(d: Spark, source: str | None = None, category: str | None = None, limit: int = 50, offset: int = 0) -> str:
+    """A page of the alerts of a source and a category within it."""
+    return report_list_alerts.build(d, limit, offset, **category_filters(source, category))
+
+
 @operator("R11 W1")
 def report_alert_detail(d: Spark) -> str:
     """Alerts with their latest case."""
@@ -122,43 +172,35 @@ select a.alert_id, a.tx_id, a.typology, coalesce(c.case_id, -1) as case_id, c.st
 on a.alert_id = c.alert_id and rn = 1"""
 
 
-_COMMANDS = """
-select account_id as subject, seq, kind, value from (
-  select account_id, cast(row_number() over (partition by account_id order by created_at, alert_id, tx_id) as bigint) as seq,
-    case tx_seq % 4 when 0 then 'ASSIGN' when 1 then 'STATUS' when 2 then 'ESCALATE' else 'ASSIGN' end as kind,
-    case tx_seq % 4 when 1 then case tx_seq % 3 when 0 then 'CLOSED' else 'IN_PROGRESS' end
-      when 2 then 'ESCALATED' else 'officer' || cast(tx_seq % 3 as varchar(5)) end as value
-  from (select *, cast(in_degree + out_degree as bigint) as tx_seq from {alerts}) n) c"""
-
-
 @operator("R12 R13")
 def cases_fold(d: Spark) -> str:
-    """Case state folded from the command log: last assignee and status, alert status."""
-    last = (
-        lambda kind: f"max_by(value, seq) filter (where kind in ({kind}))"
-        if d.name == "spark"
-        else f"arg_max(value, seq) filter (where kind in ({kind}))"
-    )
+    """Case state folded from a command log (``subject, seq, kind, value``).
+
+    The first CREATE or ASSIGN opens a case; another CREATE is refused.  The last ASSIGN
+    and STATUS hold.  A terminal status is the alert's too; an assigned alert is in review.
+    """
+    terminal = ", ".join(f"'{t}'" for t in TERMINAL)
     return f"""
-with c as ({_COMMANDS})
-select subject, count(*) as commands, {last("'ASSIGN'")} as assigned_to,
-  coalesce({last("'STATUS', 'ESCALATE'")}, 'OPEN') as case_status,
-  case coalesce({last("'STATUS', 'ESCALATE'")}, 'OPEN') when 'CLOSED' then 'CLOSED' when 'ESCALATED' then 'ESCALATED'
-    else 'IN_REVIEW' end as alert_status
+with c as (select *, min(case when kind in ('CREATE', 'ASSIGN') then seq end) over (partition by subject) as opened from {{commands}})
+select subject, count(*) as commands, count(*) filter (where kind = 'CREATE' and seq > opened) as refused,
+  {d.last("value", "seq")} filter (where kind = 'ASSIGN') as assigned_to,
+  coalesce({d.last("value", "seq")} filter (where kind = 'STATUS'), 'NEW') as case_status,
+  coalesce({d.last("value", "seq")} filter (where kind = 'STATUS' and value in ({terminal})),
+    case when count(*) filter (where kind = 'ASSIGN') > 0 then 'IN_REVIEW' else 'NEW' end) as alert_status
 from c group by subject"""
 
 
 @operator("R12 R13")
 def cases_audit(d: Spark) -> str:
-    """Audit events of the command log: creation, and only what changed."""
-    return f"""
-with c as ({_COMMANDS}),
-  changes as (select subject, seq, case when kind = 'ASSIGN' then 'ASSIGNED' when kind = 'ESCALATE' then 'ESCALATED'
-      else 'STATUS_CHANGED' end as event_type, value,
-      lag(value) over (partition by subject, case when kind = 'ASSIGN' then 0 else 1 end order by seq) as before from c)
-select subject, cast(0 as bigint) as seq, 'CASE_CREATED' as event_type, '' as detail from c group by subject
-union all
-select subject, seq, event_type, coalesce(before, '') || '>' || value from changes where before is null or before <> value"""
+    """Audit events of the command log: the opening, escalations, and else only what changed."""
+    return """
+with c as (select *, min(case when kind in ('CREATE', 'ASSIGN') then seq end) over (partition by subject) as opened from {commands}),
+  changes as (select subject, seq, kind, value, lag(value) over (partition by subject, kind order by seq) as before
+    from c where kind in ('ASSIGN', 'STATUS'))
+select distinct subject, cast(0 as bigint) as seq, 'CASE_CREATED' as event_type, '' as detail from c where opened is not null
+union all select subject, seq, 'ESCALATED', value from c where kind = 'ESCALATE'
+union all select subject, seq, case when kind = 'ASSIGN' then 'ASSIGNED' else 'STATUS_CHANGED' end, coalesce(before, '') || '>' || value
+from changes where before is null or before <> value"""
 
 
 @operator("R14 R15")
@@ -206,10 +248,13 @@ def report_triage(d: Spark) -> str:
     typology = " ".join(f"when '{k}' then {v}" for k, v in TYPOLOGY_WEIGHT.items())
     sev = " ".join(f"when '{k}' then {v}" for k, v in SEVERITY_WEIGHT.items())
     return f"""
-select alert_id, tx_id, score, cast(row_number() over (order by score desc, alert_id, tx_id) as bigint) as triage_rank from (
-  select alert_id, tx_id, (case severity {sev} else 1 end) * 10
+with s as (select alert_id, tx_id, (case severity {sev} else 1 end) * 10
     + (case case typology when 'judol' then 'JUDOL_RING' when 'dormant' then 'DORMANT_ACTIVATION' else typology end {typology} else 0 end)
-    + risk_score as score from {{alerts}}) s"""
+    + risk_score as score from {{alerts}}),
+  steps as (select cast(floor(score * 100) as bigint) as b, count(*) as n from s group by cast(floor(score * 100) as bigint)),
+  ahead as (select b, coalesce(cast(sum(n) over (order by b desc rows between unbounded preceding and 1 preceding) as bigint), 0) as base from steps)
+select alert_id, tx_id, score, base + cast(row_number() over (partition by b order by score desc, alert_id, tx_id) as bigint) as triage_rank
+from s join ahead on cast(floor(score * 100) as bigint) = b"""
 
 
 @operator("R20")

@@ -2,6 +2,7 @@
 
 Every rule gives ``account_id, typology, layer, rule_triggered, confidence`` and
 the measures it judged by; thresholds are parameters with the usual defaults.
+Thresholds, formulas of confidence and texts are fixed values.
 """
 
 from __future__ import annotations
@@ -35,41 +36,46 @@ def _text(x: str) -> str:
     return f"cast({x} as varchar(40))"
 
 
-@operator("D-01 P2 A3 P13")
-def rule_structuring(d: Spark, min_hits: int = 3, limit: int = 100_000) -> str:
+def _first(order: str, limit: int | None) -> str:
+    """Hits are cut only where a limit is asked for."""
+    return "" if limit is None else f"order by {order} limit {limit}"
+
+
+@operator("D-01 P2 A3 P13 L1")
+def rule_structuring(d: Spark, min_hits: int = 3, limit: int | None = None) -> str:
     """Repeated transfers just below a limit, in any one of four bands."""
-    names = [f"n{i}" for i in range(len(STRUCT_RULE_BANDS))]
+    names = ["n_500k", "n_1m", "n_5m", "n_25m"]
     counts = ", ".join(
         f"count(*) filter (where amount between {lo} and {hi}) as {n}"
         for n, (lo, hi) in zip(names, STRUCT_RULE_BANDS, strict=True)
     )
     peak = f"greatest({', '.join(names)})"
     confidence = d.round(f"least(0.9e0, 0.5e0 + {peak} / 20.0e0 * 0.4e0)", 4)
-    text = f"'Structuring: ' || {_text(peak)} || ' transfers under a limit'"
+    text = " || ', ' || ".join(f"'{n}=' || {_text(n)}" for n in names[:3])
     return f"""
 select {_hit("account", "STRUCTURING", text, confidence)}, {", ".join(names)}
 from (select from_account as account, {counts} from {{tx}} group by from_account)
 where {" or ".join(f"{n} >= {min_hits}" for n in names)}
-order by n0 + n1 desc, account limit {limit}"""
+{_first("n_500k + n_1m desc, account", limit)}"""
 
 
-@operator("D-02 A2 L1")
-def rule_fan_out(d: Spark, min_recipients: int = 20, min_tx: int = 20, limit: int = 100_000) -> str:
+@operator("D-02 A2")
+def rule_fan_out(d: Spark, min_recipients: int = 20, min_tx: int = 20, limit: int | None = None) -> str:
     """Many distinct recipients of one sender."""
     confidence = d.round("least(0.85e0, 0.4e0 + recipients / 100.0e0 * 0.45e0)", 4)
-    text = f"'Fan-out: ' || {_text('recipients')} || ' recipients in ' || {_text('n')} || ' transfers'"
+    text = f"'recipient_count=' || {_text('recipients')} || ', tx_count=' || {_text('n')}"
     return f"""
-select {_hit("account", "FAN_OUT", text, confidence)}, recipients, n as tx_count
-from (select from_account as account, count(distinct to_account) as recipients, count(*) as n
+select {_hit("account", "FAN_OUT", text, confidence)}, recipients as recipient_count, n as tx_count, total_out
+from (select from_account as account, count(distinct to_account) as recipients, count(*) as n, cast(sum(amount) as double) as total_out
   from {{tx}} group by from_account)
-where recipients >= {min_recipients} and n >= {min_tx} order by recipients desc, account limit {limit}"""
+where recipients >= {min_recipients} and n >= {min_tx} {_first("recipients desc, account", limit)}"""
 
 
 @operator("D-03 J2")
-def rule_layering(d: Spark, min_in: int = 1_000_000, low: float = 0.80, high: float = 1.05, limit: int = 100_000) -> str:
+def rule_layering(d: Spark, min_in: int = 1_000_000, low: float = 0.80, high: float = 1.05, limit: int | None = None) -> str:
     """What comes in goes out again nearly whole."""
     confidence = d.round("least(0.8e0, 0.45e0 + (1.0e0 - abs(passed - 0.95e0)) * 0.35e0)", 4)
-    text = f"'Pass-through of ' || {d.fixed('passed', 2)}"
+    text = f"'passthrough_ratio=' || {d.fixed('passed', 3)} || ', in=' || {_text('n_in')} || ', out=' || {_text('n_out')}"
     return f"""
 with i as (select to_account as account, cast(sum(amount) as double) as total_in, count(*) as n_in
     from {{tx}} group by to_account),
@@ -77,15 +83,15 @@ with i as (select to_account as account, cast(sum(amount) as double) as total_in
     from {{tx}} group by from_account),
   sides as (select i.account, total_in, total_out, n_in, n_out, total_out / total_in as passed
     from i join o on i.account = o.account where total_in > {min_in} and n_in >= 3 and n_out >= 3)
-select {_hit("account", "LAYERING", text, confidence)}, total_in, total_out
-from sides where passed between {low!r}e0 and {high!r}e0 order by total_in desc, account limit {limit}"""
+select {_hit("account", "LAYERING", text, confidence)}, {d.round("passed", 4)} as passthrough_ratio, n_in as in_cnt, n_out as out_cnt
+from sides where passed between {low!r}e0 and {high!r}e0 {_first("total_in desc, account", limit)}"""
 
 
 @operator("D-04 J4 O6")
 def rule_cycle(d: Spark) -> str:
     """Accounts that send to each other."""
     return f"""
-select distinct {_hit("a.from_account", "CYCLE", "'Two-way transfers'", "0.75e0")}
+select distinct {_hit("a.from_account", "CYCLE", "'CYCLE: mutual transfer (A→B→A)'", "0.75e0")}
 from (select distinct from_account, to_account from {{tx}} where from_account <> to_account) a
 join (select distinct from_account, to_account from {{tx}} where from_account <> to_account) b
   on a.to_account = b.from_account and a.from_account = b.to_account"""
@@ -93,39 +99,40 @@ join (select distinct from_account, to_account from {{tx}} where from_account <>
 
 @operator("D-05", max_amount=5_000_000, min_senders=8, min_tx=8)
 def rule_judol_ring(
-    d: Spark, max_amount: int = 500_000, min_senders: int = 30, min_tx: int = 50, min_night: float = 0.3, limit: int = 100_000
+    d: Spark, max_amount: int = 500_000, min_senders: int = 30, min_tx: int = 50, min_night: float = 0.3, limit: int | None = None
 ) -> str:
     """Gambling deposits: many senders of small amounts, much of it at night."""
     confidence = d.round("least(0.95e0, 0.5e0 + senders / 200.0e0 * 0.3e0 + night_share * 0.2e0)", 4)
-    text = f"'Collector of ' || {_text('senders')} || ' senders'"
+    text = "'JUDOL_RING: many small senders + night dominance'"
     return f"""
-select {_hit("account", "JUDOL_RING", text, confidence)}, senders, n as tx_count, night_share
-from (select to_account as account, count(distinct from_account) as senders, count(*) as n,
+select {_hit("account", "JUDOL_RING", text, confidence)}, senders as sender_count, n as tx_count, avg_amount, night_share
+from (select to_account as account, count(distinct from_account) as senders, count(*) as n, cast(sum(amount) as double) / count(*) as avg_amount,
     cast(count(*) filter (where {night("tx_timestamp")}) as double) / count(*) as night_share
   from {{tx}} where amount < {max_amount} group by to_account)
 where senders >= {min_senders} and n >= {min_tx} and night_share >= {min_night!r}e0
-order by senders desc, account limit {limit}"""
+{_first("senders desc, account", limit)}"""
 
 
 @operator("D-06", min_senders=4, min_tx=4)
-def rule_qris_ring(d: Spark, min_senders: int = 10, min_tx: int = 30, limit: int = 100_000) -> str:
+def rule_qris_ring(d: Spark, min_senders: int = 10, min_tx: int = 30, limit: int | None = None) -> str:
     """A merchant code paid by many senders."""
     confidence = d.round("least(0.9e0, 0.5e0 + senders / 100.0e0 * 0.4e0)", 4)
-    text = f"'QRIS from ' || {_text('senders')} || ' senders'"
+    text = "'QRIS_RING: many QRIS senders to one receiver'"
     return f"""
-select {_hit("account", "QRIS_RING", text, confidence)}, senders, n as tx_count
-from (select to_account as account, count(distinct from_account) as senders, count(*) as n
+select {_hit("account", "QRIS_RING", text, confidence)}, senders as merchant_count, n as tx_count, total_received
+from (select to_account as account, count(distinct from_account) as senders, count(*) as n, cast(sum(amount) as double) as total_received
   from {{tx}} where channel = 'qris' group by to_account)
-where senders >= {min_senders} and n >= {min_tx} order by senders desc, account limit {limit}"""
+where senders >= {min_senders} and n >= {min_tx} {_first("senders desc, account", limit)}"""
 
 
 @operator("D-07 J1", min_recent=1)
 def rule_dormant_activation(
-    d: Spark, min_span_days: int = 180, recent_days: int = 60, min_recent: int = 5, max_total: int = 100, limit: int = 100_000
+    d: Spark, min_span_days: int = 180, recent_days: int = 60, min_recent: int = 5, max_total: int = 100, limit: int | None = None
 ) -> str:
     """A long-known account of few transfers that has lately become busy."""
     confidence = d.round("least(0.8e0, 0.45e0 + recent / 30.0e0 * 0.35e0)", 4)
-    text = f"'Dormant account with ' || {_text('recent')} || ' recent transfers'"
+    span = f"cast({d.epoch('last_ts')} - {d.epoch('first_ts')} as double) / 86400.0e0"
+    text = f"'gap=' || {d.fixed(span, 0)} || 'd, recent=' || {_text('recent')} || ', total=' || {_text('total')}"
 
     def side(column: str) -> str:
         return f"""select {column} as account, count(*) as n, min(tx_timestamp) as first_ts, max(tx_timestamp) as last_ts,
@@ -139,34 +146,34 @@ with edge as (select max(tx_timestamp) - interval {recent_days} days as cut from
     least(coalesce(s.first_ts, r.first_ts), coalesce(r.first_ts, s.first_ts)) as first_ts,
     greatest(coalesce(s.last_ts, r.last_ts), coalesce(r.last_ts, s.last_ts)) as last_ts
     from s full outer join r on s.account = r.account)
-select {_hit("account", "DORMANT_ACTIVATION", text, confidence)}, total as tx_count, recent
+select {_hit("account", "DORMANT_ACTIVATION", text, confidence)}, {d.round(span, 1)} as span_days, total as total_tx, recent as recent_cnt
 from sides
 where {d.epoch("last_ts")} - {d.epoch("first_ts")} >= {min_span_days} * 86400 and recent >= {min_recent}
   and total <= {max_total}
-order by recent desc, account limit {limit}"""
+{_first("recent desc, account", limit)}"""
 
 
-def _outliers(d: Spark, typology: str, own: str, other: str, min_metric: int, limit: int) -> str:
+def _outliers(d: Spark, typology: str, own: str, other: str, min_metric: int, limit: int | None) -> str:
     confidence = d.round("least(0.95e0, 0.5e0 + least(coalesce(z, 0.0e0) / 10.0e0, 1.0e0) * 0.45e0)", 4)
-    text = f"'Counterparties: ' || {_text('metric')}"
+    text = f"'metric=' || {_text('metric')} || ' (P99=' || {d.fixed('p99', 0)} || ', z=' || {d.fixed('coalesce(z, 0.0e0)', 1)} || ')'"
     return f"""
 with f as (select {own} as account, count(distinct {other}) as metric from {{tx}} group by {own}),
   stat as (select avg(metric) as mu, stddev_pop(metric) as sd, percentile_cont(0.99) within group (order by metric) as p99
     from f),
-  scored as (select account, metric, (metric - mu) / nullif(sd, 0) as z from f cross join stat
+  scored as (select account, metric, p99, (metric - mu) / nullif(sd, 0) as z from f cross join stat
     where metric > p99 and metric >= {min_metric})
-select {_hit("account", typology, text, confidence)}, metric, {d.round("z", 6)} as zscore
-from scored order by {d.round("z", 6)} desc, account limit {limit}"""
+select {_hit("account", typology, text, confidence)}, metric, {d.round("p99", 2)} as p99, {d.round("z", 6)} as zscore
+from scored {_first(d.round("z", 6) + " desc, account", limit)}"""
 
 
 @operator("D-08 A4 J6 W5")
-def rule_fanout_anomaly(d: Spark, min_metric: int = 5, limit: int = 100_000) -> str:
+def rule_fanout_anomaly(d: Spark, min_metric: int = 5, limit: int | None = None) -> str:
     """Recipients beyond the 99th percentile."""
     return _outliers(d, "FANOUT_ANOMALY", "from_account", "to_account", min_metric, limit)
 
 
 @operator("D-09 A4 J6 W5")
-def rule_fanin_anomaly(d: Spark, min_metric: int = 5, limit: int = 100_000) -> str:
+def rule_fanin_anomaly(d: Spark, min_metric: int = 5, limit: int | None = None) -> str:
     """Senders beyond the 99th percentile."""
     return _outliers(d, "FANIN_ANOMALY", "to_account", "from_account", min_metric, limit)
 
@@ -192,17 +199,25 @@ def hits_sql(d: Spark, rules: tuple[str, ...], **params: dict) -> str:
 
 
 @operator("D-10 J5 O7")
-def rule_cycle_motif(d: Spark, max_suspects: int = 5000, limit: int = 1000) -> str:
-    """Three-account cycles that start at a suspect of the other layers."""
+def rule_cycle_motif(d: Spark, max_suspects: int | None = None, limit: int | None = None) -> str:
+    """Suspects of the other layers that lie on a cycle of three accounts.
+
+    A cycle is found at its account of fewest neighbours, from an edge in and an edge out
+    to accounts of no fewer, so a hub's edges are not paired with each other.
+    """
     suspects = f"select distinct account_id from ({hits_sql(d, ('rule_fanout_anomaly', 'rule_fanin_anomaly', 'rule_layering'))}) x"
     return f"""
 with pairs_ as (select distinct from_account as a, to_account as b from {{tx}} where from_account <> to_account),
-  suspects as (select account_id from ({suspects}) y order by account_id limit {max_suspects})
-select {_hit("a", "CYCLE_MOTIF", "'Three-account cycle'", "0.85e0")}
-from (select distinct t1.a from pairs_ t1 join pairs_ t2 on t1.b = t2.a
-    join pairs_ t3 on t2.b = t3.a and t3.b = t1.a
-  where t1.a <> t2.b and t1.a in (select account_id from suspects)) z
-order by a limit {limit}"""
+  degree as (select id, count(*) as n from (select a as id from pairs_ union all select b from pairs_) v group by id),
+  edges as (select a, b, x.n as na, y.n as nb from pairs_ join degree x on a = x.id join degree y on b = y.id),
+  into_low as (select a as u, b as v from edges where nb < na or (nb = na and b < a)),
+  out_of_low as (select a as v, b as w from edges where na < nb or (na = nb and a < b)),
+  cycles as (select u, i.v, w from into_low i join out_of_low o on i.v = o.v join pairs_ p on p.a = w and p.b = u where u <> w),
+  suspects as (select account_id from ({suspects}) y {_first("account_id", max_suspects)})
+select {_hit("a", "CYCLE_MOTIF", "'CYCLE_MOTIF: 3-hop circular flow (A->B->C->A)'", "0.85e0")}
+from (select distinct a from (select u as a from cycles union all select v from cycles union all select w from cycles) c
+  where a in (select account_id from suspects)) z
+{_first("a", limit)}"""
 
 
 @operator("D-11 A14")
