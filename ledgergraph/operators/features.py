@@ -157,7 +157,7 @@ def feat_val_cutoff(d: Spark) -> str:
     return f"with {_CUTOFF} select cutoff as val_cutoff from cut_"
 
 
-@operator("F4 F5 F6 F7 F8 F9 F10 F11 F26 J1 J3 P5 P8 A7 A8 O3")
+@operator("F4 F5 F6 F7 F8 F9 F10 F11 J1 J3 P5 P8 A7 A8 O3")
 def feat_account_table(d: Spark) -> str:
     """All SQL features of every account in one plan; an absent side counts as 0."""
     return f"""

@@ -1,26 +1,35 @@
 """Graph operators that iterate to a fixed point or for given rounds.
 
-State is cut to Parquet in the shared folder every few rounds, so plans stay short
-and a lost executor repeats at most those rounds.
+Every round is one job that writes its state to Parquet in the shared folder, so plans
+stay short and a lost executor repeats one round.  What ends a round, a sum over the
+state, is observed while it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ranked
 from ..functions.workspace import Workspace
+from ..plans.catalog import OPERATORS
 from ..plans.dialect import DUCK
-from ..plans.fixtures import fixture, fixture_sql
+from ..plans.fixtures import fixture, fixture_sql, fixture_tables
 from .components import connected_components
-
-CUT_EVERY = 5
+from .features import _CUTOFF, FEATURE_COLUMNS
 
 
 def distinct_pairs(tx: DataFrame) -> DataFrame:
     return tx.select(F.col("from_account").alias("src"), F.col("to_account").alias("dst")).distinct()
 
 
+def _observed(work: Workspace, rows: DataFrame, name: str, measure: Column) -> tuple[DataFrame, float]:
+    """The written rows and a sum over them (0 of none)."""
+    seen = Observation()
+    found = work.cut(rows.observe(seen, F.sum(measure).alias("x")), name)
+    return found, seen.get["x"] or 0
+
+
 def pagerank(spark: SparkSession, pairs: DataFrame, damping: float = 0.85, rounds: int = 30, seeds: DataFrame | None = None) -> DataFrame:
     """``account_id, pagerank`` over distinct ``src, dst`` pairs.
 
@@ -28,64 +37,62 @@ def pagerank(spark: SparkSession, pairs: DataFrame, damping: float = 0.85, round
     or over ``seeds`` (``account_id``) for the personalised form.  Ranks sum to 1.
     """
     work = Workspace(spark, "pagerank")
-    degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    edges = work.cut(pairs.join(degree, "src").repartition("src"), "edges")
-    nodes = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    edges = work.cut(pairs.select("src", "dst"), "edges")
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(degree, "id", "left")
     if seeds is None:
         nodes = nodes.withColumn("start", F.lit(1.0))
     else:
         marked = seeds.select(F.col("account_id").alias("id"), F.lit(1.0).alias("start")).distinct()
         nodes = nodes.join(marked, "id", "left").fillna({"start": 0.0})
-    nodes = nodes.join(degree.select(F.col("src").alias("id"), "degree"), "id", "left")
-    total = nodes.agg(F.sum("start").alias("total"))
-    nodes = work.cut(nodes.crossJoin(F.broadcast(total)).select("id", "degree", (F.col("start") / F.col("total")).alias("start")), "nodes")
-    ranks = nodes.select("id", "degree", "start", F.col("start").alias("rank"))
+    nodes, total = _observed(work, nodes, "nodes", F.col("start"))
+    ranks = nodes.select("id", "degree", (F.col("start") / F.lit(float(total or 1))).alias("start")).withColumn("rank", F.col("start"))
+    dangling = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)
+    ranks, loose = _observed(work, ranks, "ranks-0", dangling)
     for i in range(1, rounds + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         given = (
-            edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src")
+            edges.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
             .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+            .agg(F.sum("share").alias("given"))
         )
-        ranks = nodes.join(given, "id", "left").crossJoin(F.broadcast(loose)).select(
+        now = ranks.join(given, "id", "left").select(
             "id", "degree", "start",
-            ((1 - damping) * F.col("start") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") * F.col("start"))).alias("rank"),
+            ((1 - damping) * F.col("start") + damping * (F.coalesce("given", F.lit(0.0)) + float(loose) * F.col("start"))).alias("rank"),
         )
-        if i % CUT_EVERY == 0 or i == rounds:
-            ranks = work.cut(ranks, f"ranks-{i}")
+        ranks, loose = _observed(work, now, f"ranks-{i}", dangling)
+        work.drop(f"ranks-{i - 1}")
     return ranks.select(F.col("id").alias("account_id"), F.col("rank").alias("pagerank"))
 
 
 def kcore(spark: SparkSession, pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
     """``account_id, kcore_number`` of the undirected simple graph.
 
-    Core numbers are the fixed point of "h-index of the neighbours' values", from
-    the degree down.  Neighbours are counted by value before they meet, so a hub's
-    rows number its distinct values.  A self-loop is a neighbour of itself.
+    Core numbers are the fixed point of "h-index of the neighbours' values", from the
+    degree down.  Values only fall, so a neighbour counts by the lesser of its value and
+    one's own; neighbours are counted by that before they meet, and a hub's rows number
+    its distinct values.  A self-loop is a neighbour of itself.  Raises ``RuntimeError``
+    if ``max_rounds`` do not suffice.
     """
     work = Workspace(spark, "kcore")
-    both = work.cut(pairs.union(pairs.select("dst", "src")).distinct().repartition("src"), "both")
-    core = work.cut(both.groupBy("src").agg(F.count(F.lit(1)).alias("core")), "core-0")
+    both = work.cut(pairs.union(pairs.select("dst", "src")).distinct(), "both")
+    core, before = _observed(work, both.groupBy("src").agg(F.count(F.lit(1)).alias("core")), "core-0", F.col("core"))
     down = Window.partitionBy("src").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
     for i in range(1, max_rounds + 1):
-        now = core
-        for _ in range(3):
-            values = (
-                both.join(now.select(F.col("src").alias("dst"), F.col("core").alias("value")), "dst")
-                .groupBy("src", "value")
-                .agg(F.count(F.lit(1)).alias("n"))
-            )
-            now = (
-                values.withColumn("at_least", F.sum("n").over(down))
-                .groupBy("src")
-                .agg(F.max(F.least("value", "at_least")).alias("core"))
-            )
-        now = work.cut(now, f"core-{i}")
-        before, after = (x.agg(F.sum("core")).first()[0] for x in (core, now))
-        core = now
-        if before == after:  # values only fall, so an equal sum is the fixed point
-            break
-    return core.select(F.col("src").alias("account_id"), F.col("core").alias("kcore_number"))
+        counted = (
+            both.join(core.select(F.col("src").alias("dst"), F.col("core").alias("theirs")), "dst")
+            .join(core, "src")
+            .groupBy("src", F.least("theirs", "core").alias("value"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        now = (
+            counted.withColumn("at_least", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("value", "at_least")).alias("core"))
+        )
+        core, after = _observed(work, now, f"core-{i}", F.col("core"))
+        work.drop(f"core-{i - 1}")
+        if before == after:  # an equal sum of falling values is the fixed point
+            return core.select(F.col("src").alias("account_id"), F.col("core").alias("kcore_number"))
+        before = after
+    raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
 def clusters(spark: SparkSession, tx: DataFrame, min_size: int = 3, high: int = 20, medium: int = 5) -> DataFrame:
@@ -105,33 +112,82 @@ def clusters(spark: SparkSession, tx: DataFrame, min_size: int = 3, high: int =
         .agg(F.concat_ws(",", F.sort_array(F.collect_list("node")).cast("array<string>")).alias("sample"))
     )
     sized = member.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    order = Window.orderBy(F.col("size").desc(), "root")
-    return sized.join(edges, "root").join(sample, "root").select(
-        F.format_string("C%04d", F.row_number().over(order)).alias("cluster_id"), "root", "size", "illicit_edges",
+    placed = ranked(work, sized, [F.col("size").desc(), F.col("root")], "placed")
+    return placed.join(edges, "root").join(sample, "root").select(
+        F.format_string("C%04d", "place").alias("cluster_id"), "root", "size", "illicit_edges",
         F.when(F.col("size") >= high, "HIGH").when(F.col("size") >= medium, "MEDIUM").otherwise("LOW").alias("risk_level"), "sample",
     )
 
 
-def cluster_detail(spark: SparkSession, tx: DataFrame, seed: int, max_nodes: int = 120, max_hops: int = 8) -> DataFrame:
-    """Breadth-first from a seed, nearer and busier accounts first: ``account_id, hops, degree``."""
+def cluster_detail(
+    spark: SparkSession, tx: DataFrame, seed: int | None = None, scores: DataFrame | None = None, max_nodes: int = 120, max_hops: int = 20
+) -> DataFrame:
+    """What a drawing of a cluster shows: breadth-first from a seed, riskier and busier
+    accounts first, up to ``max_nodes`` accounts (the operator's feature): ``account_id,
+    hops, degree, risk_score``.  Without a seed the account of largest ``degree * 1000 +
+    risk_score`` is it (the least id of equals); ``scores`` has ``account_id, risk_score``."""
+    work = Workspace(spark, "detail")
     pairs = distinct_pairs(tx).where("src <> dst")
-    both = Workspace(spark, "detail").cut(pairs.union(pairs.select("dst", "src")).distinct(), "both")
-    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    reached = spark.range(1).select(F.lit(seed).cast("bigint").alias("id"), F.lit(0).alias("hops"))
-    work = Workspace(spark, "bfs")
+    both = work.cut(pairs.union(pairs.select("dst", "src")).distinct(), "both")
+    nodes = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    if scores is None:
+        nodes = nodes.withColumn("risk", F.lit(0.0))
+    else:
+        risk = scores.groupBy(F.col("account_id").alias("id")).agg(F.max("risk_score").alias("risk"))
+        nodes = nodes.join(risk, "id", "left").fillna({"risk": 0.0})
+    nodes = work.cut(nodes, "nodes")
+    if seed is None:
+        best = nodes.orderBy((F.col("degree") * 1000 + F.col("risk")).desc(), "id").select("id").first()
+        seed = best["id"] if best else None
+    reached = work.cut(nodes.where(F.col("id").eqNullSafe(F.lit(seed))).select("id", F.lit(0).alias("hops")), "hop-0")
+    size = reached.count()
     for hop in range(1, max_hops + 1):
-        near = both.join(reached.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        near = near.join(reached, "id", "left_anti").join(degree.withColumnRenamed("src", "id"), "id")
-        near = near.orderBy(F.col("degree").desc(), "id").limit(max_nodes).select("id", F.lit(hop).alias("hops"))
-        size = reached.count()
+        near = both.join(reached.where(F.col("hops") == hop - 1).select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        near = near.join(reached, "id", "left_anti").join(nodes, "id")
+        near = near.orderBy(F.col("risk").desc(), F.col("degree").desc(), "id").limit(max(0, max_nodes - size)).select("id", F.lit(hop).alias("hops"))
         reached = work.cut(reached.union(near), f"hop-{hop}")
-        if reached.count() >= max_nodes or reached.count() == size:
+        before, size = size, reached.count()
+        if size in (before, max_nodes):
             break
-    return (
-        reached.join(degree.withColumnRenamed("src", "id"), "id", "left")
-        .orderBy("hops", F.col("degree").desc(), "id").limit(max_nodes)
-        .select(F.col("id").alias("account_id"), "hops", F.coalesce("degree", F.lit(0)).alias("degree"))
-    )
+    return reached.join(nodes, "id").select(F.col("id").alias("account_id"), "hops", "degree", F.col("risk").alias("risk_score"))
+
+
+def component_stats(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """One row over all edges: ``nodes, components, largest``."""
+    work = Workspace(spark, "wcc")
+    found = connected_components(pairs.select("src", "dst"), work, "components")
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    member = nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("root"))
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
+
+
+def cluster_report(spark: SparkSession, tx: DataFrame, top: int = 10) -> DataFrame:
+    """The largest clusters of illicit transfers (a top list): ``cluster_id, size,
+    illicit_edges, risk_level``."""
+    return clusters(spark, tx, min_size=1).orderBy("cluster_id").limit(top).select("cluster_id", "size", "illicit_edges", "risk_level")
+
+
+def active_network_features(spark: SparkSession, tx: DataFrame, days: int = 30) -> DataFrame:
+    """PageRank and core numbers over the whole graph, for accounts with a transfer in
+    the last days: what a periodic refresh writes back to them."""
+    last = tx.agg(F.max("tx_timestamp").alias("last_"))
+    recent = tx.crossJoin(F.broadcast(last)).where(F.col("tx_timestamp") >= F.col("last_") - F.expr(f"interval {int(days)} days"))
+    active = recent.select(F.col("from_account").alias("account_id")).union(recent.select("to_account")).distinct()
+    pairs = distinct_pairs(tx)
+    return pagerank(spark, pairs).join(kcore(spark, pairs), "account_id").join(active, "account_id", "left_semi")
+
+
+def full_feature_table(spark: SparkSession, tx: DataFrame) -> DataFrame:
+    """The 24 feature columns of every account, and its label; PageRank and core numbers
+    count transfers up to the validation cut-off only, and are 0 for later accounts."""
+    table = OPERATORS["feat_account_table"].apply(spark, {"tx": tx})
+    cutoff = spark.sql(f"with {_CUTOFF} select cutoff from cut_", tx=tx)
+    causal = tx.crossJoin(F.broadcast(cutoff)).where("tx_timestamp <= cutoff")
+    pairs = Workspace(spark, "features").cut(distinct_pairs(causal), "pairs")
+    found = table.join(pagerank(spark, pairs), "account_id", "left").join(kcore(spark, pairs), "account_id", "left")
+    found = found.fillna({"pagerank": 0.0, "kcore_number": 0})
+    return found.select("account_id", *FEATURE_COLUMNS, "is_laundering_label")
 
 
 def networks(spark: SparkSession, sightings: DataFrame) -> DataFrame:
@@ -160,81 +216,154 @@ def feat_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_personal_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs_of(spark, sf_dir)
     seeds = pairs.where("src = 42").select(F.col("src").alias("account_id"))
-    return pagerank(spark, pairs, rounds=15, seeds=seeds).withColumn("pagerank", F.round("pagerank", 12))
+    return pagerank(spark, pairs, seeds=seeds).withColumn("pagerank", F.round("pagerank", 12))
 
 
 def feat_kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kcore(spark, _pairs_of(spark, sf_dir))
 
 
+def feat_full_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_feature_table(spark, fixture(spark, sf_dir, "tx")).withColumn("pagerank", F.round("pagerank", 12))
+
+
 def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark, fixture(spark, sf_dir, "tx"), min_size=2)
 
 
 def graph_cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_detail(spark, fixture(spark, sf_dir, "tx").where("is_laundering = 1"), seed=42)
+    tables = fixture_tables(spark, sf_dir, "{tx} {predictions}")
+    return cluster_detail(spark, tables["tx"].where("is_laundering = 1"), scores=tables["predictions"])
+
+
+def graph_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_stats(spark, _pairs_of(spark, sf_dir))
+
+
+def graph_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(spark, fixture(spark, sf_dir, "tx"))
+
+
+def graph_active_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return active_network_features(spark, fixture(spark, sf_dir, "tx")).withColumn("pagerank", F.round("pagerank", 12))
 
 
 def osint_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    sightings = pages.select(F.concat(F.lit("R"), F.pmod("page_id", F.lit(40)).cast("string")).alias("rekening"), "url")
-    return networks(spark, sightings)
+    return networks(spark, fixture(spark, sf_dir, "found"))
 
 
 QUERIES = {
     "feat_pagerank": feat_pagerank,
     "feat_kcore": feat_kcore,
+    "feat_full_table": feat_full_table,
     "graph_personal_pagerank": graph_personal_pagerank,
     "graph_clusters": graph_clusters,
     "graph_cluster_detail": graph_cluster_detail,
+    "graph_cluster_report": graph_cluster_report,
+    "graph_component_stats": graph_component_stats,
+    "graph_active_writeback": graph_active_writeback,
     "osint_networks": osint_networks,
 }
 
 COVERS = {
-    "feat_pagerank": "F20 D5 O11", "feat_kcore": "F21 D15", "graph_personal_pagerank": "G2 G12", "graph_clusters": "G3 G5 G9 M15",
-    "graph_cluster_detail": "G6", "osint_networks": "N9",
+    "feat_pagerank": "F20 D5 O11", "feat_kcore": "F21 D15", "feat_full_table": "F22 F26", "graph_personal_pagerank": "G2",
+    "graph_clusters": "G3 G5 M15", "graph_cluster_detail": "G6", "graph_cluster_report": "G9", "graph_component_stats": "G4",
+    "graph_active_writeback": "G12", "osint_networks": "N9",
 }
 
 
-def _pagerank_sql(rounds: int, start: str) -> str:
-    """Unrolled power iterations, a CTE per round."""
+def _components_sql(edges: str) -> str:
+    """CTEs ``u`` and ``cc`` (``node, root``): labels that fall to the least id within reach."""
+    return f"""e AS ({edges}), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM u
+    UNION SELECT u.b, min(now.root) FROM cc AS now JOIN u ON now.node = u.a JOIN recurring.cc AS old ON old.node = u.b
+      WHERE now.root < old.root GROUP BY u.b)"""
+
+
+def _pagerank_ctes(pairs: str, rounds: int, start: str) -> list[str]:
+    """Unrolled power iterations, a CTE per round; ``r<rounds>`` has ``id, r``."""
     parts = [
-        f"WITH {fixture_sql('{pairs}')}",
-        "deg AS MATERIALIZED (SELECT from_account AS src, count(*) AS d FROM pairs GROUP BY 1)",
+        f"deg AS MATERIALIZED (SELECT from_account AS src, count(*) AS d FROM {pairs} GROUP BY 1)",
         "nodes AS MATERIALIZED (SELECT id, d, CAST(s AS DOUBLE) / sum(s) OVER () AS st FROM (SELECT id, d, "
-        f"{start} AS s FROM (SELECT from_account AS id FROM pairs UNION SELECT to_account FROM pairs) v LEFT JOIN deg ON id = src) q)",
+        f"{start} AS s FROM (SELECT from_account AS id FROM {pairs} UNION SELECT to_account FROM {pairs}) v LEFT JOIN deg ON id = src) q)",
         "r0 AS MATERIALIZED (SELECT id, d, st, st AS r FROM nodes)",
     ]
     for i in range(1, rounds + 1):
         parts.append(
             f"r{i} AS MATERIALIZED (SELECT n.id, n.d, n.st, 0.15 * n.st + 0.85 * (coalesce(g, 0) + "
             f"(SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE d IS NULL) * n.st) AS r FROM nodes n LEFT JOIN (SELECT to_account, sum(r / d) AS g "
-            f"FROM pairs JOIN r{i - 1} ON from_account = id GROUP BY 1) x ON n.id = x.to_account)"
+            f"FROM {pairs} JOIN r{i - 1} ON from_account = id GROUP BY 1) x ON n.id = x.to_account)"
+        )
+    return parts
+
+
+#: Rounds of the unrolled core numbers; the small tables settle within 20.
+_CORE_ROUNDS = 40
+
+
+def _kcore_ctes(pairs: str) -> list[str]:
+    """Unrolled h-index steps by plain ranks of the neighbours; ``k<rounds>`` has ``id, c``."""
+    parts = [
+        f"un AS MATERIALIZED (SELECT from_account AS a, to_account AS b FROM {pairs} UNION SELECT to_account, from_account FROM {pairs})",
+        "k0 AS MATERIALIZED (SELECT a AS id, count(*) AS c FROM un GROUP BY a)",
+    ]
+    for i in range(1, _CORE_ROUNDS + 1):
+        parts.append(
+            f"k{i} AS MATERIALIZED (SELECT a AS id, max(least(c, place)) AS c FROM (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY c DESC) AS place "
+            f"FROM un JOIN k{i - 1} ON b = id) h GROUP BY a)"
         )
-    return ", ".join(parts) + f" SELECT id AS account_id, {DUCK.round('r', 12)} AS pagerank FROM r{rounds}"
+    return parts
+
+
+def _pagerank_sql(rounds: int, start: str) -> str:
+    parts = [fixture_sql("{pairs}"), *_pagerank_ctes("pairs", rounds, start)]
+    return f"WITH {', '.join(parts)} SELECT id AS account_id, {DUCK.round('r', 12)} AS pagerank FROM r{rounds}"
+
+
+def _kcore_sql() -> str:
+    return f"WITH {', '.join([fixture_sql('{pairs}'), *_kcore_ctes('pairs')])} SELECT id AS account_id, c AS kcore_number FROM k{_CORE_ROUNDS}"
+
+
+def _full_sql() -> str:
+    causal = f"causal AS MATERIALIZED (WITH {_CUTOFF} SELECT DISTINCT from_account, to_account FROM tx CROSS JOIN cut_ WHERE tx_timestamp <= cutoff)"
+    base = f"base AS ({OPERATORS['feat_account_table'].build(DUCK)})"
+    parts = [fixture_sql("{tx}"), base, causal, *_pagerank_ctes("causal", 30, "1.0"), *_kcore_ctes("causal")]
+    return (
+        f"WITH {', '.join(parts)} SELECT b.*, coalesce({DUCK.round('r', 12)}, 0) AS pagerank, coalesce(c, 0) AS kcore_number "
+        f"FROM base b LEFT JOIN r30 ON b.account_id = r30.id LEFT JOIN k{_CORE_ROUNDS} k ON b.account_id = k.id"
+    ).replace("{tx}", "tx")
+
+
+def _writeback_sql() -> str:
+    parts = [fixture_sql("{pairs}"), *_pagerank_ctes("pairs", 30, "1.0"), *_kcore_ctes("pairs")]
+    return (
+        f"WITH {', '.join(parts)}, late AS (SELECT * FROM tx WHERE tx_timestamp >= (SELECT max(tx_timestamp) FROM tx) - INTERVAL 30 DAY) "
+        f"SELECT r30.id AS account_id, {DUCK.round('r', 12)} AS pagerank, c AS kcore_number FROM r30 JOIN k{_CORE_ROUNDS} k ON r30.id = k.id "
+        "WHERE r30.id IN (SELECT from_account FROM late UNION SELECT to_account FROM late)"
+    )
+
 
+_CLUSTERS = f"""WITH RECURSIVE {fixture_sql("{tx}")},
+  {_components_sql("SELECT from_account AS a, to_account AS b FROM tx WHERE is_laundering = 1")},
+  sized AS (SELECT root, count(*) AS size, list(node ORDER BY node)[1:5] AS first FROM cc GROUP BY root),
+  n AS (SELECT root, count(*) AS illicit_edges FROM e JOIN cc ON a = node GROUP BY root),
+  listed AS (SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY size DESC, s.root) AS VARCHAR), 4, '0') AS cluster_id, s.root, size, illicit_edges,
+    CASE WHEN size >= 20 THEN 'HIGH' WHEN size >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, array_to_string(first, ',') AS sample
+    FROM sized s JOIN n ON s.root = n.root WHERE size >= @least)"""
 
 SQL = {
     "feat_pagerank": _pagerank_sql(30, "1.0"),
-    "graph_personal_pagerank": _pagerank_sql(15, "CASE WHEN id = 42 THEN 1.0 ELSE 0.0 END"),
-    "graph_clusters": f"""
-WITH RECURSIVE {fixture_sql("{tx}")},
-  e AS (SELECT from_account AS a, to_account AS b FROM tx WHERE is_laundering = 1 AND amount > 100000000),
-  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  reach(node, other) AS (SELECT a, a FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.other = u.a),
-  member AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
-  sized AS (SELECT root, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS names,
-    list(node ORDER BY node)[1:5] AS first FROM member GROUP BY root HAVING count(*) >= 2),
-  n AS (SELECT root, count(*) AS illicit_edges FROM e JOIN member ON a = node GROUP BY root)
-SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY size DESC, s.root) AS VARCHAR), 4, '0') AS cluster_id, s.root, size, illicit_edges,
-  CASE WHEN size >= 20 THEN 'HIGH' WHEN size >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, array_to_string(first, ',') AS sample
-FROM sized s JOIN n ON s.root = n.root""",
-    "osint_networks": """
-WITH RECURSIVE s AS (SELECT DISTINCT 'acc:R' || CAST(page_id % 40 AS VARCHAR) AS a, 'site:' || url AS b FROM pages),
-  u AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
-  reach(node, other) AS (SELECT a, a FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.other = u.a),
-  member AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
-SELECT root, count(DISTINCT a) AS accounts, count(DISTINCT b) AS sites,
-  CASE WHEN count(DISTINCT b) >= 3 THEN 'HIGH' ELSE 'MED' END AS risk_level
-FROM s JOIN member ON a = node GROUP BY root HAVING count(DISTINCT b) >= 2""",
+    "feat_kcore": _kcore_sql(),
+    "feat_full_table": _full_sql(),
+    "graph_personal_pagerank": _pagerank_sql(30, "CASE WHEN id = 42 THEN 1.0 ELSE 0.0 END"),
+    "graph_active_writeback": _writeback_sql(),
+    "graph_clusters": _CLUSTERS.replace("@least", "2") + " SELECT * FROM listed",
+    "graph_cluster_report": _CLUSTERS.replace("@least", "1") + " SELECT cluster_id, size, illicit_edges, risk_level FROM listed ORDER BY cluster_id LIMIT 10",
+    "graph_component_stats": f"""WITH RECURSIVE {fixture_sql("{pairs}")}, {_components_sql("SELECT from_account AS a, to_account AS b FROM pairs")},
+  sized AS (SELECT root, count(*) AS n FROM cc GROUP BY root)
+SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM sized""",
+    "osint_networks": f"""WITH RECURSIVE {fixture_sql("{found}")},
+  {_components_sql("SELECT DISTINCT 'acc:' || rekening AS a, 'site:' || url AS b FROM found")}
+SELECT root, count(DISTINCT a) AS accounts, count(DISTINCT b) AS sites, CASE WHEN count(DISTINCT b) >= 3 THEN 'HIGH' ELSE 'MED' END AS risk_level
+FROM e JOIN cc ON a = node GROUP BY root HAVING count(DISTINCT b) >= 2""",
 }
