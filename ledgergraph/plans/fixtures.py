@@ -169,9 +169,9 @@ def _seeds(d: Spark) -> str:
 
 def _found(d: Spark) -> str:
     """Accounts that extraction finds on the planted pages, with the page's address."""
-    from .catalog import OPERATORS
+    from ..operators.extraction import osint_extract_accounts
 
-    hits = OPERATORS["osint_extract_accounts"].build(d).replace("{page_texts}", "{planted}")
+    hits = osint_extract_accounts.build(d).replace("{page_texts}", "{planted}")
     return f"select f.page_id, p.url, f.rekening, f.bank, f.account_type, f.confidence from ({hits}) f join {{planted}} p on f.page_id = p.page_id"
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgergraph.functions.workspace import Workspace, shared_root
-from ledgergraph.operators.extraction import extract
+from ledgergraph.operators.extraction import osint_extract_accounts
 from ledgergraph.plans import registry
 from ledgergraph.sources import files, generate
 from ledgergraph.streaming import account_state, node_memory
@@ -67,8 +67,10 @@ def test_generated_ledgers_repeat(spark):
         ("bri 1 bni 1234567890", [("1234567890", "BNI", "bank", 1.0)]),
     ],
 )
-def test_accounts_in_text(text, wanted):
-    assert extract(text) == wanted
+def test_accounts_in_text(spark, text, wanted):
+    pages = spark.createDataFrame([(1, text, "html")], "page_id bigint, html string, origin string")
+    found = osint_extract_accounts.apply(spark, {"page_texts": pages}).collect()
+    assert [(r.rekening, r.bank, r.account_type, r.confidence) for r in found] == wanted
 
 
 def test_memory_scores_are_the_same_in_stream_and_batch(spark):
