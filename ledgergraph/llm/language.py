@@ -32,7 +32,7 @@ SAMPLE_DOCS = 2000
 FILTER_GRAMS = 1 << 14
 SLOTS = 1 << 20
 PROBES = 3
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _TO_BLANK = np.full(256, 0x20, np.uint8)
 _TO_BLANK[0x61:0x7B] = np.arange(0x61, 0x7B)
 _TO_BLANK[0x80:] = np.arange(0x80, 0x100)

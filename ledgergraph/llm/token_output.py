@@ -37,10 +37,11 @@ MAGIC = b"LGTOKEN1"
 BLOCK_IDS = 4096
 #: A segment is closed once it holds so many ids (a longer document makes a longer one).
 SEGMENT_IDS = 1 << 16
-#: Distinct chunks, and their characters, that a worker remembers before it starts anew.
-CACHE_CHUNKS = 1_000_000
-CACHE_CHARS = 16 << 20
-PIECE_BYTES = 1 << 22
+#: Distinct chunks, and their characters, that a worker remembers before it forgets all
+#: but those of the text at hand.
+CACHE_CHUNKS = 300_000
+CACHE_CHARS = 8 << 20
+PIECE_BYTES = 1 << 21
 
 
 def width_of(vocabulary: int) -> int:
@@ -183,6 +184,14 @@ class Encoder:
         self.chars += sum(map(len, chunks))
         self.place.update(zip(chunks, range(k, k + n), strict=True))
 
+    def _forget_others(self, chunks: list[str]) -> None:
+        kept = [c for c in chunks if c and c in self.place]
+        at = np.array([self.place[c] for c in kept], np.int64)
+        length = self.length[at]
+        ids = self.pool[np.repeat(self.first[at] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        self._reset()
+        self._remember(kept, ids, length)
+
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if self.mark is not None and self.MARK not in c]
         for i in range(0, len(plain), 2048):
@@ -214,7 +223,7 @@ class Encoder:
             coded = lists.flatten().dictionary_encode()
             known = coded.dictionary.to_pylist()
             if len(self.place) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
-                self._reset()
+                self._forget_others(known)
             places = list(map(self.place.get, known))
             new = [k for k, x in enumerate(places) if x is None]
             if new:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _R = U(0x9E3779B97F4A7C15)
 _SEED = 20240229
 
