@@ -13,7 +13,8 @@ from .catalog import OPERATORS
 #: (``QUERIES``: name to function; ``SQL``: name to oracle text; ``COVERS``).
 PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint", "extraction")
 CODE_MODULES = (
-    "operators.iterative", "operators.models", "sources.generate", "streaming.account_state", "streaming.node_memory",
+    "operators.iterative", "operators.models", "sources.generate", "sources.typologies", "streaming.account_state", "streaming.account_signals",
+    "streaming.node_memory",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,9 +1,10 @@
-"""Inventory ids are claimed only where they are built."""
+"""Inventory ids are claimed only by queries that build them."""
 
 from ledgergraph.plans import registry
 
 
-def test_unbuilt_methods_are_not_claimed():
+def test_claims_of_the_stream_state():
     claimed = registry.coverage()
-    assert "S27" not in claimed and "T11" not in claimed and "T3" not in claimed
-    assert "stream_account_features" not in claimed["T7"]
+    assert claimed["T3"] == claimed["T11"] == claimed["T10"] == ["stream_account_signals"]
+    assert claimed["S27"] == ["gen_typologies"]
+    assert "stream_account_features" not in claimed["T7"] and "gen_motifs" not in claimed["S27"]
