@@ -1,7 +1,8 @@
 """A gated recurrent memory per account that scores its transfers.
 
 The weights are declared by a seed, since none are published; the same step runs
-over a stream with keyed state and over a batch in event order.
+over a stream with keyed state and over a batch in event order.  An account that was
+idle for over 30 days starts anew in both; the stream's state is dropped by then.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.workspace import Workspace
-from .account_state import read_staged, run_to_parquet, stage
+from .account_state import RETENTION_S, read_staged, run_to_parquet, stage
 
 DIM, INPUT, SEED = 16, 4, 7
+#: Fixed value: seconds that an idle account's memory lasts.
+MEMORY_S = 30 * 86_400
 OUTPUT = "event_id bigint, user_id bigint, score double"
 STATE = "memory array<double>, last double"
 #: Rows per Arrow batch of an account are unbounded in number, not in state: 17 doubles.
@@ -49,6 +52,8 @@ def _replay(rows: pd.DataFrame, memory: np.ndarray, last: float) -> tuple[list[t
     out = []
     for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
         at = r.ts.timestamp()
+        if last >= 0 and at - last > MEMORY_S:
+            memory, last = np.zeros(DIM), -1.0
         memory, score = step(memory, r.value, r.event_type, r.ts.hour, at - last if last >= 0 else 0.0)
         last = at
         out.append((r.event_id, r.user_id, score))
@@ -56,14 +61,19 @@ def _replay(rows: pd.DataFrame, memory: np.ndarray, last: float) -> tuple[list[t
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     memory, last = state.get if state.exists else ([0.0] * DIM, -1.0)
     out, memory, last = _replay(pd.concat(list(frames)), np.array(memory), last)
     state.update((memory.tolist(), last))
+    state.setTimeoutTimestamp(int((last + MEMORY_S) * 1000))
     yield pd.DataFrame(out, columns=["event_id", "user_id", "score"])
 
 
 def score_stream(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("user_id").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", f"{RETENTION_S} seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def score_batch(events: DataFrame) -> DataFrame:
