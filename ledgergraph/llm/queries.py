@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, mixing, quality_rules
+from . import chat, filter_audit, line_dedup, merkle, mixing, quality_rules
 from .decontaminate import contamination, digest
 from .language import identify
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .quality_model import classify_quality
+from .secrets import secret_scan
 from .token_output import token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,18 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering_audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_assignment_aware_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_snapshot_collapse": op1_chat_snapshot_collapse,
     "op2_co_trained_quality": op2_co_trained_quality,
@@ -80,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_bit_packed_tokens": op9_bit_packed_tokens,
     "op10_curriculum_mix": op10_curriculum_mix,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_assignment_aware_secrets": op12_assignment_aware_secrets,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_site_relative_lines": line_dedup.SQL,
     "op8_risk_controlled_rules": quality_rules.SQL,
     "op10_curriculum_mix": mixing.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_filter_interaction_audit": filter_audit.SQL,
 }
