@@ -269,22 +269,43 @@ def _confirm(shingle: int, percent: int, n_minima: int):
 def _found(
     spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, rows: int, bands: int
 ) -> DataFrame:
-    """``doc_id, n_shingles, fp`` (null for an empty set) ``, mark`` (MD5 of the text of
-    a row without an id) ``, component`` of every row."""
+    """``doc_id, n_shingles, fp`` (null for an empty set) ``, mark`` (MD5 of the text)
+    ``, component`` of every row.
+
+    A class of equal sets is a node by the smallest id of its rows.  Ids of rows with
+    several texts would name several classes, so there, if there are any, the text's
+    mark is a part of the node.
+    """
     work = Workspace(spark, "near-dedup")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     sketches = work.cut(
-        source.withColumn("mark", F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary")))).mapInArrow(
+        source.withColumn("mark", F.md5(F.col("text").cast("binary"))).mapInArrow(
             _sketch(shingle, rows, bands),
             f"doc_id {kind}, n_shingles bigint, fp binary, keys array<bigint>, low binary, mark string",
         ),
         "sketches",
     )
-    classes = sketches.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    several = sketches.where("doc_id is not null and fp is not null").groupBy("doc_id")
+    several = work.cut(several.agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("doc_id"), "several")
+    plain = several.isEmpty()
+    if plain:
+        noded, id_of, clump_of = sketches.withColumn("node", F.col("doc_id")), lambda c: F.col(c), lambda c: F.col(c)
+        right_text = F.col("rep") == F.col("doc_id")
+    else:
+        own = F.struct(F.col("doc_id").alias("id"), F.when(F.col("many"), F.col("mark")).alias("mark"))
+        noded = sketches.join(several.withColumn("many", F.lit(True)), "doc_id", "left")
+        noded = work.cut(noded.withColumn("node", F.when(F.col("doc_id").isNotNull(), own)).drop("many"), "noded")
+        # two clumps of one hash are compared together, which finds no link more or less
+        id_of, clump_of = lambda c: F.col(c)["id"], lambda c: F.xxhash64(c)
+        right_text = (F.col("rep.id") == F.col("doc_id")) & (
+            F.col("rep.mark").isNull() | (F.col("rep.mark") == F.md5(F.col("text").cast("binary")))
+        )
+    kind = noded.schema["node"].dataType.simpleString()
+    classes = noded.where("fp is not null").groupBy("fp").agg(F.min("node").alias("rep"))
     reps = (
-        sketches.alias("s")
-        .join(classes.alias("c"), (F.col("s.fp") == F.col("c.fp")) & (F.col("s.doc_id") == F.col("c.rep")))
+        noded.alias("s")
+        .join(classes.alias("c"), (F.col("s.fp") == F.col("c.fp")) & (F.col("s.node") == F.col("c.rep")))
         .select("rep", "n_shingles", "keys", "low")
     )
     keyed = reps.select("rep", F.explode("keys").alias("key"))
@@ -295,8 +316,8 @@ def _found(
     clumps = connected_components(ties, work, "clumps")
     clumps = work.cut(_split(work, clumps, reps, least_agreement(percent, rows * bands), kind), "fine")
     members = work.cut(
-        clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump"))
-        .unionByName(clumps.select(F.col("component").alias("rep"), F.col("component").alias("clump")).distinct())
+        clumps.select(F.col("node").alias("rep"), clump_of("component").alias("clump"))
+        .unionByName(clumps.select(F.col("component").alias("rep"), clump_of("component").alias("clump")).distinct())
         .join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"),
         "members",
     )
@@ -308,7 +329,7 @@ def _found(
         _dealt(members, "clump", blocks)
         .select("clump", "i", "j", "rep", "block")
         .hint("shuffle_hash")
-        .join(source, F.col("rep") == F.col("doc_id"))
+        .join(source, right_text)
         .select("clump", "i", "j", "rep", "block", "text")
         .repartition("clump", "i", "j")
         .sortWithinPartitions("clump", "i", "j")
@@ -316,9 +337,9 @@ def _found(
     )
     components = connected_components(links, work, "links")
     found = work.cut(
-        classes.join(components, F.col("rep") == F.col("node"), "left").select(
-            "fp", F.coalesce("component", "rep").alias("component")
-        ),
+        classes.join(components, F.col("rep") == F.col("node"), "left")
+        .select("fp", F.coalesce("component", "rep").alias("component"))
+        .select("fp", id_of("component").alias("component")),
         "classes",
     )
     return sketches.select("doc_id", "n_shingles", "fp", "mark").join(found, "fp", "left")
@@ -343,10 +364,11 @@ def near_duplicates(
     Returns ``id_col, n_shingles, component_id, kept``, a row per input row.
     ``component_id`` is the smallest id reachable through links, ``kept`` whether it
     is the row's own.  Null, empty and blank texts have an empty set, link with
-    nothing and are kept.  Rows that share an id count as one document, so they stay
-    or go together.  A row without an id has the component of the rows with its set,
-    and is kept only if none of these has an id.  Other columns are not read; an
-    empty table gives no rows.
+    nothing and are kept.  Every row is judged by its own text: rows that share an id
+    have one component if their sets are equal or linked, and may else differ in
+    component and in ``kept``.  A row without an id has the component of the rows with
+    its set, and is kept only if none of these has an id.  Other columns are not read;
+    an empty table gives no rows.
     """
     found = _found(spark, docs, id_col, text_col, shingle, percent, rows, bands)
     return found.select(
@@ -369,20 +391,27 @@ def keep_one(
     rows: int = 6,
     bands: int = 32,
 ) -> DataFrame:
-    """``docs`` without the rows that are not the kept one of their component.
+    """``docs`` without the rows that :func:`near_duplicates` does not keep.
 
-    Of rows without an id go those whose set a row with an id has; of the others with
-    equal sets one stays, that of the smallest text hash (rows of that very text are
-    told apart by a hash of all columns).
+    Rows that share an id go one by one, each by its text.  Of rows without an id go
+    those whose set a row with an id has; of the others with equal sets one stays, that
+    of the smallest text hash (rows of that very text are told apart by a hash of all
+    columns).  All columns stay, whatever their names.
     """
-    found = _found(spark, docs, id_col, text_col, shingle, percent, rows, bands).where("fp is not null")
-    gone = found.where("doc_id <> component").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    named = named.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
-    nameless = found.where("doc_id is null").groupBy("fp").agg(F.max("component").alias("named"), F.min("mark").alias("mark"))
-    first = nameless.where("named is null").select(F.col("mark").alias("_first"))
-    alone = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), F.md5(F.col(text_col).cast("binary")).alias("_mark"))
-    some = alone.join(first, F.col("_mark") == F.col("_first")).groupBy("_mark")
-    some = some.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    blank = docs.where(F.col(id_col).isNull() & ~F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    return named.unionByName(some).unionByName(blank)
+    found = _found(spark, docs, id_col, text_col, shingle, percent, rows, bands)
+    goes = F.coalesce(F.col("doc_id") != F.col("component"), F.lit(False))
+    judged = found.where("doc_id is not null").withColumn("goes", goes)
+    ids = judged.groupBy("doc_id").agg(F.min("goes").alias("every"), F.max("goes").alias("some")).where("some")
+    # ids of which some rows stay have those that go by mark, the others go by id alone
+    marked = judged.where("goes").join(ids.where("not every").select("doc_id"), "doc_id").select("doc_id", "mark").distinct()
+    gone = ids.where("every").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("mark")).union(marked)
+    packed = docs.select(F.struct("*").alias("row"))
+    row_id, row_mark = F.col("row")[id_col], F.md5(F.col("row")[text_col].cast("binary"))
+    goes = (row_id == F.col("id")) & (F.col("mark").isNull() | (F.col("mark") == row_mark))
+    stay = packed.where(row_id.isNotNull()).join(gone.hint("shuffle_hash"), goes, "left_anti")
+    nameless = found.where("doc_id is null and fp is not null").groupBy("fp").agg(F.max("component").alias("named"), F.min("mark").alias("mark"))
+    first = nameless.where("named is null").select("mark")
+    alone = packed.where(row_id.isNull())
+    some = alone.withColumn("mark", row_mark).join(first, "mark").groupBy("mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    blank = alone.where(~F.coalesce(F.col("row")[text_col].rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return stay.unionByName(some.select("row")).unionByName(blank).select("row.*")
