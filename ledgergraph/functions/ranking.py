@@ -33,12 +33,17 @@ def moments(rows: str, column: str, ranks: dict[str, str]) -> str:
     return ",\n  ".join(parts)
 
 
-def indexed(d: Spark, source: str, bucket: int = 65_536) -> str:
-    """CTE ``ids`` (``id, idx``): the ids of a query in order, numbered from 0."""
+def indexed(d: Spark, source: str, text_ids: bool = False, bucket: int = 65_536, prefix: int = 12) -> str:
+    """CTE ``ids`` (``id, idx``): the ids of a query in order, numbered from 0.
+
+    Ids are numbered within buckets that follow their order: ranges of ``bucket``
+    numbers, or of texts those of equal first ``prefix`` characters.
+    """
+    of = f"substr(id, 1, {prefix})" if text_ids else d.idiv("id", str(bucket))
     return f"""some_ids as ({source}),
-  id_runs as (select {d.idiv("id", str(bucket))} as b, count(*) as n from some_ids group by {d.idiv("id", str(bucket))}),
+  id_runs as (select {of} as b, count(*) as n from some_ids group by {of}),
   id_bases as (select b, coalesce(cast(sum(n) over (order by b rows between unbounded preceding and 1 preceding) as bigint), 0) as base from id_runs),
-  ids as (select id, base + row_number() over (partition by b order by id) - 1 as idx from some_ids join id_bases on {d.idiv("id", str(bucket))} = b)"""
+  ids as (select id, base + row_number() over (partition by b order by id) - 1 as idx from some_ids join id_bases on {of} = b)"""
 
 
 def cumulated(source: str, steps: int = 4096) -> str:

@@ -200,4 +200,4 @@ with e as (select from_account as account_id, is_laundering from {{tx}} union al
 select account_id, 1 as label from (select account_id from bad order by account_id limit {illicit}) b
 union all
 select account_id, 0 as label from (select account_id from (select distinct account_id from e) a
-  where account_id not in (select account_id from bad) order by {d.hash_order("account_id")} limit {licit}) g"""
+  where not exists (select 1 from bad b where b.account_id = a.account_id) order by {d.hash_order("account_id")} limit {licit}) g"""

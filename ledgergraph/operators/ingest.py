@@ -109,7 +109,7 @@ select account_id, institution_id from (
   select account_id, institution_id, row_number() over (partition by account_id order by tx_timestamp, tx_id, side) as rn from (
     select from_account as account_id, institution_id, tx_timestamp, tx_id, 0 as side from {tx}
     union all select to_account, institution_id, tx_timestamp, tx_id, 1 from {tx}) e) r
-where rn = 1 and not exists (select 1 from {customer} c where c.c_custkey = account_id and c.c_custkey % 2 = 0)"""
+where rn = 1 and not exists (select 1 from {known_accounts} k where k.account_id = r.account_id)"""
 
 
 @operator("S12 M5")
@@ -122,8 +122,8 @@ def src_account_devices(d: Spark) -> str:
 def src_insert_ignore(d: Spark) -> str:
     """Transfers whose id is not stored yet, one row per id."""
     return """
-select tx_id, min(cast(amount as double)) as amount, count(*) as offered from {tx}
-where tx_id not in (select tx_id from {alerts}) group by tx_id"""
+select tx_id, min(cast(amount as double)) as amount, count(*) as offered from {tx} t
+where not exists (select 1 from {alerts} a where a.tx_id = t.tx_id) group by tx_id"""
 
 
 @operator("S14")

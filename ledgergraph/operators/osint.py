@@ -100,8 +100,8 @@ def osint_alerts(d: Spark) -> str:
     """Alerts for found accounts and, at nine tenths, their connections; accounts with
     an open alert are left out."""
     return """
-with linked as (select to_account as account_id, max(greatest(0.5e0, 0.9e0 * score)) as score from {pairs} join {seeds} on from_account = account_id
-    where to_account not in (select account_id from {seeds}) group by to_account),
+with linked as (select to_account as account_id, max(greatest(0.5e0, 0.9e0 * score)) as score from {pairs} p join {seeds} on from_account = account_id
+    where not exists (select 1 from {seeds} s where s.account_id = p.to_account) group by to_account),
   every_ as (select account_id, score, 'SEED' as origin from {seeds} union all select account_id, score, 'LINKED' from linked)
 select account_id, score, origin, case when score >= 0.8e0 then 'HIGH' else 'MEDIUM' end as severity from every_ e
 where not exists (select 1 from {alerts} a where a.account_id = e.account_id and a.status in ('NEW', 'IN_REVIEW'))"""

@@ -6,7 +6,7 @@ from ..functions.expressions import alert_id, severity
 from ..plans.catalog import operator
 from ..plans.dialect import Spark
 from .features import feat_account_table
-from .rules import _SUSPECT_RULES, hits_sql
+from .rules import FIXTURE_RULES, Params, all_hits_sql
 
 # Triage weights.
 TYPOLOGY_WEIGHT = {
@@ -21,13 +21,13 @@ REFUSAL_MARKERS = (
 )
 
 
-@operator("R1 R2 A14 U4")
-def alerts_generate(d: Spark, threshold: float = 0.5, run_key: str = "run-1") -> str:
-    """Alerts from predictions at the threshold and from rule hits alone.
+@operator("R1 R2 A14 U4", rules=FIXTURE_RULES)
+def alerts_generate(d: Spark, threshold: float = 0.5, run_key: str = "run-1", rules: Params | None = None) -> str:
+    """Alerts from predictions at the threshold and from rule hits of all layers.
 
     Predictions are a table of ``account_id, risk_score``; the threshold is theirs alone.
     A rule-only account needs a confidence of 0.5 and takes 0.8 of it as its risk;
-    the first rule in layer order gives the typology.  Stored alerts are not made again.
+    the first rule in layer order gives the typology; ``rules`` are parameters of the rules.  Stored alerts are not made again.
     """
     first = "min_by(typology, rule_order)" if d.name == "spark" else "arg_min(typology, rule_order)"
     text = (
@@ -36,7 +36,7 @@ def alerts_generate(d: Spark, threshold: float = 0.5, run_key: str = "run-1") ->
         else "string_agg(rule_triggered, '; ' order by rule_order, rule_triggered)"
     )
     return f"""
-with hits as ({hits_sql(d, _SUSPECT_RULES)}),
+with hits as ({all_hits_sql(d, rules)}),
   ruled as (select account_id, max(confidence) as confidence, {first} as typology, substr({text}, 1, 2000) as rule_triggered
     from hits group by account_id),
   predicted as (select account_id, risk_score from {{predictions}} p where risk_score >= {threshold!r}e0),

@@ -7,9 +7,14 @@ Thresholds, formulas of confidence and texts are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.expressions import STRUCT_RULE_BANDS, night
 from ..plans.catalog import OPERATORS, operator
-from ..plans.dialect import Spark
+from ..plans.dialect import SPARK, Spark
 
 LAYERS = {
     "STRUCTURING": "AML_CORE",
@@ -184,28 +189,28 @@ _SUSPECT_RULES = (
 )
 
 
-def hits_sql(d: Spark, rules: tuple[str, ...], **params: dict) -> str:
-    """``account_id, typology, layer, rule_order, rule_triggered, confidence`` of all
-    given rules, in their order."""
+#: The thresholds that the small test tables need, by rule.
+FIXTURE_RULES = {name: dict(OPERATORS[name].fixture) for name in _SUSPECT_RULES if OPERATORS[name].fixture}
+
+Params = Mapping[str, Mapping[str, object]]
+
+
+def hits_sql(d: Spark, rules: tuple[str, ...], params: Params | None = None) -> str:
+    """``account_id, typology, layer, rule_order, rule_triggered, confidence`` of the given
+    rules, in their order; ``params`` by rule override its defaults."""
     parts = []
     for i, name in enumerate(rules):
-        rule = OPERATORS[name]
-        own = params.get(name, rule.fixture)
-        parts.append(
-            f"select cast(account_id as bigint) as account_id, typology, layer, {i} as rule_order, rule_triggered, "
-            f"confidence from ({rule.build(d, **own)}) h{i}"
-        )
+        built = OPERATORS[name].build(d, **(params or {}).get(name, {}))
+        parts.append(f"select account_id, typology, layer, {i} as rule_order, rule_triggered, confidence from ({built}) h{i}")
     return "\nunion all\n".join(parts)
 
 
-@operator("D-10 J5 O7")
-def rule_cycle_motif(d: Spark, max_suspects: int | None = None, limit: int | None = None) -> str:
-    """Suspects of the other layers that lie on a cycle of three accounts.
+def motif_sql(d: Spark, suspects: str, max_suspects: int | None = None, limit: int | None = None) -> str:
+    """Accounts of the query ``suspects`` (``account_id``) that lie on a cycle of three.
 
     A cycle is found at its account of fewest neighbours, from an edge in and an edge out
     to accounts of no fewer, so a hub's edges are not paired with each other.
     """
-    suspects = f"select distinct account_id from ({hits_sql(d, ('rule_fanout_anomaly', 'rule_fanin_anomaly', 'rule_layering'))}) x"
     return f"""
 with pairs_ as (select distinct from_account as a, to_account as b from {{tx}} where from_account <> to_account),
   degree as (select id, count(*) as n from (select a as id from pairs_ union all select b from pairs_) v group by id),
@@ -213,13 +218,63 @@ with pairs_ as (select distinct from_account as a, to_account as b from {{tx}} w
   into_low as (select a as u, b as v from edges where nb < na or (nb = na and b < a)),
   out_of_low as (select a as v, b as w from edges where na < nb or (na = nb and a < b)),
   cycles as (select u, i.v, w from into_low i join out_of_low o on i.v = o.v join pairs_ p on p.a = w and p.b = u where u <> w),
-  suspects as (select account_id from ({suspects}) y {_first("account_id", max_suspects)})
+  suspects_ as (select distinct account_id from ({suspects}) y {_first("account_id", max_suspects)})
 select {_hit("a", "CYCLE_MOTIF", "'CYCLE_MOTIF: 3-hop circular flow (A->B->C->A)'", "0.85e0")}
-from (select distinct a from (select u as a from cycles union all select v from cycles union all select w from cycles) c
-  where a in (select account_id from suspects)) z
+from (select distinct {d.explode(d.array("u", "v", "w"))} as a from cycles) z
+where exists (select 1 from suspects_ s where s.account_id = z.a)
 {_first("a", limit)}"""
 
 
+@operator("D-10 J5 O7", rules=FIXTURE_RULES)
+def rule_cycle_motif(d: Spark, rules: Params | None = None, max_suspects: int | None = None, limit: int | None = None) -> str:
+    """Suspects of the first three layers, by any of their rules, on a cycle of three
+    accounts; ``rules`` are parameters of those rules."""
+    return motif_sql(d, f"select account_id from ({hits_sql(d, _SUSPECT_RULES, rules)}) x", max_suspects, limit)
+
+
+def all_hits_sql(d: Spark, rules: Params | None = None) -> str:
+    """Hits of all four layers: the suspects' rules, and the motif among these."""
+    first = hits_sql(d, _SUSPECT_RULES, rules)
+    motif = motif_sql(d, "select account_id from first_layers")
+    order = len(_SUSPECT_RULES)
+    return f"""
+with first_layers as ({first})
+select * from first_layers
+union all select account_id, typology, layer, {order} as rule_order, rule_triggered, confidence from ({motif}) m"""
+
+
+#: Detectors that users add, by name: their layer and function.
+_REGISTERED: dict[str, tuple[str, Callable[[DataFrame, Mapping[str, object]], DataFrame]]] = {}
+
+
+def register_rule(name: str, layer: str, detect: Callable[[DataFrame, Mapping[str, object]], DataFrame]) -> None:
+    """Add a detector: ``detect(tx, params)`` gives ``account_id, rule_triggered,
+    confidence`` of its hits, which :func:`detect` reports under ``name`` and ``layer``."""
+    if name in _REGISTERED or name in LAYERS:
+        raise ValueError(f"{name} is registered already")
+    _REGISTERED[name] = (layer, detect)
+
+
+def unregister_rule(name: str) -> None:
+    del _REGISTERED[name]
+
+
+def detect(spark: SparkSession, tx: DataFrame, params: Params | None = None) -> DataFrame:
+    """``account_id, typology, layer, rule_order, rule_triggered, confidence`` of all
+    built-in rules and of those that :func:`register_rule` added, in the order of adding;
+    ``params`` by rule."""
+    found = spark.sql(all_hits_sql(SPARK, params), tx=tx)
+    for i, (name, (layer, own)) in enumerate(_REGISTERED.items(), len(_SUSPECT_RULES) + 1):
+        hits = own(tx, (params or {}).get(name, {}))
+        found = found.unionByName(
+            hits.select(
+                "account_id", F.lit(name).alias("typology"), F.lit(layer).alias("layer"), F.lit(i).alias("rule_order"),
+                F.col("rule_triggered").cast("string"), F.col("confidence").cast("double"),
+            )
+        )
+    return found
+
+
 @operator("D-11 A14")
 def rule_layer_lookup(d: Spark) -> str:
     """Hits per layer, unknown typologies under ML_ENSEMBLE."""
@@ -229,12 +284,13 @@ select case upper(typology) {whens} else 'ML_ENSEMBLE' end as layer, upper(typol
 from {{tx}} where is_laundering = 1 group by upper(typology)"""
 
 
-@operator("D-12 U1 U2 U4")
-def rule_union_suspects(d: Spark) -> str:
-    """All hits of the first three layers by rule, and how many accounts they name."""
+@operator("D-12 U1 U2 U4", rules=FIXTURE_RULES)
+def rule_union_suspects(d: Spark, rules: Params | None = None) -> str:
+    """All hits of the first three layers by rule, and how many accounts they name;
+    ``rules`` are parameters of the rules."""
     return f"""
 select rule_order, typology, layer, count(*) as hits, count(distinct account_id) as accounts
-from ({hits_sql(d, _SUSPECT_RULES)}) h group by rule_order, typology, layer"""
+from ({hits_sql(d, _SUSPECT_RULES, rules)}) h group by rule_order, typology, layer"""
 
 
 @operator("D-13")

@@ -39,9 +39,7 @@ def expr_timestamp_parse(d: Spark) -> str:
 
     parsed = ", ".join(d.try_timestamp("x", *f) for f in TS_FORMATS)
     return f"""
-select event_id, coalesce({d.epoch(f"coalesce({parsed})")}, -1) as ep from (
-  select event_id, cast(cast(ts as date) as varchar(10)) || case event_id % 4 when 0 then ' 01:02:03' when 1 then 'T04:05:06'
-    when 2 then ' 07:08:09.123456' else ' noon' end as x from {{events}}) t"""
+select event_id, coalesce({d.epoch(f"coalesce({parsed})")}, -1) as ep from (select event_id, stamp as x from {{stamped}}) t"""
 
 
 @operator("P11 P12")
@@ -77,10 +75,8 @@ def osint_blocklist_normalise(d: Spark) -> str:
     comments and blanks skipped; the first line of a url gives its priority."""
     token = "split_part(trim(line), ' ', 1)"
     return f"""
-with lines as (select page_id as n, case page_id % 5 when 0 then '# ' || url when 1 then '' when 2 then url || '/ extra'
-    when 3 then replace(url, 'http://', '') else url end as line from {{pages}}),
-  urls as (select n, {d.replace_all(f"case when {token} like 'http%' then {token} else 'https://' || {token} end", '/+$', '')} as url
-    from lines where trim(line) <> '' and trim(line) not like '#%'),
+with urls as (select n, {d.replace_all(f"case when {token} like 'http%' then {token} else 'https://' || {token} end", '/+$', '')} as url
+    from {{blocklist}} where trim(line) <> '' and trim(line) not like '#%'),
   firsts as (select url, min(n) as n from urls group by url)
 select url, cast(row_number() over (order by n, url) as bigint) as priority from firsts"""
 
@@ -91,7 +87,7 @@ def expr_risk_levels(d: Spark) -> str:
     return f"""
 select alert_id, tx_id, s as score, {e.severity("s")} as severity, {e.level_binned("s")} as binned, {e.level_ensemble("s")} as ensemble,
   {e.level_stream("s")} as stream, {e.severity_osint("s")} as osint
-from (select alert_id, tx_id, cast(account_id % 21 as double) / 20.0e0 as s from {{alerts}}) x"""
+from (select alert_id, tx_id, risk_score as s from {{edge_scores}}) x"""
 
 
 @operator("P18 G10")

@@ -135,10 +135,10 @@ where is_laundering = 1 or tx_timestamp > cut or (instr('0123456789abcdef', subs
 
 
 @operator("E5 M7 P15")
-def ml_edge_encoding(d: Spark) -> str:
+def ml_edge_encoding(d: Spark, text_ids: bool = False) -> str:
     """Edges with account indices, log amount, channel code and hour."""
     return f"""
-with {indexed(d, "select from_account as id from {tx} union select to_account from {tx}")}
+with {indexed(d, "select from_account as id from {tx} union select to_account from {tx}", text_ids)}
 select tx_id, cast(x.idx as bigint) as src, cast(y.idx as bigint) as dst, {d.round("ln(1 + cast(amount as double))", 9)} as amount_log,
   {channel_code("channel")} as channel_enc, cast(hour(tx_timestamp) as bigint) as hour
 from {{tx}} join ids x on from_account = x.id join ids y on to_account = y.id"""
@@ -146,10 +146,13 @@ from {{tx}} join ids x on from_account = x.id join ids y on to_account = y.id"""
 
 @operator("E6 A12")
 def ml_standardise(d: Spark) -> str:
-    """Out-amounts standardised by statistics of the training accounts only."""
+    """Out-amounts standardised by statistics of the training accounts (by first
+    appearance) only; no deviation is 1."""
     return f"""
-with f as (select from_account as account_id, cast(sum(amount) as double) as v from {{tx}} group by from_account),
-  s as (select avg(v) as mu, coalesce(nullif(stddev_pop(v), 0), 1) as sd from f where account_id % 10 < 7)
+with split_ as ({ml_node_split.build(d)}),
+  f as (select from_account as account_id, cast(sum(amount) as double) as v from {{tx}} group by from_account),
+  s as (select avg(v) as mu, coalesce(nullif(stddev_pop(v), 0), 1) as sd from f join split_ t on f.account_id = t.account_id
+    where t.split = 'train')
 select account_id, {d.round("(v - mu) / sd", 6)} as z from f cross join s"""
 
 
@@ -206,14 +209,14 @@ def ml_stacking_inputs(d: Spark, holdout: int = 7) -> str:
     (null stays null, with a mark), and whether a row is held out of both trainings."""
     return f"""
 select doc_id, label, score, score_c as extra_score, case when score_c is null then 0 else 1 end as has_extra,
-  doc_id % 10 >= {holdout} and score_c is not null as double_holdout from {{scored}}"""
+  fold >= {holdout} and score_c is not null as double_holdout from {{scored}}"""
 
 
 @operator("E20")
-def ml_stacking_coverage(d: Spark) -> str:
+def ml_stacking_coverage(d: Spark, holdout: int = 7) -> str:
     """Rows with and without the extra score in both parts of a double hold-out."""
     return f"""
-select case when score_c is null then 'missing' else 'covered' end as score, case when doc_id % 10 >= 7 then 'holdout' else 'train' end as part,
+select case when score_c is null then 'missing' else 'covered' end as score, case when fold >= {holdout} then 'holdout' else 'train' end as part,
   count(*) as n, {d.round("avg(cast(label as double))", 9)} as label_rate from {{scored}} group by 1, 2"""
 
 
@@ -243,10 +246,8 @@ from {{tx}} join s x on from_account = x.account_id join s y on to_account = y.a
 @operator("E9", min_confidence=0.015)
 def ml_typology_decision(d: Spark, min_confidence: float = 0.40) -> str:
     """The class of largest probability, UNKNOWN below a confidence."""
-    items = "posexplode(embedding) as (label_, p)" if d.name == "spark" else "unnest(range(len(embedding))) as label_, unnest(embedding) as p"
     return f"""
-with e as (select vec_id, cast(label_ as bigint) as class, cast(p as double) * cast(p as double) as p from (select vec_id, {items} from {{embeddings}}) u),
-  r as (select vec_id, class, p, row_number() over (partition by vec_id order by p desc, class) as rn from e)
+with r as (select vec_id, class, p, row_number() over (partition by vec_id order by p desc, class) as rn from {{class_scores}})
 select vec_id, class, case when p < {min_confidence!r}e0 then 'UNKNOWN' else 'T' || cast(class as varchar(5)) end as typology from r where rn = 1"""
 
 
@@ -269,12 +270,12 @@ from {{pairs}} p left join deg on p.from_account = deg.id group by p.to_account"
 
 
 @operator("E18")
-def ml_negative_samples(d: Spark) -> str:
+def ml_negative_samples(d: Spark, text_ids: bool = False) -> str:
     """A hashed other destination for every transfer."""
     key = d.hash_order("tx_id")
     digits = " + ".join(f"(instr('0123456789abcdef', substr({key}, {i + 1}, 1)) - 1) * {16**i}" for i in range(5))
     return f"""
-with {indexed(d, "select distinct to_account as id from {tx}")},
+with {indexed(d, "select distinct to_account as id from {tx}", text_ids)},
   pos as (select tx_id, from_account, to_account, ({digits}) % (select count(*) from ids) as pick from {{tx}})
 select tx_id, from_account, to_account, id as negative_account from pos join ids on idx = pick"""
 

@@ -161,7 +161,7 @@ QUERIES = {
     "stream_account_features": stream_account_features,
 }
 COVERS = {
-    "stream_dedup": "T1 M9", "stream_hourly": "T14", "stream_account_features": "T2 T5 T6 T13 M11 E16",
+    "stream_dedup": "T1 M9", "stream_hourly": "T14", "stream_account_features": "T5 T13 M11 E16",
 }
 SQL = {
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",

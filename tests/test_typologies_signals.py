@@ -17,6 +17,8 @@ def made(spark):
     yield found
     found.unpersist()
 
+TX_SCHEMA = "tx_id string, from_account bigint, to_account bigint, device_id string, ts timestamp"
+
 
 def test_all_typologies_and_unique_ids(made):
     kinds = {r.typology: r.n for r in made.groupBy("typology").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -54,9 +56,9 @@ def test_signals_of_hand_made_transfers(spark):
 
     rows = [("1", 1, 2, "D1", t(9, 0)), ("2", 2, 3, "D2", t(9, 10)), ("3", 2, 4, "D2", t(9, 5)), ("4", 1, 2, "D3", t(8, 0)), ("5", 5, 5, None, t(9, 0))]
     work = Workspace(spark, "t-signals")
-    stage_slices(spark.createDataFrame(rows, account_signals.TX_SCHEMA), f"{work.path}/in", 2)
+    stage_slices(spark.createDataFrame(rows, TX_SCHEMA), f"{work.path}/in", 2)
     spark.createDataFrame([(2, 7, 3)], "account_id bigint, device_sharing_count bigint, n_institutions bigint").write.parquet(f"{work.path}/net")
-    ends = account_signals.endpoints(spark.readStream.schema(account_signals.TX_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in"))
+    ends = account_signals.endpoints(spark.readStream.schema(TX_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in"))
     updates = account_signals.run_with_network(account_signals.signals(ends), work, "out", f"{work.path}/net")
     found = {r.account_id: r for r in updates.groupBy("account_id").agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*").collect()}
     assert found[2].velocity_1h == 2 and found[2].rapid_inout  # ten minutes are within
