@@ -1,13 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed counts of every text give five rule signals.  A rule rejects documents of a
-stratum (their language) whose signal exceeds a cutoff.  Which cutoff is safe is
-decided on labelled documents: of ``n`` good ones a cutoff rejects ``k``, and it is
-accepted if a false-rejection rate of the rule's share of ``risk`` is ruled out by
-the exact binomial test ``P(X <= k) <= delta / tests``, a Bonferroni correction over
-all strata, rules and cutoffs.  The lowest accepted cutoff of a rule and stratum
-holds; without one the rule rejects nothing there.  With probability ``1 - delta``
-no stratum loses more than ``risk`` of its good documents to all rules together.
+Fixed counts of every text give five rule signals.  A policy is a cutoff for each rule
+or none; it rejects documents of a stratum (their language) of which any signal exceeds
+its cutoff.  Policies form one chain, fixed in advance: from no cutoffs at all, one rule
+after the other takes its loosest cutoff, then its next one, to the strictest.  Each
+rejects what those before it reject.
+
+Which policy is safe is decided on labelled documents.  If a policy rejects ``k`` of a
+stratum's ``n`` good ones, a false-rejection rate of all its rules together over ``risk``
+is ruled out when the exact binomial bound ``P(X <= k)``, ``X ~ Bin(n, risk)``, is at most
+``delta / strata``.  The chain is tested in its order up to the first policy that is not
+ruled safe (fixed-sequence testing, which needs no correction along the chain; Bonferroni
+corrects over the strata), and the last safe one holds.  With probability ``1 - delta``
+no stratum loses more than ``risk`` of its good documents.  A stratum with fewer than
+``log(strata / delta) / -log(1 - risk)`` good labelled documents (86 for four) rejects
+nothing beyond the base rules.
 
 Only DataFrame functions are used, and a text's windows never leave its row.
 """
@@ -25,7 +32,7 @@ from ..functions.workspace import Workspace
 WINDOW = 8
 RISK = 0.05
 DELTA = 0.05
-#: Candidate cutoffs of each rule's signal, fixed in advance.
+#: Cutoffs of each rule's signal, fixed in advance.
 CUTOFFS: dict[str, tuple[float, ...]] = {
     "long_words": (8.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0),
     "symbols": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0),
@@ -159,6 +166,22 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k < low, F.lit(0.0)).otherwise(total)
 
 
+def chain(cutoffs: dict[str, tuple[float, ...]] = CUTOFFS) -> list[tuple[str, float]]:
+    """The chain's steps: the rule that each one tightens, and to what."""
+    loose_first = {rule: sorted(values, reverse=True) for rule, values in cutoffs.items()}
+    levels = max(map(len, loose_first.values()))
+    return [(rule, values[i]) for i in range(levels) for rule, values in loose_first.items() if i < len(values)]
+
+
+def first_step(cutoffs: dict[str, tuple[float, ...]] = CUTOFFS) -> Column:
+    """The first step of the chain from which on a document is rejected; null if none."""
+    by_rule: dict[str, Column] = {}
+    for step, (rule, cutoff) in enumerate(chain(cutoffs)):
+        over, at = _share(*SIGNALS[rule]) > F.lit(float(cutoff)), F.lit(step)
+        by_rule[rule] = by_rule[rule].when(over, at) if rule in by_rule else F.when(over, at)
+    return F.least(*by_rule.values()) if len(by_rule) > 1 else next(iter(by_rule.values()))
+
+
 def thresholds(
     counted: DataFrame,
     labels: DataFrame,
@@ -167,35 +190,23 @@ def thresholds(
     risk: float = RISK,
     delta: float = DELTA,
 ) -> DataFrame:
-    """``stratum, rule, cutoff`` of the accepted cutoffs, from all labelled documents.
+    """``stratum, step, n, k, tail`` of every tested step, from all labelled documents.
 
+    A step holds, with all before it, if ``tail <= delta / strata`` (``k`` and so the
+    tail never fall along the chain, so the steps that pass are its first ones).
     ``labels`` has ``doc_id, quality``; a document is good if any of its labels says
-    1.  Documents that fail the base rules are not counted.  The result has a row per
-    stratum and rule at most.
+    1.  Documents that fail the base rules are not counted.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    held = counted.where("not base_failed").join(good, "doc_id", "left_semi")
-    tests = [
-        F.count_if(_share(*SIGNALS[rule]) > F.lit(c)).alias(f"{rule}_{i}")
-        for rule, values in cutoffs.items()
-        for i, c in enumerate(values)
-    ]
-    per_stratum = work.cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests), "strata")
-    rows = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
-            for rule, values in cutoffs.items()
-            for i, c in enumerate(values)
-        ]
-    )
+    held = counted.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("first", first_step(cutoffs))
+    n_steps = len(chain(cutoffs))
+    sums = [F.count_if(F.col("first") <= t).alias(f"k_{t}") for t in range(n_steps)]
+    per_stratum = work.cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "strata")
+    strata = max(1, per_stratum.count())
+    rows = F.array(*[F.struct(F.lit(t).alias("step"), F.col(f"k_{t}").alias("k")) for t in range(n_steps)])
     tested = per_stratum.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    share = risk / len(cutoffs)
-    per_test = delta / sum(len(v) for v in cutoffs.values()) / max(1, per_stratum.count())
-    return (
-        tested.where(binomial_tail(F.col("k"), F.col("n"), share) <= per_test)
-        .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
-    )
+    tested = tested.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk))
+    return tested.withColumn("holds", F.col("tail") <= delta / strata)
 
 
 def quality_verdicts(
@@ -217,17 +228,12 @@ def quality_verdicts(
     """
     work = Workspace(spark, "quality-rules")
     counted = work.cut(counts(docs, id_col, text_col, stratum_col), "counts")
-    accepted = work.cut(thresholds(counted, labels, work, **options), "thresholds")
-    # at most one row per stratum after the pivot; strata are few and this join may broadcast by measured size
-    cut = accepted.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in SIGNALS]
-    )
-    rejected = F.lit(False)
-    for rule, parts in SIGNALS.items():
-        rejected = rejected | F.coalesce(_share(*parts) > F.col(f"max_{rule}"), F.lit(False))
+    tested = work.cut(thresholds(counted, labels, work, **options), "thresholds")
+    # a row per stratum; strata are few and this join may broadcast by measured size
+    last = tested.where("holds").groupBy(F.col("stratum").alias("s")).agg(F.max("step").alias("last"))
     return (
-        counted.alias("c")
-        .join(cut.withColumnRenamed("stratum", "s"), F.col("c.stratum").eqNullSafe(F.col("s")), "left")
+        counted.withColumn("first", first_step(options.get("cutoffs", CUTOFFS)))
+        .join(last, F.col("stratum").eqNullSafe(F.col("s")), "left")
         .select(
             F.col("doc_id").alias(id_col),
             "n_words",
@@ -236,14 +242,12 @@ def quality_verdicts(
             "n_dup_lines",
             "n_repeat_words",
             "base_failed",
-            (~F.col("base_failed") & ~rejected).alias("kept"),
+            (~F.col("base_failed") & ~F.coalesce(F.col("first") <= F.col("last"), F.lit(False))).alias("kept"),
         )
     )
 
 
-_RULE_ROWS = ", ".join(
-    f"('{rule}', {float(c)!r}::DOUBLE)" for rule, values in CUTOFFS.items() for c in values
-)
+_RULE_ROWS = ", ".join(f"('{rule}', {float(c)!r}::DOUBLE, {step})" for step, (rule, c) in enumerate(chain()))
 #: DuckDB's rows for :func:`quality_verdicts` with the defaults.
 SQL = f"""
 WITH texts AS (
@@ -259,7 +263,7 @@ repeats AS (
 lined AS (
   SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
 counted AS (
-  SELECT t.doc_id, t.stratum, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT t.r, t.doc_id, t.stratum, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -270,32 +274,28 @@ counted AS (
 judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
 signals AS (
-  SELECT doc_id, stratum, base_failed, unnest([
+  SELECT r, stratum, base_failed, doc_id, unnest([
     {{'rule': 'long_words', 'v': word_chars::DOUBLE / greatest(n_words, 1)::DOUBLE}},
     {{'rule': 'symbols', 'v': n_symbols::DOUBLE / greatest(n_words, 1)::DOUBLE}},
     {{'rule': 'dup_lines', 'v': n_dup_lines::DOUBLE / greatest(n_lines, 1)::DOUBLE}},
     {{'rule': 'repeats', 'v': n_repeat_words::DOUBLE / greatest(n_words, 1)::DOUBLE}},
     {{'rule': 'capitals', 'v': n_capitals::DOUBLE / greatest(word_chars, 1)::DOUBLE}}], recursive := true)
   FROM judged),
-rules(rule, cutoff) AS (VALUES {_RULE_ROWS}),
+rules(rule, cutoff, step) AS (VALUES {_RULE_ROWS}),
+firsts AS (SELECT r, min(step) AS first FROM signals s JOIN rules c ON s.rule = c.rule AND s.v > c.cutoff GROUP BY r),
+good AS (
+  SELECT j.stratum, f.first FROM judged j LEFT JOIN firsts f USING (r)
+  WHERE NOT base_failed AND j.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 tested AS (
-  SELECT s.stratum, s.rule, c.cutoff, count(*) AS n, count(*) FILTER (v > c.cutoff) AS k
-  FROM signals s JOIN rules c ON s.rule = c.rule
-  WHERE NOT base_failed AND s.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
-  GROUP BY ALL),
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (first <= step) AS k FROM good, rules GROUP BY ALL),
 tails AS (
-  SELECT *, CASE WHEN k > n * {RISK / len(CUTOFFS)!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-      + i * ln({RISK / len(CUTOFFS)!r}) + (n - i) * ln(1 - {RISK / len(CUTOFFS)!r})))) END AS tail
+  SELECT *, CASE WHEN k > n * {RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) END AS tail
   FROM tested),
-cuts AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
-  WHERE tail <= {DELTA!r} / {sum(len(v) for v in CUTOFFS.values())} / (SELECT count(DISTINCT coalesce(stratum, '')) FROM tested)
-  GROUP BY ALL),
-rejected AS (
-  SELECT DISTINCT s.doc_id FROM signals s JOIN cuts c
-  ON s.stratum IS NOT DISTINCT FROM c.stratum AND s.rule = c.rule AND s.v > c.cutoff)
+lasts AS (
+  SELECT stratum, max(step) AS last FROM tails
+  WHERE tail <= {DELTA!r} / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM tested)) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
-FROM judged
+  NOT base_failed AND NOT coalesce(first <= last, false) AS kept
+FROM judged j LEFT JOIN firsts f USING (r) LEFT JOIN lasts l ON j.stratum IS NOT DISTINCT FROM l.stratum
 """
