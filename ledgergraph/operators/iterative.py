@@ -152,6 +152,37 @@ def cluster_detail(
     return reached.join(nodes, "id").select(F.col("id").alias("account_id"), "hops", "degree", F.col("risk").alias("risk_score"))
 
 
+def cluster_drawing(
+    spark: SparkSession, tx: DataFrame, place: int = 1, scores: DataFrame | None = None, max_nodes: int = 120, max_edges: int = 2000
+) -> DataFrame:
+    """The drawing of one cluster of illicit transfers, the ``place``-th by size and root:
+    all transfers, licit ones too, among the accounts that :func:`cluster_detail` shows of
+    it, the oldest ``max_edges`` of them (both bounds are the operator's feature).
+
+    Gives ``tx_id, from_account, from_hops, from_risk, to_account, to_hops, to_risk, amount,
+    is_laundering``; a cluster that is not there has no rows.
+    """
+    work = Workspace(spark, "drawing")
+    illicit = work.cut(tx.where("is_laundering = 1").select(F.col("from_account").alias("a"), F.col("to_account").alias("b")), "illicit")
+    found = connected_components(illicit, work, "components")
+    ends = illicit.select(F.col("a").alias("node")).union(illicit.select("b")).distinct()
+    member = work.cut(ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "members")
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "root")
+    chosen = sizes.limit(place).collect()[place - 1 :]
+    if not chosen:
+        own = member.where("false").select("node")
+    else:
+        own = work.cut(member.where(F.col("root") == F.lit(chosen[0]["root"])).select("node"), "cluster")
+    inside = tx.join(own.withColumnRenamed("node", "from_account"), "from_account", "left_semi")
+    inside = work.cut(inside.join(own.withColumnRenamed("node", "to_account"), "to_account", "left_semi"), "inside")
+    shown = cluster_detail(spark, inside, scores=scores, max_nodes=max_nodes).drop("degree")
+    side = lambda p: shown.select(*[F.col(c).alias(n) for c, n in (("account_id", f"{p}_account"), ("hops", f"{p}_hops"), ("risk_score", f"{p}_risk"))])
+    drawn = inside.join(side("from"), "from_account").join(side("to"), "to_account")
+    return drawn.orderBy("tx_timestamp", "tx_id", "amount").limit(max_edges).select(
+        "tx_id", "from_account", "from_hops", "from_risk", "to_account", "to_hops", "to_risk", F.col("amount").cast("double").alias("amount"), "is_laundering"
+    )
+
+
 def component_stats(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """One row over all edges: ``nodes, components, largest``."""
     work = Workspace(spark, "wcc")
@@ -236,6 +267,11 @@ def graph_cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_detail(spark, tables["tx"].where("is_laundering = 1"), scores=tables["predictions"])
 
 
+def graph_cluster_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = fixture_tables(spark, sf_dir, "{tx} {predictions}")
+    return cluster_drawing(spark, tables["tx"], scores=tables["predictions"])
+
+
 def graph_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_stats(spark, _pairs_of(spark, sf_dir))
 
@@ -259,6 +295,7 @@ QUERIES = {
     "graph_personal_pagerank": graph_personal_pagerank,
     "graph_clusters": graph_clusters,
     "graph_cluster_detail": graph_cluster_detail,
+    "graph_cluster_drawing": graph_cluster_drawing,
     "graph_cluster_report": graph_cluster_report,
     "graph_component_stats": graph_component_stats,
     "graph_active_writeback": graph_active_writeback,
@@ -267,7 +304,7 @@ QUERIES = {
 
 COVERS = {
     "feat_pagerank": "F20 D5 O11", "feat_kcore": "F21 D15", "feat_full_table": "F22 F26", "graph_personal_pagerank": "G2",
-    "graph_clusters": "G3 G5 M15", "graph_cluster_detail": "G6", "graph_cluster_report": "G9", "graph_component_stats": "G4",
+    "graph_clusters": "G3 G5 M15", "graph_cluster_detail": "G6", "graph_cluster_drawing": "G6 J9", "graph_cluster_report": "G9", "graph_component_stats": "G4",
     "graph_active_writeback": "G12", "osint_networks": "N9",
 }
 
@@ -351,7 +388,33 @@ _CLUSTERS = f"""WITH RECURSIVE {fixture_sql("{tx}")},
     CASE WHEN size >= 20 THEN 'HIGH' WHEN size >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, array_to_string(first, ',') AS sample
     FROM sized s JOIN n ON s.root = n.root WHERE size >= @least)"""
 
+def _drawing_sql(max_nodes: int = 120, max_edges: int = 2000, max_hops: int = 20) -> str:
+    """Levels from the seed, unrolled; each takes what is left of the nodes."""
+    parts = [
+        _CLUSTERS.replace("@least", "1"),
+        "own AS MATERIALIZED (SELECT node FROM cc WHERE root = (SELECT root FROM sized ORDER BY size DESC, root LIMIT 1))",
+        "inside AS MATERIALIZED (SELECT * FROM tx WHERE from_account IN (SELECT node FROM own) AND to_account IN (SELECT node FROM own))",
+        "near AS MATERIALIZED (SELECT from_account AS a, to_account AS b FROM inside WHERE from_account <> to_account "
+        "UNION SELECT to_account, from_account FROM inside WHERE from_account <> to_account)",
+        fixture_sql("{predictions}"),
+        "nodes AS MATERIALIZED (SELECT a AS id, any_value(degree) AS degree, coalesce(max(risk_score), 0) AS risk FROM "
+        "(SELECT a, count(*) AS degree FROM near GROUP BY a) d LEFT JOIN predictions ON a = account_id GROUP BY a)",
+        "h0 AS MATERIALIZED (SELECT id, 0 AS hops FROM nodes ORDER BY degree * 1000 + risk DESC, id LIMIT 1)",
+    ]
+    for i in range(1, max_hops + 1):
+        parts.append(
+            f"h{i} AS MATERIALIZED (SELECT * FROM h{i - 1} UNION ALL SELECT id, {i} FROM (SELECT id, row_number() OVER (ORDER BY risk DESC, degree DESC, id) AS rn FROM nodes "
+            f"WHERE id IN (SELECT b FROM near JOIN h{i - 1} ON a = id WHERE hops = {i - 1}) AND id NOT IN (SELECT id FROM h{i - 1})) q "
+            f"WHERE rn <= {max_nodes} - (SELECT count(*) FROM h{i - 1}))"
+        )
+    return f"""{", ".join(parts)}
+SELECT tx_id, from_account, x.hops AS from_hops, m.risk AS from_risk, to_account, y.hops AS to_hops, n.risk AS to_risk, CAST(amount AS DOUBLE) AS amount, is_laundering
+FROM inside JOIN h{max_hops} x ON from_account = x.id JOIN h{max_hops} y ON to_account = y.id JOIN nodes m ON m.id = x.id JOIN nodes n ON n.id = y.id
+ORDER BY tx_timestamp, tx_id, inside.amount LIMIT {max_edges}"""
+
+
 SQL = {
+    "graph_cluster_drawing": _drawing_sql(),
     "feat_pagerank": _pagerank_sql(30, "1.0"),
     "feat_kcore": _kcore_sql(),
     "feat_full_table": _full_sql(),

@@ -10,7 +10,7 @@ from .oracle import connect, same
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Empty on the smallest tables, and checked at larger ones by the driver.
-MAY_BE_EMPTY = {"flag_rapid_cashout", "flag_frequency", "rule_qris_ring", "rule_judol_ring", "rule_cycle_motif", "graph_clusters", "graph_cluster_detail"}
+MAY_BE_EMPTY = {"flag_rapid_cashout", "flag_frequency", "rule_qris_ring", "rule_judol_ring", "rule_cycle_motif", "graph_clusters", "graph_cluster_detail", "graph_cluster_drawing"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
