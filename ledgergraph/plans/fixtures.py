@@ -119,6 +119,16 @@ def _class_scores(d: Spark) -> str:
     return f"select vec_id, cast(label_ as bigint) as class, cast(p as double) * cast(p as double) as p from (select vec_id, {items} from {{embeddings}}) u"
 
 
+def _features(d: Spark) -> str:
+    """Some feature columns of the accounts, amounts as logarithms; late comers have none."""
+    return """
+select account_id, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree, ln(1 + cast(sum(i * amount) as double)) as in_log,
+  ln(1 + cast(sum(o * amount) as double)) as out_log, cast(sum(night) as double) / count(*) as night_ratio
+from (select from_account as account_id, 0 as i, 1 as o, amount, case when hour(tx_timestamp) < 4 then 1 else 0 end as night, tx_timestamp from {tx}
+  union all select to_account, 1, 0, amount, case when hour(tx_timestamp) < 4 then 1 else 0 end, tx_timestamp from {tx}) e
+group by account_id having min(tx_timestamp) < (select max(tx_timestamp) from {tx}) - interval 2200 days"""
+
+
 def _holdout(d: Spark) -> str:
     return "select c_custkey as account_id from {customer} where c_custkey % 3 = 0"
 
@@ -233,7 +243,7 @@ FIXTURES |= {
     "tx": _tx, "pairs": _pairs, "alerts": _alerts, "cases": _cases, "scored": _scored, "holdout": _holdout, "predictions": _predictions,
     "raw_landing": _raw_landing, "dirty": _dirty, "offered": _offered, "commands": _commands, "planted": _planted, "visits": _visits,
     "queue": _queue, "seeds": _seeds, "found": _found, "flagged": _flagged, "known_accounts": _known_accounts, "stamped": _stamped,
-    "blocklist": _blocklist, "edge_scores": _edge_scores, "class_scores": _class_scores,
+    "blocklist": _blocklist, "edge_scores": _edge_scores, "class_scores": _class_scores, "features": _features,
 }
 
 
