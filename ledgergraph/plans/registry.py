@@ -14,7 +14,7 @@ from .catalog import OPERATORS
 PLAN_MODULES = ("ingest", "scalar", "rules", "features", "flags", "reports", "graph", "scoring", "osint", "extraction")
 CODE_MODULES = (
     "operators.iterative", "operators.models", "sources.generate", "sources.typologies", "streaming.account_state", "streaming.account_signals",
-    "streaming.keyed_log", "streaming.node_memory", "streaming.account_store",
+    "streaming.keyed_log", "streaming.node_memory", "streaming.account_store", "sources.landing",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
