@@ -65,6 +65,21 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Write ``df`` in buckets of ``by``, as many as the session's shuffle partitions, and
+        return the written table: joins and groupings by ``by`` read it where it lies.
+
+        Buckets need a table's name; it is dropped at once, as the plan that is returned
+        knows the files.  A key's rows share a task, so keys of too many belong elsewhere.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"ledgergraph_{uuid.uuid4().hex}"
+        placed = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet")
+        placed.option("path", f"{self.path}/{name}").saveAsTable(table)
+        found = self.spark.table(table)
+        self.spark.sql(f"drop table {table}")
+        return found
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         path, files = self._files(f"{self.path}/{name}")

@@ -30,16 +30,71 @@ def _observed(work: Workspace, rows: DataFrame, name: str, measure: Column) -> t
     return found, seen.get["x"] or 0
 
 
-def pagerank(spark: SparkSession, pairs: DataFrame, damping: float = 0.85, rounds: int = 30, seeds: DataFrame | None = None) -> DataFrame:
+#: Accounts whose edges are kept apart number at most this many: each has over a
+#: ``1 / HUBS`` of all edges, and at least ``HUB_EDGES``.
+HUBS, HUB_EDGES = 4096, 1024
+
+
+class Adjacency:
+    """Edges ``src, dst`` laid out once, so that rounds move what the accounts say and
+    never the edges.
+
+    Edges lie in buckets of ``src``.  Those of hubs, which would fill a bucket, are spread
+    over a table of their own and meet their hubs' state by a broadcast of at most
+    ``HUBS`` rows.  Where there are hubs, ``far_hub`` says whether ``dst`` is one.
+    """
+
+    def __init__(self, work: Workspace, edges: DataFrame, hub_edges: int = HUB_EDGES):
+        self.edges = work.cut(edges.select("src", "dst"), "edges")
+        degree = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+        self.degree, total = _observed(work, degree, "degree", F.col("degree"))
+        self.hubs = work.cut(self.degree.where(F.col("degree") > max(hub_edges, total // HUBS)).select("src"), "hubs")
+        self.some = not self.hubs.isEmpty()
+        if not self.some:
+            self.rest = work.bucketed(self.edges, "rest", "src")
+            return
+        far = F.broadcast(self.hubs.select(F.col("src").alias("dst"), F.lit(True).alias("far_hub")))
+        marked = self.edges.join(far, "dst", "left").select("src", "dst", F.coalesce("far_hub", F.lit(False)).alias("far_hub"))
+        self.rest = work.bucketed(marked.join(F.broadcast(self.hubs), "src", "left_anti"), "rest", "src")
+        self.of_hubs = work.cut(self.only_hubs(marked), "of-hubs")
+
+    def only_hubs(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.hubs), "src", "left_semi")
+
+    def along(self, state: DataFrame) -> DataFrame:
+        """Edges with the state of their ``src`` (one row an account); of accounts
+        without state, none."""
+        near = self.rest.join(state, "src")
+        return near.unionByName(self.of_hubs.join(F.broadcast(self.only_hubs(state)), "src")) if self.some else near
+
+    def towards(self, edges: DataFrame, state: DataFrame) -> DataFrame:
+        """``edges`` with the state of their ``dst``: only these edges move, and those
+        towards hubs do not."""
+        theirs = state.withColumnRenamed("src", "dst")
+        if not self.some:
+            return edges.join(theirs, "dst")
+        hubs = F.broadcast(self.only_hubs(state).withColumnRenamed("src", "dst"))
+        return edges.where("not far_hub").join(theirs, "dst").unionByName(edges.where("far_hub").join(hubs, "dst"))
+
+
+def pagerank(
+    spark: SparkSession,
+    pairs: DataFrame,
+    damping: float = 0.85,
+    rounds: int = 30,
+    seeds: DataFrame | None = None,
+    hub_edges: int = HUB_EDGES,
+) -> DataFrame:
     """``account_id, pagerank`` over distinct ``src, dst`` pairs.
 
     The mass of accounts without outgoing pairs is spread like the restart: evenly,
     or over ``seeds`` (``account_id``) for the personalised form.  Ranks sum to 1.
+    A round moves the shares, summed by receiver where they arise.
     """
     work = Workspace(spark, "pagerank")
-    edges = work.cut(pairs.select("src", "dst"), "edges")
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(degree, "id", "left")
+    graph = Adjacency(work, pairs, hub_edges)
+    nodes = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst")).distinct()
+    nodes = nodes.join(graph.degree.withColumnRenamed("src", "id"), "id", "left")
     if seeds is None:
         nodes = nodes.withColumn("start", F.lit(1.0))
     else:
@@ -50,11 +105,8 @@ def pagerank(spark: SparkSession, pairs: DataFrame, damping: float = 0.85, round
     dangling = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)
     ranks, loose = _observed(work, ranks, "ranks-0", dangling)
     for i in range(1, rounds + 1):
-        given = (
-            edges.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum("share").alias("given"))
-        )
+        giving = ranks.where("degree is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
+        given = graph.along(giving).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
         now = ranks.join(given, "id", "left").select(
             "id", "degree", "start",
             ((1 - damping) * F.col("start") + damping * (F.coalesce("given", F.lit(0.0)) + float(loose) * F.col("start"))).alias("rank"),
@@ -64,34 +116,37 @@ def pagerank(spark: SparkSession, pairs: DataFrame, damping: float = 0.85, round
     return ranks.select(F.col("id").alias("account_id"), F.col("rank").alias("pagerank"))
 
 
-def kcore(spark: SparkSession, pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
+def kcore(spark: SparkSession, pairs: DataFrame, max_rounds: int = 500, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``account_id, kcore_number`` of the undirected simple graph.
 
     Core numbers are the fixed point of "h-index of the neighbours' values", from the
     degree down.  Values only fall, so a neighbour counts by the lesser of its value and
-    one's own; neighbours are counted by that before they meet, and a hub's rows number
-    its distinct values.  A self-loop is a neighbour of itself.  Raises ``RuntimeError``
-    if ``max_rounds`` do not suffice.
+    one's own, and a round judges only accounts with a neighbour that fell in the round
+    before.  Neighbours are counted by value before they meet: a hub's rows number its
+    distinct values.  A self-loop is a neighbour of itself.  Raises ``RuntimeError`` if
+    ``max_rounds`` do not suffice.
     """
     work = Workspace(spark, "kcore")
-    both = work.cut(pairs.union(pairs.select("dst", "src")).distinct(), "both")
-    core, before = _observed(work, both.groupBy("src").agg(F.count(F.lit(1)).alias("core")), "core-0", F.col("core"))
+    graph = Adjacency(work, pairs.union(pairs.select("dst", "src")).distinct(), hub_edges)
+    core = graph.degree.select("src", F.col("degree").alias("core"), F.lit(True).alias("fell"))
     down = Window.partitionBy("src").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
     for i in range(1, max_rounds + 1):
+        judged = core.select("src", "core")
+        if i > 1:  # at first all fell, from no value to their degree
+            near = graph.along(core.where("fell").select("src")).select(F.col("dst").alias("src")).distinct()
+            judged = judged.join(near, "src", "left_semi")
         counted = (
-            both.join(core.select(F.col("src").alias("dst"), F.col("core").alias("theirs")), "dst")
-            .join(core, "src")
+            graph.towards(graph.along(judged), core.select("src", F.col("core").alias("theirs")))
             .groupBy("src", F.least("theirs", "core").alias("value"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        now = (
-            counted.withColumn("at_least", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("value", "at_least")).alias("core"))
-        )
-        core, after = _observed(work, now, f"core-{i}", F.col("core"))
-        work.drop(f"core-{i - 1}")
-        if before == after:  # an equal sum of falling values is the fixed point
+        found = counted.withColumn("at_least", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("value", "at_least")).alias("now"))
+        now = core.join(found, "src", "left").select("src", F.coalesce("now", "core").alias("core"), F.coalesce(F.col("now") < F.col("core"), F.lit(False)).alias("fell"))
+        core, fallen = _observed(work, now, f"core-{i}", F.col("fell").cast("int"))
+        if i > 1:
+            work.drop(f"core-{i - 1}")
+        if not fallen:
             return core.select(F.col("src").alias("account_id"), F.col("core").alias("kcore_number"))
-        before = after
     raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
