@@ -2,22 +2,26 @@
 
 The content view sees the text alone (shape statistics and hashed word counts), the
 metadata view sees source, language and length alone.  Starting from labelled
-documents, each round lets either view label all unlabelled documents of which it is
-sure for the other view's next training set.  Both are then calibrated on labelled
-documents kept apart, a small logistic model on the two calibrated logits combines
-them, and every document is scored.
+documents, each round calibrates both views on labelled documents kept apart, and lets
+either label the unlabelled documents it is surest of for the other view's next training
+set: of each class the ``SHARE`` of largest calibrated logit, counted over all of them,
+where that logit is on the class's side.  In the end both are calibrated again, a small
+logistic model on the two calibrated logits combines them, and every document is scored.
 
 Only labelled documents are a bounded sample: at most ``LABELLED``, those of the
 smallest id hash, whose features come to the driver (of a repeated id those of one row).  Unlabelled ones stay in Spark:
 the content view is fitted on gradients and curvatures that tasks add up, the
 metadata view on counts by its slots, of which there are at most 24 576.  Within a
-class, pseudo-labelled documents weigh together at most as much as labelled ones.
+class, pseudo-labelled documents weigh together at most as much as labelled ones times
+their mean calibrated certainty (twice the probability less one), so a view that knows
+little teaches little.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ from ..functions.workspace import Workspace
 
 LABELLED = 4000
 ROUNDS = 4
-#: How sure a view must be of a document to label it for the other.
-CONFIDENCE = 0.9
+#: The share of unlabelled documents that a view labels of each class; ties go whole.
+SHARE = 0.1
+#: Classes of equal width that calibrated logits are counted by, and their range.
+_BINS, _REACH = 4096, 32.0
 _HASHED = 192
 _SHAPES = 10
 CONTENT_DIM = _SHAPES + _HASHED
@@ -161,6 +167,8 @@ class CoTrained:
     meta: np.ndarray
     calibration: np.ndarray
     mix: np.ndarray
+    #: By round: documents that the content view, then the metadata view labelled bad and good.
+    exchanged: list[tuple[int, int, int, int]] = field(default_factory=list)
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Columns: combined, content and metadata probability."""
@@ -198,10 +206,10 @@ class Sums:
             at += x.size
 
 
-def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
+def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, trust: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
     """``fit_logistic`` from ``w`` on, with the rows whose :class:`Sums` at given weights
-    are ``free(weights)``; these count together at most as much as their class in ``y``.
-    A step that raises the loss is halved."""
+    are ``free(weights)``; these count together at most ``trust`` (by class) times as much
+    as their class in ``y``.  A step that raises the loss is halved."""
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-9
     best, step = np.inf, np.zeros(len(w))
@@ -213,7 +221,7 @@ def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, penalty: float =
             known.add(x[y == label], label, w)
         loss, slope, curve = ridge @ (w * w) / 2, ridge * w, np.diag(ridge) + 1e-9 * np.eye(len(w))
         for label in (0, 1):
-            each = min(1.0, known.n[label] / max(more.n[label], 1.0))
+            each = min(1.0, trust[label] * known.n[label] / max(more.n[label], 1.0))
             share = 0.5 / (known.n[label] + each * more.n[label])
             loss += share * (known.loss[label] + each * more.loss[label])
             slope = slope + share * (known.slope[label] + each * more.slope[label])
@@ -225,12 +233,45 @@ def fit_both(x: np.ndarray, y: np.ndarray, free, w: np.ndarray, penalty: float =
         best, step = loss, np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < _SETTLED:
-            break
+            return w
+    logging.getLogger(__name__).warning("a fit stopped after %d steps, the last of %.2g", _STEPS, np.abs(step).max())
     return w
 
 
-def _sure(p: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    return [(label, np.flatnonzero(at)) for label, at in ((0, 1 - p >= CONFIDENCE), (1, p >= CONFIDENCE))]
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.clip(((z + _REACH) * (_BINS / (2 * _REACH))).astype(np.int64), 0, _BINS - 1)
+
+
+@dataclass
+class Sure:
+    """What a view is surest of: calibrated logits up to bin ``low`` are bad, those from
+    bin ``high`` on good; with the documents and the mean certainty of either class."""
+
+    low: int
+    high: int
+    n: np.ndarray
+    trust: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray, share: float) -> Sure:
+        """From the number of documents by bin; a class with none has no certainty."""
+        wanted, middle = share * counts.sum(), _BINS // 2
+        low = min(int(np.searchsorted(np.cumsum(counts), wanted)), middle - 1)
+        high = max(_BINS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), wanted)), middle)
+        certain = np.abs(2 * sigmoid((np.arange(_BINS) + 0.5) * (2 * _REACH / _BINS) - _REACH) - 1)
+        n = np.array([counts[: low + 1].sum(), counts[high:].sum()], float)
+        sums = np.array([(counts * certain)[: low + 1].sum(), (counts * certain)[high:].sum()])
+        return cls(low, high, n, sums / np.maximum(n, 1.0))
+
+    def labels(self, z: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        bins = _bin(z)
+        return [(0, np.flatnonzero(bins <= self.low)), (1, np.flatnonzero(bins >= self.high))]
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weights whose logits are those of ``w``, calibrated on ``x, y``."""
+    slope, offset = fit_logistic(logits(x, w)[:, None], y, 1e-2)
+    return np.append(slope * w[:-1], slope * w[-1] + offset)
 
 
 def _content(column: pa.Array) -> np.ndarray:
@@ -242,20 +283,47 @@ def _slots(code: pa.Array) -> np.ndarray:
     return np.column_stack([code // (META_DIM * META_DIM), code // META_DIM % META_DIM, code % META_DIM])
 
 
+def _meta_logits(slots: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    return meta[slots].sum(axis=1) + meta[-1]
+
+
 class Unlabelled:
     """Rows ``content, code`` (metadata slots) that stay in Spark."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
+        codes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()
+        self._codes = _slots(pa.array([r["code"] for r in codes], pa.int64()))
+        self._n = np.array([r["n"] for r in codes], np.int64)
+
+    def meta_sure(self, meta: np.ndarray, share: float) -> Sure:
+        """What the metadata view of calibrated weights ``meta`` is surest of."""
+        return Sure.of(np.bincount(_bin(_meta_logits(self._codes, meta)), self._n, _BINS), share)
+
+    def content_sure(self, content: np.ndarray, share: float) -> Sure:
+        """What the content view of calibrated weights ``content`` is surest of."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(_BINS, np.int64)
+            for batch in batches:
+                counts += np.bincount(_bin(logits(_content(batch.column(0)), content)), minlength=_BINS)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bin", "n"])
+
+        counts = np.zeros(_BINS)
+        found = self.rows.select("content").mapInArrow(part, "bin bigint, n bigint")
+        for row in found.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            counts[row["bin"]] = row["n"]
+        return Sure.of(counts, share)
 
-    def content_sums(self, meta: np.ndarray, w: np.ndarray) -> Sums:
+    def content_sums(self, meta: np.ndarray, sure: Sure, w: np.ndarray) -> Sums:
         """Of the content view at ``w``, over all rows that the metadata view is sure of."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = Sums(CONTENT_DIM + 1)
             for batch in batches:
                 x = _content(batch.column(0))
-                for label, at in _sure(sigmoid(meta[_slots(batch.column(1))].sum(axis=1) + meta[-1])):
+                for label, at in sure.labels(_meta_logits(_slots(batch.column(1)), meta)):
                     if len(at):
                         sums.add(x[at], label, w)
             yield pa.RecordBatch.from_arrays([pa.array([sums.to_bytes()], pa.binary())], ["sums"])
@@ -273,13 +341,13 @@ class Unlabelled:
             total.merge(row["sums"])
         return total
 
-    def meta_votes(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def meta_votes(self, content: np.ndarray, sure: Sure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots, label and number of all rows that the content view is sure of."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 code = batch.column(1).to_numpy()
-                for label, at in _sure(sigmoid(logits(_content(batch.column(0)), content))):
+                for label, at in sure.labels(logits(_content(batch.column(0)), content)):
                     codes, counts = np.unique(code[at], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(codes), pa.array(np.full(len(codes), label)), pa.array(counts)], ["code", "label", "n"]
@@ -292,7 +360,7 @@ class Unlabelled:
 
 
 def co_train(
-    content: np.ndarray, meta: np.ndarray, y: np.ndarray, apart: np.ndarray, free: Unlabelled, rounds: int = ROUNDS
+    content: np.ndarray, meta: np.ndarray, y: np.ndarray, apart: np.ndarray, free: Unlabelled, rounds: int = ROUNDS, share: float = SHARE
 ) -> CoTrained | None:
     """``apart`` marks labelled rows kept for calibration.  ``None`` if the training
     labels are not of both classes."""
@@ -301,8 +369,13 @@ def co_train(
         return None
     views = [content, meta]
     models = [fit_logistic(x[train], y[train]) for x in views]
+    held = apart if len(np.unique(y[apart])) == 2 else train
+    exchanged = []
     for _ in range(rounds):
-        slots, label, n = free.meta_votes(models[0])
+        ready = [calibrated(x[held], y[held], w) for x, w in zip(views, models, strict=True)]
+        by_content, by_meta = free.content_sure(ready[0], share), free.meta_sure(ready[1], share)
+        exchanged.append((*by_content.n.astype(int).tolist(), *by_meta.n.astype(int).tolist()))
+        slots, label, n = free.meta_votes(ready[0], by_content)
         voted = one_hot(slots)
 
         def meta_sums(w: np.ndarray) -> Sums:
@@ -311,15 +384,17 @@ def co_train(
                 sums.add(voted[label == c], c, w, n[label == c])
             return sums
 
+        def content_sums(w: np.ndarray) -> Sums:
+            return free.content_sums(ready[1], by_meta, w)
+
         models = [
-            fit_both(content[train], y[train], lambda w, sure=models[1]: free.content_sums(sure, w), models[0]),
-            fit_both(meta[train], y[train], meta_sums, models[1]),
+            fit_both(content[train], y[train], content_sums, models[0], by_meta.trust),
+            fit_both(meta[train], y[train], meta_sums, models[1], by_content.trust),
         ]
-    held = apart if len(np.unique(y[apart])) == 2 else train
     calibration = np.array(
         [fit_logistic(logits(views[v][held], models[v])[:, None], y[held], 1e-2) for v in (0, 1)]
     )
-    model = CoTrained(models[0], models[1], calibration, np.array([0.5, 0.5, 0.0]))
+    model = CoTrained(models[0], models[1], calibration, np.array([0.5, 0.5, 0.0]), exchanged)
     model.mix = fit_logistic(model._calibrated(content[held], meta[held]), y[held], 1e-2)
     return model
 

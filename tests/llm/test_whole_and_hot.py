@@ -115,11 +115,11 @@ def dense_co_training(content, meta, y, apart, free_content, free_meta, rounds):
                 break
         return w
 
-    def weights(known, free):
+    def weights(known, free, trust=(1.0, 1.0)):
         own, more = np.zeros(len(known)), np.zeros(len(free))
         for c in (0, 1):
             n, m = (known == c).sum(), (free == c).sum()
-            each = min(1.0, n / max(m, 1))
+            each = min(1.0, trust[c] * n / max(m, 1))
             own[known == c], more[free == c] = 0.5 / (n + each * m), each * 0.5 / (n + each * m)
         return np.concatenate([own, more])
 
@@ -128,12 +128,20 @@ def dense_co_training(content, meta, y, apart, free_content, free_meta, rounds):
     none = np.zeros(0)
     models = [fit(x[train], y[train], weights(y[train], none)) for x in views]
     for _ in range(rounds):
-        p = [quality_model.sigmoid(quality_model.logits(f, m)) for f, m in zip(free, models, strict=True)]
-        sure = [np.where(q >= 0.9, 1, np.where(1 - q >= 0.9, 0, -1)) for q in p]
+        sure, trust = [], []
+        for x, f, w in zip(views, free, models, strict=True):
+            slope, offset = quality_model.fit_logistic(quality_model.logits(x[apart], w)[:, None], y[apart], 1e-2)
+            z = quality_model.logits(f, w) * slope + offset
+            wide = np.floor((z + 32) * 64)  # 4096 classes of logits from -32 to 32
+            k = max(1, int(np.ceil(quality_model.SHARE * len(z))))
+            low, high = np.sort(wide)[k - 1], np.sort(wide)[-k]
+            sure.append(np.where((wide <= low) & (z < 0), 0, np.where((wide >= high) & (z >= 0), 1, -1)))
+            trust.append([np.abs(np.tanh(z[sure[-1] == c] / 2)).mean() if (sure[-1] == c).any() else 0.0 for c in (0, 1)])
         new = []
-        for v, other in ((0, sure[1]), (1, sure[0])):
-            at = other >= 0
-            new.append(fit(np.vstack([views[v][train], free[v][at]]), np.concatenate([y[train], other[at]]), weights(y[train], other[at])))
+        for v, other in ((0, 1), (1, 0)):
+            at = sure[other] >= 0
+            labels = sure[other][at]
+            new.append(fit(np.vstack([views[v][train], free[v][at]]), np.concatenate([y[train], labels]), weights(y[train], labels, trust[other])))
         models = new
     return models
 
@@ -157,6 +165,8 @@ def test_co_training_like_plain_arrays(spark, sf):
     for got, want, x in ((model.content, wanted[0], content), (model.meta, wanted[1], meta)):
         a, b = (quality_model.sigmoid(quality_model.logits(x, w)) for w in (got, want))
         assert np.abs(a - b).max() < 0.02
+    if sf == "0.01":  # both views teach both classes in every round
+        assert len(model.exchanged) == 2 and min(min(n) for n in model.exchanged) > 0
 
 
 def test_repeated_ids_teach_once(spark, monkeypatch):
