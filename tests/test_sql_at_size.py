@@ -1,8 +1,10 @@
-"""SQL twins where the test tables are too small to tell: many clusters."""
+"""SQL twins where the test tables are too small to tell: slow core numbers, many clusters."""
 
 import datetime
 
 import pandas as pd
+import pytest
+
 from ledgergraph.operators import iterative
 
 from .oracle import connect, same
@@ -21,6 +23,13 @@ def ledger(folder, pairs, illicit=False):
     return str(folder)
 
 
+@pytest.mark.parametrize("name", ["feat_kcore"])
+def test_sql_core_numbers_settle(tmp_path, name):
+    """The ends of a chain take its middle down one account a round."""
+    found = connect(ledger(tmp_path, [(i, i + 1) for i in range(1, 200)])).execute(iterative.SQL[name]).df()
+    assert len(found) == 200 and set(found["kcore_number"]) == {1}
+
+
 def test_sql_numbers_more_clusters_than_four_digits(spark, tmp_path):
     folder = ledger(tmp_path, [(i, 100_000 + i) for i in range(1, 10_051)], illicit=True)
     wanted = connect(folder).execute(iterative.SQL["graph_clusters"]).df()
