@@ -23,7 +23,7 @@ def ledger(folder, pairs, illicit=False):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["feat_kcore"])
+@pytest.mark.parametrize("name", ["feat_kcore", "graph_active_writeback"])
 def test_sql_core_numbers_settle(tmp_path, name):
     """The ends of a chain take its middle down one account a round."""
     found = connect(ledger(tmp_path, [(i, i + 1) for i in range(1, 200)])).execute(iterative.SQL[name]).df()
