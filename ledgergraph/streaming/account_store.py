@@ -12,19 +12,19 @@ A transfer is split into its two ends; each end updates the state of its account
   and 601 counts for the busiest account, gone by time-to-live where it falls silent.
 
 A call of the store costs a round trip, so an ordinary account has all it needs in the
-two values.  Rows of a micro-batch come in any order and in frames of bounded size; of a
-batch only its times are held together, a number each.  The feature columns are computed
+two values; rows come as plain rows, as frames of an account's few rows cost far more than
+its arithmetic.  Rows of a micro-batch come in any order; of a batch only its times are held
+together, a number each.  The feature columns are computed
 from the state by SQL functions, in the JVM, for the stream, for replays and for readers.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -54,6 +54,10 @@ STATE_ROW = f"{', '.join(f'{c} bigint' for c in _COUNTS)}, newest array<bigint>,
 WINDOWS_TTL_MS = RETENTION_S * 1000
 #: Peers and devices of an account that its value holds; further ones go to the map.
 INLINE_ITEMS = 96
+#: Distinct peers and devices of a batch that are gathered before they are looked up.
+OFFERED_ITEMS = 4096
+_KINDS = {"S": "senders", "R": "recipients", "D": "devices"}
+_END = ("out", "peer", "at", "cents", "channel", "device_id", "is_night", "is_round", "is_struct")
 
 
 def ends(transfers: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ class AccountStore(StatefulProcessor):
         self.windows = handle.getValueState("windows", WINDOWS, ttlDurationMs=WINDOWS_TTL_MS)
         self.more_items = handle.getMapState("more_items", "item string", "n int")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         held = self.counters.get()
         c = dict.fromkeys(_COUNTS, 0) | {"last_ts": -1, "last_in": -1, "last_out": -1}
         newest: list[int] = []
@@ -88,64 +92,72 @@ class AccountStore(StatefulProcessor):
             c = dict(zip(_COUNTS, held, strict=False))
             newest, items = list(held[-4]), set(held[-1])
             channels.update(dict(zip(held[-3], held[-2], strict=True)))
-        times: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        for frame in rows:
-            for out, side in frame.groupby("out"):
-                at, cents = side["at"].to_numpy(np.int64), side["cents"].to_numpy(np.int64)
-                p = "out" if out else "in"
-                times[bool(out)].append(at)
-                c[f"{p}_n"] += len(side)
-                c[f"{p}_cents"] += int(cents.sum())
-                c[f"last_{p}"] = max(c[f"last_{p}"], int(at.max()))
-                c["largest_cents"] = max(c["largest_cents"], int(cents.max()))
-                c["night_n"] += int(side["is_night"].sum())
-                if out:
-                    c["round_n"] += int(side["is_round"].sum())
-                    c["struct_n"] += int(side["is_struct"].sum())
-                    newest = sorted([*newest, *np.sort(at)[-NEWEST:].tolist()])[-NEWEST:]
-                full = c["senders"] + c["recipients"] + c["devices"] > len(items)
-                c["recipients" if out else "senders"] += self._new_items("R" if out else "S", side["peer"], items, full)
-                c["devices"] += self._new_items("D", side["device_id"], items, full)
-                channels.update(side["channel"].value_counts().to_dict())
-        ordered = np.sort(np.concatenate([*times[True], *times[False]]))
+        outs: list[int] = []
+        ins: list[int] = []
+        offered: set[str] = set()
+        place = None
+        for row in rows:
+            place = place or [row.__fields__.index(x) for x in _END]
+            out, peer, at, cents, channel, device, is_night, is_round, is_struct = (row[i] for i in place)
+            c["night_n"] += is_night
+            c["largest_cents"] = max(c["largest_cents"], cents)
+            channels[channel] += 1
+            if out:
+                outs.append(at)
+                c["out_cents"] += cents
+                c["round_n"] += is_round
+                c["struct_n"] += is_struct
+            else:
+                ins.append(at)
+                c["in_cents"] += cents
+            if peer:
+                offered.add(f"{'R' if out else 'S'}:{peer}")
+            if device:
+                offered.add(f"D:{device}")
+            if len(offered) >= OFFERED_ITEMS:
+                self._add_items(offered, items, c)
+                offered = set()
+        self._add_items(offered, items, c)
+        for p, times in (("out", outs), ("in", ins)):
+            c[f"{p}_n"] += len(times)
+            c[f"last_{p}"] = max(c[f"last_{p}"], max(times, default=-1))
+        newest = sorted([*newest, *outs])[-NEWEST:]
+        ordered = sorted([*outs, *ins])
         if c["last_ts"] >= 0:
-            ordered = np.concatenate([[c["last_ts"]], ordered])
-        c["max_gap"] = max(c["max_gap"], int(np.diff(ordered).max(initial=0)))
-        c["last_ts"] = max(c["last_ts"], int(ordered[-1]))
+            ordered.insert(0, c["last_ts"])
+        c["max_gap"] = max(c["max_gap"], max((y - x for x, y in itertools.pairwise(ordered)), default=0))
+        c["last_ts"] = max(c["last_ts"], ordered[-1])
         names = sorted(channels)
-        self.counters.update((*(c[n] for n in _COUNTS), newest, names, [int(channels[x]) for x in names], sorted(items)))
-        hour_out, recent_in = self._seconds(times, c["last_ts"] // _MICRO)
-        row = [key[0], *(c[n] for n in _COUNTS), newest, sorted(int(n) for n in channels.values()), hour_out, recent_in]
-        yield pd.DataFrame([row], columns=["account_id", *_COUNTS, "newest", "channels", "hour_out", "recent_in"])
-
-    def _new_items(self, kind: str, values: pd.Series, items: set[str], full: bool) -> int:
-        """How many of the values the account has not had; they are remembered."""
-        fresh = 0
-        for x in values.dropna().unique():
-            item = f"{kind}:{x}"
-            if x == "" or item in items or (full and self.more_items.containsKey((item,))):
+        self.counters.update((*(c[n] for n in _COUNTS), newest, names, [channels[x] for x in names], sorted(items)))
+        hour_out, recent_in = self._seconds(outs, ins, c["last_ts"] // _MICRO)
+        found = {"newest": newest, "channels": sorted(channels.values()), "hour_out": hour_out, "recent_in": recent_in}
+        yield Row(account_id=key[0], **{n: c[n] for n in _COUNTS}, **found)
+
+    def _add_items(self, offered: set[str], items: set[str], c: dict[str, int]) -> None:
+        """Count the peers and devices that the account has not had; they are remembered."""
+        full = c["senders"] + c["recipients"] + c["devices"] > len(items)
+        for item in offered - items:
+            if full and self.more_items.containsKey((item,)):
                 continue
-            fresh += 1
+            c[_KINDS[item[0]]] += 1
             if len(items) < INLINE_ITEMS:
                 items.add(item)
             else:
                 self.more_items.updateValue((item,), (1,))
                 full = True
-        return fresh
 
-    def _seconds(self, times: dict[bool, list[np.ndarray]], last: int) -> tuple[int, int]:
+    def _seconds(self, outs: list[int], ins: list[int], last: int) -> tuple[int, int]:
         """Add a batch's times to the windows, and count what these hold up to ``last``,
         both ends included; older seconds go."""
         held = self.windows.get() or ([], [], [], [])
         found = []
-        for out, old, width in ((True, held[:2], VELOCITY_S), (False, held[2:], RAPID_S)):
-            at = np.concatenate([np.array(old[0], np.int64), *(t // _MICRO for t in times[out])])
-            n = np.concatenate([np.array(old[1], np.int64), np.ones(len(at) - len(old[0]), np.int64)])
-            seconds, place = np.unique(at[at >= last - width], return_inverse=True)
-            found.append((seconds, np.bincount(place, n[at >= last - width], len(seconds)).astype(np.int64)))
-        (out_at, out_n), (in_at, in_n) = found
-        self.windows.update((out_at.tolist(), out_n.tolist(), in_at.tolist(), in_n.tolist()))
-        return int(out_n.sum()), int(in_n.sum())
+        for times, old, width in ((outs, held[:2], VELOCITY_S), (ins, held[2:], RAPID_S)):
+            counts = Counter(dict(zip(*old, strict=True)))
+            counts.update(t // _MICRO for t in times)
+            kept = sorted(t for t in counts if t >= last - width)
+            found.append((kept, [counts[t] for t in kept]))
+        self.windows.update((*found[0], *found[1]))
+        return sum(found[0][1]), sum(found[1][1])
 
     def close(self) -> None:
         pass
@@ -156,7 +168,7 @@ def states(transfers: DataFrame) -> DataFrame:
     and :data:`STATE_ROW` (update mode).  The session's state store must be RocksDB."""
     split = ends(transfers)
     kind = split.schema["account_id"].dataType.simpleString()
-    return split.groupBy("account_id").transformWithStateInPandas(
+    return split.groupBy("account_id").transformWithState(
         AccountStore(), f"account_id {kind}, {STATE_ROW}", "Update", "ProcessingTime"
     )
 
