@@ -8,7 +8,7 @@ nothing but an edge count and a checksum reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.workspace import Workspace
@@ -40,12 +40,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.unionByName(least.select(F.col("node").alias("src"), F.col("low").alias("dst"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("check"),
-    ).first()
-    return row["n"], row["check"]
+def _written(work: Workspace, edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written edges, and their number and checksum, observed while they are written."""
+    seen = Observation()
+    check = F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("check")
+    found = work.cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), check), name)
+    return found, (seen.get["n"] or 0, seen.get["check"])
 
 
 def connected_components(edges: DataFrame, work: Workspace, name: str, max_rounds: int = 50) -> DataFrame:
@@ -60,14 +60,12 @@ def connected_components(edges: DataFrame, work: Workspace, name: str, max_round
     edges = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where(
         "src is not null and dst is not null and src <> dst"
     )
-    edges = work.cut(edges.distinct(), f"{name}-0")
-    before = _state(edges)
+    edges, before = _written(work, edges.distinct(), f"{name}-0")
     for i in range(1, max_rounds + 1):
         if not before[0]:
             break
-        edges = work.cut(_small_star(_large_star(edges)), f"{name}-{i}")
+        edges, after = _written(work, _small_star(_large_star(edges)), f"{name}-{i}")
         work.drop(f"{name}-{i - 1}")
-        after = _state(edges)
         if after == before:
             break
         before = after
