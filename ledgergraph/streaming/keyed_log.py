@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import Workspace
 from ..plans.fixtures import fixture, fixture_sql
-from .account_state import DEDUP_S, stage_slices
+from .account_state import DEDUP_S, offered, rocksdb
 
 LOG_SCHEMA = "key string, value string"
 EVENT = (
@@ -75,7 +75,7 @@ def write_kafka(events: DataFrame, servers: str, topic: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The log in a folder of Parquet files, ``files`` a batch, oldest first."""
+    """The log in a folder of Parquet files, at most ``files`` a batch, oldest first."""
     return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -88,7 +88,8 @@ def commit_to(events: DataFrame, path: str, once: bool = True) -> DataFrame:
 
     writer = events.writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint").foreachBatch(sink)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{FLUSH_S} seconds")
-    writer.start().awaitTermination()
+    with rocksdb(events.sparkSession):
+        writer.start().awaitTermination()
     return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
@@ -99,8 +100,9 @@ def stream_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = fixture(spark, sf_dir, "tx").groupBy("tx_id").agg(first).select("t.*")
     log = work.cut(to_events(tx), "events")
     broken = log.select("key", F.expr("substring(value, 1, 20)").alias("value"), "ts")
-    stage_slices(log.unionByName(log).unionByName(broken), f"{work.path}/log", slices=3)
-    found = commit_to(claimed(parsed(read_log(spark, f"{work.path}/log"))), f"{work.path}/out")
+    events = claimed(parsed(spark.readStream.schema(LOG_SCHEMA).parquet(work.folder("log"))))
+    for _ in offered(work, log.unionByName(log).unionByName(broken), "log", slices=3):
+        found = commit_to(events, f"{work.path}/out")
     return found.drop("ts", "batch", "payment_format", "institution_id")
 
 

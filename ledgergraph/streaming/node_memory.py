@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.workspace import Workspace
-from .account_state import RETENTION_S, read_staged, run_to_parquet, stage
+from .account_state import RETENTION_S, offered_events, run_to_parquet
 
 DIM, INPUT, SEED = 16, 4, 7
 #: Fixed value: seconds that an idle account's memory lasts.
@@ -85,9 +84,8 @@ def score_batch(events: DataFrame) -> DataFrame:
 
 
 def stream_node_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "node-memory")
-    stage(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{work.path}/in", slices=3)
-    return run_to_parquet(score_stream(read_staged(spark, f"{work.path}/in")), work, "out")
+    work, stream, offers = offered_events(spark, sf_dir, "node-memory", slices=3)
+    return run_to_parquet(score_stream(stream), work, "out", offers=offers)
 
 
 QUERIES = {"stream_node_memory": stream_node_memory}
