@@ -1,29 +1,23 @@
 """Signals of accounts over a stream of transfers.
 
 Lifetime sets (senders, recipients, devices) are kept as deduplicated pairs, so a
-hub's set is spread over the state store and never lies in one row.  Only what the
-one-hour and ten-minute windows need is kept per account, and expires with them.
+hub's set is spread over the state store and never lies in one row.  Of the transfers
+only those are kept that an account's one-hour and ten-minute windows hold, a row each,
+in a table that every batch derives from the last one's by joins and groupings alone.
 Network features come from a table that a periodic batch job replaces; every
 micro-batch reads it anew, and an account that it lacks has zeros.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.workspace import Workspace
 from ..operators.features import feat_device_sharing, feat_institutions
 from ..plans.dialect import DUCK
 from ..plans.fixtures import fixture, fixture_sql
-from .account_state import RAPID_S, RETENTION_S, VELOCITY_S, run_to_parquet, stage_slices
-
-SIGNALS = "account_id bigint, last_ts double, n bigint, velocity_1h bigint, rapid_inout boolean"
-STATE = "n bigint, last_in double, last_out double, ins array<double>, outs array<double>"
+from .account_state import RAPID_S, RETENTION_S, VELOCITY_S, offered, rocksdb, run_to_parquet
 
 
 def endpoints(transfers: DataFrame) -> DataFrame:
@@ -42,50 +36,63 @@ def seen_items(ends: DataFrame) -> DataFrame:
     return items.where("item is not null").dropDuplicates(["account_id", "kind", "item"])
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    n, last_in, last_out, ins, outs = state.get if state.exists else (0, -1.0, -1.0, [], [])
-    ins, outs = list(ins), list(outs)
-    for frame in frames:  # the order of rows does not matter: maxima, and times kept by age
-        at = frame["ts"].map(pd.Timestamp.timestamp)
-        into, out = at[frame["direction"] == "IN"], at[frame["direction"] == "OUT"]
-        n += len(at)
-        last_in, last_out = max([last_in, *into]), max([last_out, *out])
-        last = max(last_in, last_out)
-        ins = [t for t in [*ins, *into] if t >= last - RAPID_S]
-        outs = [t for t in [*outs, *out] if t >= last - VELOCITY_S]
-    last = max(last_in, last_out)
-    state.update((int(n), float(last_in), float(last_out), [float(t) for t in ins], [float(t) for t in outs]))
-    state.setTimeoutTimestamp(int((last + RETENTION_S) * 1000))
-    rapid = bool(ins) and last_out >= 0 and 0 <= last_out - last_in <= RAPID_S
-    yield pd.DataFrame([(key[0], last, n, len(outs), rapid)], columns=["account_id", "last_ts", "n", "velocity_1h", "rapid_inout"])
-
-
 def signals(ends: DataFrame) -> DataFrame:
-    """``account_id, last_ts, n, velocity_1h, rapid_inout`` of every account that a batch
-    touches, as of its last transfer: transfers sent within the hour (ends included), and
+    """What the store of :func:`run_with_network` needs of the ends: ``account_id, into, at``."""
+    return ends.select("account_id", (F.col("direction") == "IN").alias("into"), F.col("ts").cast("double").alias("at"))
+
+
+def _merged(held: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The state after a batch: a row per transfer end that a window of its account still
+    holds, with the account's ``last`` time, its count ``n`` and whether the batch touched it.
+    A busy account's windows are rows, spread like any others."""
+    new = batch.select("account_id", "into", "at", F.lit(0).cast("long").alias("n"), F.lit(True).alias("touched"))
+    every = new if held is None else held.select("account_id", "into", "at", "n", F.lit(False).alias("touched")).unionByName(new)
+    account = every.groupBy("account_id").agg(
+        F.max("at").alias("last"), (F.max("n") + F.count_if("touched")).alias("n"), F.max("touched").alias("touched")
+    )
+    width = F.when(F.col("into"), RAPID_S).otherwise(VELOCITY_S)
+    return every.select("account_id", "into", "at").join(account, "account_id").where(F.col("at") >= F.col("last") - width)
+
+
+def _signals_of(state: DataFrame) -> DataFrame:
+    """``account_id, last_ts, n, velocity_1h, rapid_inout`` of every account that the batch
+    touched, as of its last transfer: transfers sent within the hour (ends included), and
     whether money left within ten minutes of its arrival.  ``n`` counts since the state
     last expired."""
-    timed = ends.withWatermark("ts", f"{RETENTION_S} seconds")
-    return timed.groupBy("account_id").applyInPandasWithState(_update, SIGNALS, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    gap = F.max(F.when(~F.col("into"), F.col("at"))) - F.max(F.when(F.col("into"), F.col("at")))
+    return state.where("touched").groupBy("account_id").agg(
+        F.max("last").alias("last_ts"), F.max("n").alias("n"), F.count_if(~F.col("into")).alias("velocity_1h"),
+        F.coalesce(gap.between(0, RAPID_S), F.lit(False)).alias("rapid_inout"),
+    )
 
 
 def run_with_network(updates: DataFrame, work: Workspace, name: str, cache: str) -> DataFrame:
-    """Process what is available; every batch joins the network features that the table
-    at ``cache`` (``account_id, device_sharing_count, n_institutions``) has by then."""
+    """Process what is available of :func:`signals`; every batch joins the network features
+    that the table at ``cache`` (``account_id, device_sharing_count, n_institutions``) has by then.
+
+    The state is a table that each batch writes anew under its own number from the one
+    before, so a batch that runs again finds what it found at first.  Accounts silent for the
+    retention time before the watermark are not carried on, and rows before it come too late.
+    """
     path = f"{work.path}/{name}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        network = batch.sparkSession.read.parquet(cache)
-        joined = batch.join(network, "account_id", "left").fillna(0, ["device_sharing_count", "n_institutions"])
+        spark = batch.sparkSession
+        held = None
+        if number:
+            held = spark.read.parquet(f"{path}-state/batch={number - 1}")
+            newest = held.agg(F.max("last")).first()[0]
+            if newest is not None:
+                batch = batch.where(F.col("at") >= newest - RETENTION_S)
+                held = held.where(F.col("last") >= newest - 2 * RETENTION_S)
+        _merged(held, batch).write.mode("overwrite").parquet(f"{path}-state/batch={number}")
+        found = _signals_of(spark.read.parquet(f"{path}-state/batch={number}"))
+        joined = found.join(spark.read.parquet(cache), "account_id", "left").fillna(0, ["device_sharing_count", "n_institutions"])
         joined.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            work.drop(f"{name}-state/batch={number - 2}")  # a batch may run again, the one before it not
 
-    query = (
-        updates.writeStream.outputMode("update").option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True).foreachBatch(sink).start()
-    )
+    query = updates.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     return work.spark.read.parquet(path)
 
@@ -104,15 +111,18 @@ def replay(spark: SparkSession, latest: DataFrame, transfers: DataFrame) -> Data
 
 def stream_account_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "account-signals")
-    tx = fixture(spark, sf_dir, "tx")
+    tx = work.cut(fixture(spark, sf_dir, "tx"), "tx")
     network = f"{work.path}/network"
     network_cache(spark, tx).write.parquet(network)
     rows = tx.select("tx_id", "from_account", "to_account", "device_id", F.col("tx_timestamp").cast("timestamp").alias("ts"))
-    stage_slices(work.cut(rows, "rows"), f"{work.path}/in")
-    ends = endpoints(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in"))
-    updates = run_with_network(signals(ends), work, "signals", network)
+    ends = endpoints(spark.readStream.schema(rows.schema).parquet(work.folder("in")))
+    kept, seen = signals(ends), seen_items(ends)
+    for _ in offered(work, rows, "in"):
+        updates = run_with_network(kept, work, "signals", network)
+        with rocksdb(spark):
+            found = run_to_parquet(seen, work, "items")
     latest = updates.groupBy("account_id").agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*")
-    items = run_to_parquet(seen_items(ends), work, "items").groupBy("account_id").pivot("kind", ["sender", "recipient", "device"]).count()
+    items = found.groupBy("account_id").pivot("kind", ["sender", "recipient", "device"]).count()
     return latest.join(items, "account_id").select(
         "account_id", "last_ts", "velocity_1h", "rapid_inout", "device_sharing_count", "n_institutions",
         F.coalesce("sender", F.lit(0)).alias("unique_senders"), F.coalesce("recipient", F.lit(0)).alias("unique_recipients"),
