@@ -22,6 +22,8 @@ from ..plans.fixtures import fixture, fixture_sql
 #: The seven raw columns, in their order in the files, under canonical names.
 RAW = "from_account bigint, to_account bigint, amount double, currency string, payment_format string, is_laundering int, tx_date date"
 VERSION = 1
+#: Lines of a file that the test ledger is written as.
+FILE_LINES = 500_000
 _SIGNATURE = "SIGNATURE.json"
 
 
@@ -104,7 +106,10 @@ def src_landing_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fixture(spark, sf_dir, "raw_landing")
     amount = F.when(F.expr("cast(`Account.1` as bigint) % 50 = 0"), F.lit("n/a")).otherwise(F.col("Amount Paid").cast("string"))
     lines = raw.withColumn("Amount Paid", amount).withColumn("Timestamp", F.date_format("Timestamp", "yyyy-MM-dd"))
-    lines.repartition(3).write.option("header", True).csv(f"{work.path}/csv")
+    # three batches, of as many files as keep a file's lines within FILE_LINES: a file is read by few tasks
+    lines = work.cut(lines, "lines")
+    files = max(1, -(-lines.count() // (3 * FILE_LINES)))
+    lines.repartition(3 * files).write.option("header", True).csv(f"{work.path}/csv")
     load = Landing(spark, f"{work.path}/csv", f"{work.path}/table")
 
     def stop(number: int) -> None:
@@ -112,11 +117,11 @@ def src_landing_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise InterruptedError("stopped between two batches")
 
     try:
-        load.run(before=stop)
+        load.run(files, before=stop)
     except Exception as error:  # the stream wraps what its sink raises
         if "stopped between two batches" not in str(error):
             raise
-    load.run()
+    load.run(files)
     good = load.rows().groupBy("from_account", "to_account", "currency", "payment_format", "is_laundering").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double"), 2).alias("amount")
     )
