@@ -6,7 +6,7 @@ from ..functions.expressions import channel_code, level_binned, level_ensemble,
 from ..functions.ranking import cumulated, indexed, moments
 from ..plans.catalog import operator
 from ..plans.dialect import Spark
-from .features import FIRST_SEEN, TRAIN_END, VAL_END
+from .features import TRAIN_END, VAL_END, first_seen
 
 # Signal tiers (threshold, score), decision thresholds and sharing limits.
 FANIN_TIERS = ((100, 0.55), (50, 0.40), (30, 0.25))
@@ -92,7 +92,7 @@ from ({_decisions(d, scale)}) x where decision <> 'NONE'"""
 def ml_node_split(d: Spark) -> str:
     """Accounts by first appearance: 70 per cent train, 15 validation, the rest test."""
     return f"""
-with {FIRST_SEEN},
+with {first_seen(d)},
   {moments("first_seen_", "first_seen", {"train": TRAIN_END, "val": VAL_END})},
   tied as (select account_id, row_number() over (partition by first_seen order by account_id) - 1 as pos from first_seen_
     where first_seen in (select v from at_train union all select v from at_val))
@@ -137,6 +137,13 @@ where is_laundering = 1 or tx_timestamp > cut or (instr('0123456789abcdef', subs
 @operator("E5 M7 P15")
 def ml_edge_encoding(d: Spark, text_ids: bool = False) -> str:
     """Edges with account indices, log amount, channel code and hour."""
+    if d.name == "spark":  # what an edge says is computed before it is moved
+        return f"""
+with {indexed(d, f"select distinct account_id as id from ({d.ends()}) e", text_ids)},
+  said as (select tx_id, from_account, to_account, {d.round("ln(1 + cast(amount as double))", 9)} as amount_log,
+    cast({channel_code("channel")} as tinyint) as channel_enc, cast(hour(tx_timestamp) as tinyint) as hour from {{tx}})
+select tx_id, cast(x.idx as bigint) as src, cast(y.idx as bigint) as dst, amount_log, cast(channel_enc as int) as channel_enc, cast(hour as bigint) as hour
+from said join ids x on from_account = x.id join ids y on to_account = y.id"""
     return f"""
 with {indexed(d, "select from_account as id from {tx} union select to_account from {tx}", text_ids)}
 select tx_id, cast(x.idx as bigint) as src, cast(y.idx as bigint) as dst, {d.round("ln(1 + cast(amount as double))", 9)} as amount_log,
