@@ -50,7 +50,36 @@ def decision(risk: str, typology: str) -> str:
     )
 
 
+def _signals_in_one_pass(d: Spark) -> str:
+    """CTEs up to ``s``: both ends of every transfer go to their account once, and all
+    signals are counted there, distinct ones by their ranks (a null has one, and is none)."""
+
+    def distinct(rank: str, item: str, side: str) -> str:
+        return f"coalesce(max({rank}) filter (where {side} and {item} is not null) - max(if({item} is null, 1, 0)) filter (where {side}), 0)"
+
+    return f"""
+with e as (select id, sent, peer, ep, if(sent, device_id, null) as device_id, if(sent, tx_id, null) as tx_id, if(sent, judol, false) as judol
+    from (select stack(2, from_account, true, to_account, to_account, false, from_account) as (id, sent, peer),
+      {d.epoch("tx_timestamp")} as ep, device_id, tx_id, coalesce(typology = 'judol', false) as judol from {{tx}}) b where id is not null),
+  l as (select *, max(if(sent, ep, null)) over (partition by id) as last_out from e),
+  p as (select *, dense_rank() over (partition by id, sent order by peer) as peer_no from l),
+  w as (select *, dense_rank() over (partition by id, sent order by device_id) as device_no from p),
+  a as (select id, count(*) as total, max(last_out) as last_out, {distinct("peer_no", "peer", "sent")} as fan_out, {distinct("peer_no", "peer", "not sent")} as fan_in,
+      {distinct("device_no", "device_id", "sent")} as devices, max(judol) as judol, count(*) filter (where sent and ep > last_out - 3600) as velocity,
+      max(if(ep = last_out, tx_id, null)) as tx_id, max(ep) filter (where not sent and ep <= last_out) as last_in from w group by id),
+  s as (select id as account_id, tx_id, cast(fan_in as bigint) as fan_in, cast(fan_out as bigint) as fan_out, velocity, cast(devices as bigint) as devices, total,
+      coalesce(last_out - last_in between 0 and 600, false) as rapid, if(judol, 'judol', '') as typology from a where velocity > 0),"""
+
+
 def _decisions(d: Spark, scale: int) -> str:
+    scored = f"""
+  r as (select s.*, coalesce(p.risk_score, 0.0e0) as base from s left join {{predictions}} p on s.account_id = p.account_id),
+  f as (select *, {fused("base", "total", signal_score(scale))} as risk from r)
+select account_id, tx_id, typology, fan_in, fan_out, velocity, rapid, devices, {d.round("base", 4)} as base_score, {d.round("risk", 4)} as risk_score,
+  {decision("risk", "typology")} as decision
+from f"""
+    if d.name == "spark":
+        return _signals_in_one_pass(d) + scored
     return f"""
 with o as (select from_account as id, {d.epoch("tx_timestamp")} as ep, to_account, device_id, tx_id, typology from {{tx}}),
   last as (select id, max(ep) as last_out, count(*) as n_out, count(distinct to_account) as fan_out,
@@ -62,12 +91,7 @@ with o as (select from_account as id, {d.epoch("tx_timestamp")} as ep, to_accoun
       max(case when ep <= last_out then ep end) as last_in from i left join last on i.id = last.id group by i.id),
   s as (select last.id as account_id, tx_id, coalesce(fan_in, 0) as fan_in, fan_out, velocity, devices, n_out + coalesce(n_in, 0) as total,
       coalesce(last_out - last_in between 0 and 600, false) as rapid, coalesce(typology, '') as typology
-    from last join vel on last.id = vel.id left join inc on last.id = inc.id),
-  r as (select s.*, coalesce(p.risk_score, 0.0e0) as base from s left join {{predictions}} p on s.account_id = p.account_id),
-  f as (select *, {fused("base", "total", signal_score(scale))} as risk from r)
-select account_id, tx_id, typology, fan_in, fan_out, velocity, rapid, devices, {d.round("base", 4)} as base_score, {d.round("risk", 4)} as risk_score,
-  {decision("risk", "typology")} as decision
-from f"""
+    from last join vel on last.id = vel.id left join inc on last.id = inc.id),""" + scored
 
 
 @operator("T8 T7", scale=4)
