@@ -33,7 +33,7 @@ from ..functions.expressions import night, round_amount, struct_feature
 from ..functions.workspace import Workspace
 from ..operators.features import FEATURE_COLUMNS
 from ..operators.iterative import SQL as ITERATIVE_SQL
-from ..operators.iterative import full_feature_table
+from ..operators.iterative import LEDGER_COLUMNS, causal_network
 from ..plans.catalog import OPERATORS
 from ..plans.fixtures import fixture, fixture_sql
 from .account_state import RAPID_S, RETENTION_S, VELOCITY_S
@@ -297,11 +297,11 @@ _SLICES = 4
 
 
 def _sliced(spark: SparkSession, work: Workspace, sf_dir: str) -> tuple[DataFrame, Callable[[int], DataFrame]]:
-    """The fixture's transfers, and the function that gives those of a quarter of its time."""
-    tx = fixture(spark, sf_dir, "tx")
-    columns = ["tx_id", "from_account", "to_account", "amount", "channel", "device_id", F.col("tx_timestamp").alias("ts")]
+    """The fixture's transfers, written once, and the function that gives those of a quarter
+    of its time."""
+    tx = work.cut(fixture(spark, sf_dir, "tx").select("tx_id", *LEDGER_COLUMNS), "rows")
     # the fixture repeats some ids; the store counts every transfer that it is offered
-    rows = work.cut(tx.select(*columns), "rows")
+    rows = tx.select("tx_id", "from_account", "to_account", "amount", "channel", "device_id", F.col("tx_timestamp").alias("ts"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     low, high = rows.agg(F.min(at), F.max(at)).first()
     width = (high - low) / _SLICES
@@ -323,15 +323,23 @@ def _run(spark: SparkSession, sf_dir: str, name: str, offers: int, before: Calla
     return run, quarter
 
 
+def network_sources(spark: SparkSession, tx: DataFrame, devices: bool) -> dict[str, DataFrame]:
+    """The sources of two network columns, and no other features: those of devices and
+    institutions, or PageRank and core numbers."""
+    if devices:
+        found = (OPERATORS[x].apply(spark, {"tx": tx}) for x in ("feat_device_sharing", "feat_institutions"))
+    else:
+        found = causal_network(spark, tx)
+    return dict(zip(NETWORK_COLUMNS[:2] if devices else NETWORK_COLUMNS[2:], found, strict=True))
+
+
 def stream_account_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 columns after all four quarters.  The network cache is refreshed before the
     first (two columns are ready) and before the third quarter (the other two are)."""
 
     def refresh(i: int, tx: DataFrame, cache: NetworkCache) -> None:
         if i in (0, 2):
-            table = full_feature_table(spark, tx) if i else OPERATORS["feat_account_table"].apply(spark, {"tx": tx})
-            ready = NETWORK_COLUMNS[2:] if i else NETWORK_COLUMNS[:2]
-            cache.refresh(table, {c: table.select("account_id", c) for c in ready})
+            cache.refresh(OPERATORS["feat_first_seen"].apply(spark, {"tx": tx}), network_sources(spark, tx, i == 0))
 
     run, _ = _run(spark, sf_dir, "account-store", _SLICES, refresh)
     found = run.latest().select("account_id", *FEATURE_COLUMNS, "velocity_1h", "rapid_inout", "device_count")
