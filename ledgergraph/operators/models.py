@@ -17,7 +17,7 @@ from ..plans.catalog import OPERATORS
 from ..plans.fixtures import fixture
 from . import scoring  # noqa: F401  (registers the split and the metrics)
 from .features import FEATURE_COLUMNS
-from .iterative import full_feature_table
+from .iterative import features_of, narrow_ledger
 
 #: All 24 columns of the feature contract.
 INPUTS = FEATURE_COLUMNS
@@ -26,8 +26,9 @@ INPUTS = FEATURE_COLUMNS
 def training_table(spark: SparkSession, tx: DataFrame) -> DataFrame:
     """The features, label and temporal split (``train, val, test``) of every account,
     written once for all passes of a training."""
-    split = OPERATORS["ml_node_split"].apply(spark, {"tx": tx})
-    found = full_feature_table(spark, tx).join(split, "account_id")
+    ledger = narrow_ledger(spark, tx)
+    split = OPERATORS["ml_node_split"].apply(spark, {"tx": ledger})
+    found = features_of(spark, ledger).join(split, "account_id")
     return Workspace(spark, "training").cut(found, "accounts")
 
 
@@ -83,8 +84,7 @@ _TRAINED: dict[tuple[str, str], tuple] = {}
 def _trained(spark: SparkSession, sf_dir: str) -> tuple:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        tx = Workspace(spark, "ledger").cut(fixture(spark, sf_dir, "tx"), "tx")
-        _TRAINED[key] = train_gbt(training_table(spark, tx))
+        _TRAINED[key] = train_gbt(training_table(spark, fixture(spark, sf_dir, "tx")))
     return _TRAINED[key]
 
 
