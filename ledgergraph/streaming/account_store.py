@@ -1,7 +1,9 @@
 """The online account store: 24 features of every account, kept as state of a stream.
 
-A transfer is split into its two ends; each end updates the state of its account, which
-``transformWithState`` keeps in the RocksDB state store:
+A transfer is split into its two ends; each end updates the state of its account.
+:class:`StoreRun` keeps it as tables that every batch derives from the last one's;
+for streams that want it in the RocksDB state store, :class:`AccountStore` has it by
+``transformWithState``, at the price of a Python call an account and batch:
 
 * one value of counters: transfers, amounts (in whole hundredths), night, largest, round
   and limit-hugging ones, transfers per channel, numbers of distinct peers and devices,
@@ -11,7 +13,7 @@ A transfer is split into its two ends; each end updates the state of its account
 * one value of transfers per second, out for an hour and in for ten minutes: at most 3601
   and 601 counts for the busiest account, gone by time-to-live where it falls silent.
 
-A call of the store costs a round trip, so an ordinary account has all it needs in the
+There a call of the store costs a round trip, so an ordinary account has all it needs in the
 two values; rows come as plain rows, as frames of an account's few rows cost far more than
 its arithmetic.  Rows of a micro-batch come in any order; of a batch only its times are held
 together, a number each.  The feature columns are computed
@@ -24,7 +26,7 @@ import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -164,7 +166,7 @@ class AccountStore(StatefulProcessor):
 
 
 def states(transfers: DataFrame) -> DataFrame:
-    """The state of every account that a micro-batch touches, after it: ``account_id``
+    """By the state store, the state of every account that a micro-batch touches, after it: ``account_id``
     and :data:`STATE_ROW` (update mode).  The session's state store must be RocksDB."""
     split = ends(transfers)
     kind = split.schema["account_id"].dataType.simpleString()
@@ -218,9 +220,80 @@ def features(state: DataFrame) -> DataFrame:
     return state.select(*front, *[made[x].alias(x) for x in FEATURE_COLUMNS if x in made], c("hour_out").alias("velocity_1h"), rapid.alias("rapid_inout"), c("devices").alias("device_count"))
 
 
+#: What a batch adds to an account's counters, by column of them; ``at`` and ``cents`` are whole numbers.
+_ADDED = {
+    "in_n": "count_if(not out)", "out_n": "count_if(out)", "in_cents": "sum(if(out, 0, cents))", "out_cents": "sum(if(out, cents, 0))",
+    "night_n": "count_if(is_night)", "largest_cents": "greatest(0, max(cents))", "round_n": "count_if(out and is_round)",
+    "struct_n": "count_if(out and is_struct)", "last_ts": "max(at)", "last_in": "max(if(out, -1, at))", "last_out": "max(if(out, at, -1))",
+}
+#: Columns of which the greater is kept, where others are added.
+_GREATEST = ("largest_cents", "last_ts", "max_gap", "last_in", "last_out")
+
+
+def _side_by_side(one: DataFrame, *others: DataFrame) -> DataFrame:
+    for other in others:
+        one = one.join(other, "account_id", "left")
+    return one
+
+
+def batch_sums(split: DataFrame, last: DataFrame) -> DataFrame:
+    """What a batch of ends adds, a row an account: counters, the longest gap from the
+    account's time in ``last`` on, the newest times sent, transfers by channel."""
+    before = Window.partitionBy("account_id").orderBy("at")
+    timed = split.join(last, "account_id", "left").withColumn("gap", F.col("at") - F.coalesce(F.lag("at").over(before), F.col("last_ts"))).drop("last_ts")
+    sums = timed.groupBy("account_id").agg(F.greatest(F.max("gap"), F.lit(0)).alias("max_gap"), *[F.expr(x).cast("long").alias(c) for c, x in _ADDED.items()])
+    sent = split.where("out").select("account_id", "at").withColumn("i", F.row_number().over(before.orderBy(F.col("at").desc()))).where(F.col("i") <= NEWEST)
+    newest = sent.groupBy("account_id").agg(F.collect_list("at").alias("newest"))
+    channels = split.groupBy("account_id", "channel").agg(F.count(F.lit(1)).alias("n"))
+    channels = channels.groupBy("account_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "n"))).alias("by_channel"))
+    return _side_by_side(sums, newest, channels)
+
+
+def batch_items(split: DataFrame) -> DataFrame:
+    """``account_id, item`` of the peers and devices of a batch's ends, each once."""
+    peer = F.when(F.col("peer") != "", F.concat(F.when(F.col("out"), "R:").otherwise("S:"), "peer"))
+    device = F.when(F.col("device_id") != "", F.concat(F.lit("D:"), "device_id"))
+    return split.select("account_id", F.explode(F.array(peer, device)).alias("item")).where("item is not null").distinct()
+
+
+def _updated(held: DataFrame | None, sums: DataFrame, items: DataFrame) -> DataFrame:
+    """The counters of all accounts after a batch, and whether it touched them."""
+    counted = items.groupBy("account_id").agg(*[F.count_if(F.col("item").startswith(f"{k}:")).alias(c) for k, c in _KINDS.items()])
+    new = _side_by_side(sums, counted).fillna(0, list(_KINDS.values())).withColumn("touched", F.lit(True))
+    if held is None:
+        both = new.select("account_id", *_COUNTS, F.sort_array("newest").alias("newest"), "by_channel", "touched")
+        return both.withColumn("newest", F.coalesce("newest", F.array().cast("array<bigint>")))
+    none = "array()", "map()"
+    columns = [(F.greatest(f"h.{c}", f"b.{c}") if c in _GREATEST else F.coalesce(f"h.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).alias(c) for c in _COUNTS]
+    newest = f"slice(sort_array(concat(coalesce(h.newest, {none[0]}), coalesce(b.newest, {none[0]})), false), 1, {NEWEST})"
+    channels = f"map_zip_with(coalesce(h.by_channel, {none[1]}), coalesce(b.by_channel, {none[1]}), (k, x, y) -> coalesce(x, 0L) + coalesce(y, 0L))"
+    return held.drop("touched").alias("h").join(new.alias("b"), "account_id", "full_outer").select(
+        "account_id", *columns, F.expr(f"sort_array({newest})").alias("newest"),
+        F.expr(f"if(b.by_channel is null, h.by_channel, if(h.by_channel is null, b.by_channel, {channels}))").alias("by_channel"),
+        F.coalesce("b.touched", F.lit(False)).alias("touched"),
+    )
+
+
+def _windows(held: DataFrame | None, split: DataFrame, counters: DataFrame) -> DataFrame:
+    """``account_id, out, second, n`` within the windows up to an account's last second."""
+    every = split.select("account_id", "out", F.floor(F.col("at") / _MICRO).alias("second"), F.lit(1).cast("long").alias("n"))
+    every = every if held is None else held.unionByName(every)
+    summed = every.groupBy("account_id", "out", "second").agg(F.sum("n").alias("n"))
+    width = F.when(F.col("out"), VELOCITY_S).otherwise(RAPID_S)
+    last = counters.select("account_id", F.floor(F.col("last_ts") / _MICRO).alias("last"))
+    return summed.join(last, "account_id").where(F.col("second") >= F.col("last") - width).drop("last")
+
+
 class StoreRun:
     """A store over staged transfers: each :meth:`offer` is written and processed as one
-    micro-batch, by a query that starts from the checkpoint of the last."""
+    micro-batch, by a query that starts from the checkpoint of the last.
+
+    The state is tables that a batch writes under its number: counters and windows anew
+    from those of the batch before, and the peers and devices that are new, a row each.
+    They come by joins and groupings, with no Python and no call an account, and a batch
+    that runs again finds what it found at first.  Versions stay, so any batch can be read.
+    :func:`states` is the same store as state of ``transformWithState``.
+    """
 
     def __init__(self, work: Workspace, schema: T.StructType, cache: NetworkCache):
         self.work, self.schema, self.cache = work, schema, cache
@@ -228,6 +301,31 @@ class StoreRun:
         #: Id of each offer's micro-batch.
         self.batches: list[int] = []
 
+    def _version(self, name: str, batch: int) -> DataFrame:
+        return self.work.spark.read.parquet(f"{self.work.path}/{name}/batch={batch}")
+
+    def _derive(self, batch: DataFrame, number: int) -> DataFrame:
+        """Write the state after a batch, and give the state rows of the accounts that it touched."""
+        cut = lambda df, name: self.work.cut(df, f"{name}/batch={number}")
+        split = cut(ends(batch), "ends")
+        held = self._version("counters", number - 1) if number else None
+        items = batch_items(split)
+        if held is None:
+            last = split.select("account_id", F.lit(None).cast("long").alias("last_ts")).limit(0)
+        else:
+            last = held.select("account_id", "last_ts")
+            known = self._version("items", 0)
+            for i in range(1, number):
+                known = known.unionByName(self._version("items", i))
+            items = items.join(known, ["account_id", "item"], "left_anti")
+        items = cut(items, "items")
+        counters = cut(_updated(held, batch_sums(split, last), items), "counters")
+        windows = cut(_windows(self._version("windows", number - 1) if number else None, split, counters), "windows")
+        self.work.drop(f"ends/batch={number}")
+        recent = windows.groupBy("account_id").agg(F.sum(F.expr("if(out, n, 0)")).alias("hour_out"), F.sum(F.expr("if(out, 0, n)")).alias("recent_in"))
+        found = counters.where("touched").join(recent, "account_id", "left").fillna(0, ["hour_out", "recent_in"])
+        return found.withColumn("channels", F.sort_array(F.map_values("by_channel"))).drop("by_channel", "touched")
+
     def offer(self, transfers: DataFrame) -> None:
         spark = self.work.spark
         transfers.write.mode("append").parquet(self.input)
@@ -235,20 +333,11 @@ class StoreRun:
 
         def sink(batch: DataFrame, number: int) -> None:
             seen.append(number)
-            joined = features(batch).join(self.cache.read(), "account_id", "left").fillna(0.0, list(NETWORK_COLUMNS))
+            joined = features(self._derive(batch, number)).join(self.cache.read(), "account_id", "left").fillna(0.0, list(NETWORK_COLUMNS))
             joined.write.mode("overwrite").parquet(f"{self.output}/batch={number}")
 
-        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        try:
-            query = (
-                states(spark.readStream.schema(self.schema).parquet(self.input))
-                .writeStream.outputMode("update").option("checkpointLocation", self.checkpoint)
-                .trigger(once=True).foreachBatch(sink).start()
-            )
-            query.awaitTermination()  # one batch: with time-to-live, "available now" would go on waiting for it
-        finally:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        stream = spark.readStream.schema(self.schema).parquet(self.input)
+        stream.writeStream.option("checkpointLocation", self.checkpoint).trigger(once=True).foreachBatch(sink).start().awaitTermination()
         self.batches += seen[-1:]
 
     def latest(self) -> DataFrame:
@@ -256,21 +345,13 @@ class StoreRun:
         found = self.work.spark.read.parquet(self.output)
         return found.groupBy("account_id").agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*").drop("batch")
 
-    def _variable(self, name: str, batch: int) -> DataFrame:
-        reader = self.work.spark.read.format("statestore").option("batchId", batch).option("stateVarName", name)
-        return reader.load(self.checkpoint).select(F.col("key.account_id").alias("account_id"), "value.*")
-
     def stored(self, batch: int) -> DataFrame:
-        """The counters that the checkpoint holds as of a batch: ``account_id`` and
-        :data:`COUNTERS`.  Reading changes nothing."""
-        return self._variable("counters", batch)
+        """The counters of all accounts as of a batch.  Reading changes nothing."""
+        return self._version("counters", batch).drop("touched")
 
     def stored_seconds(self, batch: int) -> DataFrame:
         """``account_id, second, n`` of the transfers sent, in the windows as of a batch."""
-        # a variable with a time-to-live has its value one level down
-        held = self._variable("windows", batch).select("account_id", "value.*")
-        pairs = held.select("account_id", F.explode(F.arrays_zip("out_at", "out_n")).alias("s"))
-        return pairs.select("account_id", F.col("s.out_at").alias("second"), F.col("s.out_n").alias("n"))
+        return self._version("windows", batch).where("out").select("account_id", "second", "n")
 
     def replay(self, transfers: DataFrame, batch: int) -> DataFrame:
         """Transfers (``tx_id, from_account, ts``) against the senders' state as of a
@@ -348,8 +429,8 @@ def stream_account_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers of the third quarter scored against the state after the second, read from
-    the checkpoint when the third has been processed; the state is the same after as before."""
+    """Transfers of the third quarter scored against the state after the second, read by
+    its number when the third has been processed; the state is the same after as before."""
     run, quarter = _run(spark, sf_dir, "state-replay", 3)
     batch = run.batches[1]
     digest = lambda: run.stored(batch).agg(F.sum(F.xxhash64("account_id", *_COUNTS, "newest").cast("decimal(38,0)"))).first()[0]
