@@ -99,7 +99,7 @@ def stream_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min_by(F.struct("*"), F.struct("tx_timestamp", "amount")).alias("t")
     tx = fixture(spark, sf_dir, "tx").groupBy("tx_id").agg(first).select("t.*")
     # the transfers are written and not their texts, which are several times as long
-    log = to_events(work.cut(tx, "transfers"))
+    log = to_events(work.cut(tx, "transfers", CODEC))
     broken = log.select("key", F.expr("substring(value, 1, 20)").alias("value"), "ts")
     read = parsed(spark.readStream.schema(LOG_SCHEMA).parquet(work.folder("log")))
     events = claimed(read.drop("payment_format", "institution_id"))  # what is not asked for does not move

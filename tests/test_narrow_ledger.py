@@ -2,10 +2,11 @@
 
 import pytest
 
-from ledgergraph.plans import fixtures
+from ledgergraph.plans import fixtures, registry
 from ledgergraph.plans.catalog import OPERATORS
 from ledgergraph.plans.dialect import SPARK
 
+registry.queries()  # loads the plans
 SF = "/root/testdata/sf0.001"
 
 
